@@ -19,34 +19,31 @@ def blank_to(column, default):
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(default))
 
 
+def _number(text):
+    word = F.when(text.isin("true"), 1.0).when(F.trim(text).isin("", "false"), 0.0)
+    return F.coalesce(text.try_cast("double"), word)
+
+
 def to_number(text):
     """A finite number or NULL, from text: blank reads as 0, true/false as 1/0."""
-    bare = F.trim(text)
-    number = (
-        F.when(bare == "", F.lit(0.0))
-        .when(bare == "true", F.lit(1.0))
-        .when(bare == "false", F.lit(0.0))
-        .otherwise(bare.try_cast("double"))
-    )
-    return finite(number)
+    return finite(_number(text))
 
 
 def finite(number):
-    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
+    """NULL for not-a-number, which Spark orders above everything, and for infinities."""
+    largest = float(1.7976931348623157e308)
+    return F.when(F.abs(number) <= largest, number)
 
 
 def to_whole(text):
     """A whole number that fits an int, or NULL; fractions are refused."""
-    number = to_number(text)
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    number = _number(text)
+    return F.when(number.try_cast("int") == number, number.try_cast("int"))
 
 
 def to_flag(text):
-    """Truthiness of a flag received as text."""
-    return F.coalesce(
-        ~F.trim(text).isin("", "false", "null") & (F.coalesce(to_number(text), F.lit(1.0)) != 0),
-        F.lit(False),
-    )
+    """Truthiness of a flag received as text: false for nothing, blank and zero."""
+    return F.coalesce(_number(text) != 0, text.isNotNull())
 
 
 def clamp(column, low, high):

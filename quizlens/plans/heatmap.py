@@ -1,5 +1,6 @@
 """Heat-map screen: where visitors click and how far they scroll."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quizlens.fixed_values import DASH, DEAD_LABEL, NO_LABEL, TOP
@@ -52,11 +53,11 @@ def heat_totals(grid):
 
 
 def heat_intensity(grid):
-    """Each returned cell's share of the peak (at most 4000 cells, one peak row)."""
-    peak = F.broadcast(grid.agg(F.max("n").alias("_peak")))
-    return grid.crossJoin(peak).select(
-        "gx", "gy", "n", (F.col("n") / F.col("_peak")).alias("intensity")
-    ).orderBy(F.desc("n"), "gx", "gy")
+    """Each returned cell's share of the peak; the window spans at most 4000 cells."""
+    peak = F.max("n").over(Window.partitionBy())
+    return grid.select("gx", "gy", "n", (F.col("n") / peak).alias("intensity")).orderBy(
+        F.desc("n"), "gx", "gy"
+    )
 
 
 def element_ranking(clicks, cuts=None, **period):
