@@ -283,7 +283,7 @@ def utm_params(spark, folder):
 
 @query
 def device_class(spark, folder):
-    flat = sample.from_events(sample.keyed_events(spark, folder))
+    flat = sample.flat_batches(spark, folder)
     return flat.select("batch_seq", browser.device_class(F.col("vw")).alias("device"))
 
 

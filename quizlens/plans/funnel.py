@@ -26,11 +26,11 @@ def funnel_top_step(events, **period):
 
 def _steps():
     """The step dimension, one row per step."""
-    steps = F.array(*[
-        F.struct(F.lit(i).alias("step"), F.lit(key).alias("key"), F.lit(label).alias("label"))
+    rows = ", ".join(
+        f"named_struct('step', {i}, 'key', '{key}', 'label', '{label}')"
         for i, (key, label) in enumerate(FUNNEL_STEPS)
-    ])
-    return F.inline(steps)
+    )
+    return F.expr(f"inline(array({rows}))")
 
 
 def _per_step(events, period):
@@ -45,11 +45,11 @@ def _per_step(events, period):
         .groupBy("session_id")
         .agg(F.max("step_index").alias("topo"))
     )
-    numbers = range(len(FUNNEL_STEPS))
-    counted = tops.agg(
-        F.array(*[v.count_where(F.col("topo") == i) for i in numbers]).alias("exact"),
-        F.array(*[v.count_where(F.col("topo") >= i) for i in numbers]).alias("reached"),
-    )
+    def counts(comparison):
+        each = [f"cast(count_if(topo {comparison} {i}) AS int)" for i in range(len(FUNNEL_STEPS))]
+        return F.expr(f"array({', '.join(each)})")
+
+    counted = tops.agg(counts("=").alias("exact"), counts(">=").alias("reached"))
     return counted.select("exact", "reached", _steps()).select(
         "key", "step", "label",
         F.get("exact", F.col("step")).alias("no_topo"),

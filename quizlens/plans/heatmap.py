@@ -112,13 +112,13 @@ def scroll_curve(sessions, device=None, band=None, **period):
     Ten conditional counts in one pass; visits are never multiplied by the ten
     thresholds. The block cut of the click queries does not apply here.
     """
-    marks = list(range(10, 101, 10))
+    counts = ", ".join(f"cast(count_if(max_scroll >= {m}) AS int)" for m in range(10, 101, 10))
     reached = click_filter(
         period_filter(sessions, "first_ts", **period).filter("reached_result"), device, band
     )
     counted = reached.agg(
         v.rows().alias("total"),
-        F.array(*[v.count_where(F.col("max_scroll") >= m) for m in marks]).alias("counts"),
+        F.expr(f"array({counts})").alias("counts"),
     )
     return (
         counted.select("total", F.posexplode("counts").alias("pos", "sessoes"))

@@ -5,12 +5,13 @@ These expressions derive them, row by row, from a star schema with an event
 stream, so every query runs over whole tables of any size. No step shuffles.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from quizlens import Tables
 from quizlens.fixed_values import ENGAGEMENT_EVENTS, FUNNEL_STEPS
 from quizlens.functions import sales
-from quizlens.functions.browser import device_class
 from quizlens.functions.values import cut_or_null
 from quizlens.schemas import SNAPSHOT_IN
 
@@ -23,6 +24,7 @@ STATUS_BY_SEQ = ["ORDER_PAID", "pending", "refunded", "chargeback",
                  "refused", "abandoned_cart", "expired", "approved"]
 
 
+@lru_cache(maxsize=64)
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -33,170 +35,170 @@ def pick(names, index):
 
 
 def keyed_events(spark, folder):
-    return table(spark, folder, "events").withColumn(
-        "k", F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    )
-
-
-def from_events(df):
-    """Flat batches: one event, one click and one snapshot per row."""
-    k, n, user = F.col("k"), F.col("event_id"), F.col("user_id")
-    kind = k % 22
-    block = pick(["topo", "preco", "faq", "final"], n % 4)
-    section = (
-        F.when(kind.between(9, 11), F.concat(F.lit("q"), 1 + n % 10))
-        .when(kind.isin(6, 7, 8, 14, 19) & (n % 11 != 0), block)
-    )
-    label = (
-        F.when(kind == 9, "hit").when(kind == 10, "miss").when(kind == 11, "tema")
-        .when(kind.isin(7, 8) & (n % 5 != 0), "Quero")
-    )
-    vw = 320 + F.floor(F.col("value") * 3.5).cast("int")
-    session_id = F.concat(
-        F.lit("bt"), F.lpad(user.cast("string"), 6, "0"), F.lit("d202401"),
-        F.lpad(F.dayofmonth("ts").cast("string"), 2, "0"),
-    )
-    return df.select(
-        n.alias("batch_seq"),
-        F.col("ts").alias("received_ts"),
-        session_id.alias("session_id"),
-        device_class(vw).alias("device"),
-        pick(EVENT_BY_K, kind).alias("event_name"),
-        section.alias("section"),
-        label.alias("label"),
-        vw.alias("vw"),
-        (600 + k).alias("vh"),
-        (k % 13).alias("max_q"),
-        F.when(k % 5 == 0, k % 12).alias("score"),
-        (k % 6).alias("band"),
-        (k % 7 == 0).alias("contact"),
-        (k > 50).alias("reached_result"),
-        (k >= 80).alias("reached_checkout"),
-        F.floor(k * 1.2).cast("int").alias("max_scroll"),
-        F.when(~kind.between(9, 11), section).alias("last_section"),
-        F.floor("value").cast("int").alias("duration_sec"),
-        (k % 4).alias("cta_clicks"),
-        F.when(user % 5 == 0, "facebook").when(user % 5 == 1, "instagram")
-        .when(user % 5 == 2, "google").when(user % 5 == 3, "").alias("utm_source"),
-        F.when(user % 3 == 0, "lancamento").when(user % 3 == 1, "").alias("utm_campaign"),
-        F.when(k % 3 == 0, "BR").when(k % 3 == 1, "PT").alias("country"),
-        F.when(k % 2 == 0, "https://example.com/").alias("referrer"),
-        (((n * n) % 101).cast("double") / 100).alias("x"),
-        (((n * n) % 401).cast("double") / 400).alias("y"),
-        F.when(n % 3 != 0, ((n * n) % 101).cast("double") / 100).alias("sec_pct"),
-        (k % 3 == 0).alias("is_cta"),
-        (k % 4 == 0).alias("dead"),
-    )
-
-
-def _event():
-    return F.struct(F.col("event_name").alias("name"), "section", "label")
-
-
-def _click():
-    return F.struct(
-        "section", "label", "x", "y", F.col("sec_pct").alias("secPct"),
-        F.col("is_cta").alias("isCta"), "dead", "band", "vw", "vh",
-    )
-
-
-def _snapshot():
-    none = F.lit(None).cast("string")
-    return F.struct(
-        "vw", "referrer", F.lit("/Quiz/").alias("path"), "utm_source",
-        none.alias("utm_medium"), "utm_campaign", none.alias("utm_content"),
-        none.alias("utm_term"), none.alias("fbclid"),
-        F.col("max_q").alias("maxQ"), "score", "band", "contact",
-        F.col("reached_result").alias("reachedResult"), F.col("max_scroll").alias("maxScroll"),
-        F.col("last_section").alias("lastSection"), F.col("duration_sec").alias("duration"),
-        F.col("cta_clicks").alias("ctaClicks"),
-        F.col("reached_checkout").alias("reachedCheckout"),
-    )
-
-
-def nest(flat):
-    """Flat rows as the tracker would send them, one row per batch."""
-    return flat.select(
-        "batch_seq", "received_ts", F.col("session_id").alias("sessionId"), "device", "country",
-        F.array(_event()).alias("events"), F.array(_click()).alias("clicks"),
-        _snapshot().alias("session"),
+    return table(spark, folder, "events").selectExpr(
+        "*", "cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k"
     )
 
 
+def pick(names, index):
+    """SQL for names[index]."""
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"element_at(array({listed}), cast({index} AS int) + 1)"
+
+
+BLOCK = pick(["topo", "preco", "faq", "final"], "event_id % 4")
+BLOCK_BY_K = pick(["topo", "preco", "faq", "final"], "k % 4")
+THREE_BLOCKS = "CASE event_id % 4 WHEN 0 THEN 'topo' WHEN 1 THEN 'preco' WHEN 2 THEN 'faq' END"
+WIDTH_PX = "320 + cast(floor(value * 3.5) AS int)"
+SECTION = f"""
+    CASE WHEN k % 22 BETWEEN 9 AND 11 THEN concat('q', 1 + event_id % 10)
+         WHEN k % 22 IN (6, 7, 8, 14, 19) AND event_id % 11 <> 0 THEN {BLOCK} END"""
+X = "cast((event_id * event_id) % 101 AS double) / 100"
+
+# flat batches: one event, one click and one snapshot per row of ``events``
+FLAT = {
+    "batch_seq": "event_id",
+    "received_ts": "ts",
+    "session_id": "concat('bt', lpad(cast(user_id AS string), 6, '0'), 'd202401', "
+                  "lpad(cast(day(ts) AS string), 2, '0'))",
+    "device": f"CASE WHEN {WIDTH_PX} < 768 THEN 'mobile' WHEN {WIDTH_PX} < 1024 THEN 'tablet' "
+              "ELSE 'desktop' END",
+    "event_name": pick(EVENT_BY_K, "k % 22"),
+    "section": SECTION,
+    "label": "CASE WHEN k % 22 = 9 THEN 'hit' WHEN k % 22 = 10 THEN 'miss' "
+             "WHEN k % 22 = 11 THEN 'tema' "
+             "WHEN k % 22 IN (7, 8) AND event_id % 5 <> 0 THEN 'Quero' END",
+    "vw": WIDTH_PX,
+    "vh": "600 + k",
+    "max_q": "k % 13",
+    "score": "CASE WHEN k % 5 = 0 THEN k % 12 END",
+    "band": "k % 6",
+    "contact": "k % 7 = 0",
+    "reached_result": "k > 50",
+    "reached_checkout": "k >= 80",
+    "max_scroll": "cast(floor(k * 1.2) AS int)",
+    "last_section": f"CASE WHEN k % 22 NOT BETWEEN 9 AND 11 THEN {SECTION} END",
+    "duration_sec": "cast(floor(value) AS int)",
+    "cta_clicks": "k % 4",
+    "utm_source": "CASE user_id % 5 WHEN 0 THEN 'facebook' WHEN 1 THEN 'instagram' "
+                  "WHEN 2 THEN 'google' WHEN 3 THEN '' END",
+    "utm_campaign": "CASE user_id % 3 WHEN 0 THEN 'lancamento' WHEN 1 THEN '' END",
+    "country": "CASE k % 3 WHEN 0 THEN 'BR' WHEN 1 THEN 'PT' END",
+    "referrer": "CASE WHEN k % 2 = 0 THEN 'https://example.com/' END",
+    "x": X,
+    "y": "cast((event_id * event_id) % 401 AS double) / 400",
+    "sec_pct": f"CASE WHEN event_id % 3 <> 0 THEN {X} END",
+    "is_cta": "k % 3 = 0",
+    "dead": "k % 4 = 0",
+}
+
+# members of a batch by the name the tracker sends, from the flat columns
+EVENT = {"name": "event_name", "section": "section", "label": "label"}
+CLICK = {
+    "section": "section", "label": "label", "x": "x", "y": "y", "secPct": "sec_pct",
+    "isCta": "is_cta", "dead": "dead", "band": "band", "vw": "vw", "vh": "vh",
+}
+SNAPSHOT = {
+    "vw": "vw", "referrer": "referrer", "path": None, "utm_source": "utm_source",
+    "utm_medium": None, "utm_campaign": "utm_campaign", "utm_content": None, "utm_term": None,
+    "fbclid": None, "maxQ": "max_q", "score": "score", "band": "band", "contact": "contact",
+    "reachedResult": "reached_result", "maxScroll": "max_scroll", "lastSection": "last_section",
+    "duration": "duration_sec", "ctaClicks": "cta_clicks", "reachedCheckout": "reached_checkout",
+}
+
+
+def _named(members):
+    """SQL for a struct of the flat columns under the tracker's names."""
+    missing = {"path": "'/Quiz/'"}
+    parts = [
+        f"'{name}', {FLAT[column] if column else missing.get(name, 'cast(NULL AS string)')}"
+        for name, column in members.items()
+    ]
+    return f"named_struct({', '.join(parts)})"
+
+
+def flat_batches(spark, folder):
+    return keyed_events(spark, folder).selectExpr(*[f"{sql} AS {n}" for n, sql in FLAT.items()])
+
+
+@lru_cache(maxsize=8)
 def batches(spark, folder):
-    return nest(from_events(keyed_events(spark, folder)))
+    """Batches as the tracker would send them, one event, click and snapshot each."""
+    return keyed_events(spark, folder).selectExpr(
+        "event_id AS batch_seq", "ts AS received_ts", f"{FLAT['session_id']} AS sessionId",
+        f"{FLAT['device']} AS device", f"{FLAT['country']} AS country",
+        f"array({_named(EVENT)}) AS events", f"array({_named(CLICK)}) AS clicks",
+        f"{_named(SNAPSHOT)} AS session",
+    )
 
 
 def big_batches(spark, folder, size=64):
     """Batches of ``size`` consecutive events, more than an ingest accepts."""
-    flat = from_events(keyed_events(spark, folder))
-    gathered = flat.groupBy(F.floor(F.col("batch_seq") / size).alias("n")).agg(
-        F.min("received_ts").alias("received_ts"),
-        F.array_sort(F.collect_list(F.struct("batch_seq", _event().alias("e"), _click().alias("c"))))
-        .alias("all"),
+    numbered = keyed_events(spark, folder).selectExpr(
+        f"event_id div {size} AS batch_seq", "ts",
+        f"named_struct('n', event_id, 'e', {_named(EVENT)}, 'c', {_named(CLICK)}) AS item",
+    )
+    gathered = numbered.groupBy("batch_seq").agg(
+        F.min("ts").alias("received_ts"), F.array_sort(F.collect_list("item")).alias("items")
     )
-    return gathered.select(
-        F.col("n").alias("batch_seq"), "received_ts",
-        F.concat(F.lit("btlote"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("sessionId"),
-        F.lit("mobile").alias("device"), F.lit(None).cast("string").alias("country"),
-        F.transform("all", lambda r: r["e"]).alias("events"),
-        F.transform("all", lambda r: r["c"]).alias("clicks"),
-        F.lit(None).cast(SNAPSHOT_IN).alias("session"),
+    return gathered.selectExpr(
+        "batch_seq", "received_ts",
+        "concat('btlote', lpad(cast(batch_seq AS string), 8, '0')) AS sessionId",
+        "'mobile' AS device", "cast(NULL AS string) AS country",
+        "items.e AS events", "items.c AS clicks",
+        f"cast(NULL AS {SNAPSHOT_IN.simpleString()}) AS session",
     )
 
 
 def batch_bodies(spark, folder):
     """The batches as JSON request bodies; every 50th is not JSON, and every 40th
     carries an id with a character no session id has."""
-    n = F.col("batch_seq")
-    sent = F.struct(
-        F.when(n % 40 == 7, F.concat("sessionId", F.lit("!"))).otherwise(F.col("sessionId"))
-        .alias("sessionId"),
-        "device", "events", "clicks", "session",
+    sent = batches(spark, folder).selectExpr(
+        "batch_seq", "received_ts", "country",
+        """named_struct('sessionId', concat(sessionId, CASE WHEN batch_seq % 40 = 7 THEN '!'
+           ELSE '' END), 'device', device, 'events', events, 'clicks', clicks,
+           'session', session) AS sent""",
     )
-    spoiled = F.when(n % 50 == 3, "{oops").otherwise("")
-    return batches(spark, folder).select(
-        "batch_seq", "received_ts", "country", F.concat(spoiled, F.to_json(sent)).alias("body")
+    return sent.selectExpr(
+        "batch_seq", "received_ts", "country",
+        "concat(CASE WHEN batch_seq % 50 = 3 THEN '{oops' ELSE '' END, to_json(sent)) AS body",
     )
 
 
-def from_orders(df):
-    """Flat notifications, three per order, as extracted but not yet normalised."""
-    key = F.col("o_orderkey")
-    text = lambda c: c.cast("string")
-    received = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(
-        secs=(key * 7919) % 2592000
-    )
-    session_id = F.when(
-        key % 4 != 0,
-        F.concat(
-            F.lit("bt"), F.lpad(text(F.col("o_custkey") % 150), 6, "0"), F.lit("d202401"),
-            F.lpad(text(1 + key % 30), 2, "0"),
-        ),
-    )
-    status_raw = pick(STATUS_BY_SEQ, key % 8)
-    valor_raw = (
-        F.when(key % 4 == 0, "1490").when(key % 4 == 1, "14.90").when(key % 4 == 2, "14,90")
-        .otherwise(text(F.col("o_totalprice")))
-    )
-    return df.select(
-        key.alias("seq"),
-        received.alias("received_ts"),
-        F.concat(F.lit("ord"), text(F.floor(key / 3.0))).alias("order_id"),
-        session_id.alias("session_id"),
-        status_raw.alias("status_raw"),
-        valor_raw.alias("valor_raw"),
-        F.when(key % 3 == 0, "amount").when(key % 3 == 1, "totalvalue").otherwise("total")
-        .alias("valor_key"),
-        F.when(key % 3 != 1, status_raw).alias("evento_raw"),
-        F.when(key % 3 == 1, "CREDIT_CARD").alias("metodo_raw"),
-        F.when(key % 3 == 0, F.concat(F.lit("c"), text(F.col("o_custkey")), F.lit("@example.com")))
-        .alias("email"),
-    )
+# flat notifications, three per order, as extracted but not yet normalised
+NOTE = {
+    "seq": "o_orderkey",
+    "received_ts": "cast('2024-01-01' AS timestamp_ntz) "
+                   "+ (o_orderkey * 7919 % 2592000) * INTERVAL '1' SECOND",
+    "order_id": "concat('ord', cast(cast(floor(o_orderkey / 3.0D) AS bigint) AS string))",
+    "session_id": "CASE WHEN o_orderkey % 4 <> 0 THEN concat('bt', "
+                  "lpad(cast(o_custkey % 150 AS string), 6, '0'), 'd202401', "
+                  "lpad(cast(1 + o_orderkey % 30 AS string), 2, '0')) END",
+    "status_raw": pick(STATUS_BY_SEQ, "o_orderkey % 8"),
+    "valor_raw": "CASE o_orderkey % 4 WHEN 0 THEN '1490' WHEN 1 THEN '14.90' "
+                 "WHEN 2 THEN '14,90' ELSE cast(o_totalprice AS string) END",
+    "valor_key": pick(["amount", "totalvalue", "total"], "o_orderkey % 3"),
+    "evento_raw": f"CASE WHEN o_orderkey % 3 <> 1 THEN {pick(STATUS_BY_SEQ, 'o_orderkey % 8')} END",
+    "metodo_raw": "CASE WHEN o_orderkey % 3 = 1 THEN 'CREDIT_CARD' END",
+    "email": "CASE WHEN o_orderkey % 3 = 0 THEN concat('c', o_custkey, '@example.com') END",
+}
+
+# three JSON shapes of the same notification, by seq % 3
+SHAPES = [
+    """concat('{"eventType":{"code":"', status_raw, '"},"order":{"id":"', order_id,
+       '","status":"', status_raw, '","amount":"', valor_raw, '","customer":{"email":"', email,
+       '"}},"src":"', coalesce(session_id, ''), '"}')""",
+    """concat('{"transaction_id":"', order_id, '","data":{"payment_status":"', status_raw,
+       '","total_value":"', valor_raw, '","payment_method":"CREDIT_CARD"},"tracking":"',
+       coalesce(session_id, ''), '"}')""",
+    """concat('{"sale":{"code":"', order_id, '","items":[{"id":"i1","price":"999"}],"total":"',
+       valor_raw, '"},"event":"', status_raw, '","note":"sck=', coalesce(session_id, ''),
+       '&x=1"}')""",
+]
 
 
 def flat_notifications(spark, folder):
-    return from_orders(table(spark, folder, "orders"))
+    return table(spark, folder, "orders").selectExpr(*[f"{sql} AS {n}" for n, sql in NOTE.items()])
 
 
 def normalized(flat):
@@ -217,115 +219,72 @@ def normalized(flat):
 
 
 def raw_notifications(spark, folder):
-    """Notifications as JSON text in three shapes, by ``seq % 3``."""
-    sid = F.coalesce("session_id", F.lit(""))
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    order, status = quoted(F.col("order_id")), quoted(F.col("status_raw"))
-    valor, email = quoted(F.col("valor_raw")), quoted(F.col("email"))
-    in_order = F.concat(
-        F.lit('{"eventType":{"code":'), status, F.lit('},"order":{"id":'), order,
-        F.lit(',"status":'), status, F.lit(',"amount":'), valor,
-        F.lit(',"customer":{"email":'), email, F.lit('}},"src":'), quoted(sid), F.lit("}"),
-    )
-    by_name = F.concat(
-        F.lit('{"transaction_id":'), order, F.lit(',"data":{"payment_status":'), status,
-        F.lit(',"total_value":'), valor,
-        F.lit(',"payment_method":"CREDIT_CARD"},"tracking":'), quoted(sid), F.lit("}"),
-    )
-    in_text = F.concat(
-        F.lit('{"sale":{"code":'), order, F.lit(',"items":[{"id":"i1","price":"999"}],"total":'),
-        valor, F.lit('},"event":'), status, F.lit(',"note":"sck='), sid, F.lit('&x=1"}'),
-    )
-    shape = F.col("seq") % 3
-    payload = F.when(shape == 0, in_order).when(shape == 1, by_name).otherwise(in_text)
-    return flat_notifications(spark, folder).select("seq", "received_ts", payload.alias("payload"))
+    """Notifications as JSON text in three shapes."""
+    payload = (f"CASE seq % 3 WHEN 0 THEN {SHAPES[0]} WHEN 1 THEN {SHAPES[1]} "
+               f"ELSE {SHAPES[2]} END AS payload")
+    return flat_notifications(spark, folder).selectExpr("seq", "received_ts", payload)
 
 
+@lru_cache(maxsize=8)
 def tables(spark, folder):
     return Tables(batches(spark, folder), normalized(flat_notifications(spark, folder)))
 
 
 # ---------------------------------------------------------------- raw logs
-def _group(size):
-    return F.floor(F.col("event_id") / float(size)).cast("long").cast("string")
-
-
-def _ts_ms():
-    return ((F.col("event_id") % 20) * 400 + ((F.col("k") * 7) % 5) * 150).alias("ts_ms")
+GROUP_OF_20 = "cast(cast(floor(event_id / 20.0D) AS bigint) AS string) AS session_id"
+GROUP_OF_10 = "cast(cast(floor(event_id / 10.0D) AS bigint) AS string) AS session_id"
+BY_USER = "cast(user_id AS string) AS session_id"
+TS_MS = "(event_id % 20) * 400 + ((k * 7) % 5) * 150 AS ts_ms"
+SEQ = "event_id AS seq"
 
 
 def clicks_px(spark, folder):
     """Raw clicks in pixels, twenty per visit."""
-    k, n = F.col("k"), F.col("event_id")
-    return keyed_events(spark, folder).select(
-        _group(20).alias("session_id"), n.alias("seq"), _ts_ms(),
-        (100 + (k % 3) * 20).alias("client_x"), F.lit(100).alias("client_y"),
-        F.when(n % 4 == 0, "topo").when(n % 4 == 1, "preco").when(n % 4 == 2, "faq")
-        .alias("section"),
-        (k % 4 != 0).alias("actionable"), (k % 10 == 0).alias("is_checkout"),
-        F.when(k % 10 == 5, "SUMMARY").otherwise("A").alias("tag"),
-        (n % 7 != 0).alias("on_result"),
+    return keyed_events(spark, folder).selectExpr(
+        GROUP_OF_20, SEQ, TS_MS, "100 + (k % 3) * 20 AS client_x", "100 AS client_y",
+        f"{THREE_BLOCKS} AS section", "k % 4 <> 0 AS actionable", "k % 10 = 0 AS is_checkout",
+        "CASE WHEN k % 10 = 5 THEN 'SUMMARY' ELSE 'A' END AS tag", "event_id % 7 <> 0 AS on_result",
     )
 
 
 def section_views_px(spark, folder):
     """Moments a block came into view, on the clock of ``clicks_px``."""
-    k = F.col("k")
-    return keyed_events(spark, folder).filter(k % 5 == 0).select(
-        _group(20).alias("session_id"), F.col("event_id").alias("seq"), _ts_ms(),
-        pick(["topo", "preco", "faq", "final"], k % 4).alias("section"),
+    return keyed_events(spark, folder).filter("k % 5 = 0").selectExpr(
+        GROUP_OF_20, SEQ, TS_MS, f"{BLOCK_BY_K} AS section"
     )
 
 
 def scroll_log(spark, folder):
-    n = F.col("event_id")
-    return keyed_events(spark, folder).select(
-        _group(20).alias("session_id"), n.alias("seq"), "ts", F.col("k").alias("pct"),
-        F.when(n % 4 == 0, "topo").when(n % 4 == 1, "preco").when(n % 4 == 2, "faq")
-        .alias("section"),
+    return keyed_events(spark, folder).selectExpr(
+        GROUP_OF_20, SEQ, "ts", "k AS pct", f"{THREE_BLOCKS} AS section"
     )
 
 
 def section_views(spark, folder):
-    return keyed_events(spark, folder).select(
-        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), "ts",
-        pick(["topo", "preco", "faq", "final"], F.col("k") % 4).alias("section"),
-    )
+    return keyed_events(spark, folder).selectExpr(BY_USER, SEQ, "ts", f"{BLOCK_BY_K} AS section")
 
 
 def answers(spark, folder):
-    k = F.col("k")
-    return keyed_events(spark, folder).select(
-        _group(10).alias("session_id"), F.col("event_id").alias("seq"), "ts",
-        (1 + F.col("event_id") % 10).cast("int").alias("n"), (k % 3 != 0).alias("hit"),
-        F.when(k % 2 == 0, "tema").alias("tag"),
+    return keyed_events(spark, folder).selectExpr(
+        GROUP_OF_10, SEQ, "ts", "cast(1 + event_id % 10 AS int) AS n", "k % 3 <> 0 AS hit",
+        "CASE WHEN k % 2 = 0 THEN 'tema' END AS tag",
     )
 
 
 def visibility_log(spark, folder):
-    return keyed_events(spark, folder).select(
-        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), "ts",
-        (F.col("k") % 3 != 0).alias("visible"),
-    )
+    return keyed_events(spark, folder).selectExpr(BY_USER, SEQ, "ts", "k % 3 <> 0 AS visible")
 
 
 def calls(spark, folder):
-    return table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), "ts"
-    )
+    return table(spark, folder, "events").selectExpr("cast(user_id AS string) AS key", SEQ, "ts")
 
 
 def pointer(spark, folder):
     """Raw geometry of clicks: window, document and block sizes in pixels."""
-    k, n = F.col("k"), F.col("event_id")
-    return keyed_events(spark, folder).select(
-        n.alias("seq"),
-        F.floor("value").cast("int").alias("client_x"),
-        (n % 700).cast("int").alias("client_y"),
-        (k * 37 + n % 700).cast("int").alias("page_y"),
-        ((n % 50) * 10).cast("int").alias("window_width"),
-        F.lit(700).alias("window_height"),
-        ((k % 9) * 500).alias("document_height"),
-        (k * 5).alias("block_top"), ((k % 8) * 60).alias("block_height"),
-        (k * 33).alias("scroll_y"),
+    return keyed_events(spark, folder).selectExpr(
+        SEQ, "cast(floor(value) AS int) AS client_x", "cast(event_id % 700 AS int) AS client_y",
+        "cast(k * 37 + event_id % 700 AS int) AS page_y",
+        "cast((event_id % 50) * 10 AS int) AS window_width", "700 AS window_height",
+        "(k % 9) * 500 AS document_height", "k * 5 AS block_top", "(k % 8) * 60 AS block_height",
+        "k * 33 AS scroll_y",
     )
