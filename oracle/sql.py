@@ -413,3 +413,50 @@ leaf AS (
         'value': concat('sck=', coalesce(session_id, ''), '&x=1')}}] END) AS l
   FROM notes)""", """
 SELECT seq, l.ord AS ord, l.key AS key, l.path AS path, l.value AS value, true AS is_text FROM leaf""")
+
+# --------------------------------------------------------- files and streams
+OK_BODY = "batch_seq % 50 <> 3 AND batch_seq % 40 <> 7"
+add("read_batches", VISITS, f"""
+SELECT session_id, received_ts, batch_seq, device, vw, referrer, utm_source, country, max_q, score,
+  band, contact, max_scroll, last_section FROM clean WHERE {OK_BODY}""")
+ORACLE_SQL["quarantine_batches"] = """
+SELECT event_id AS batch_seq, CASE WHEN event_id % 50 <> 3 AND event_id % 40 <> 7 THEN 'aceito'
+  ELSE 'recusado' END AS destino FROM events"""
+add("read_notifications", NOTES, "SELECT seq, order_id, session_id, status, valor_cents FROM notes")
+add("event_log_store", EVENTS, f"SELECT * {E}")
+add("stream_ingest", EVENTS, "SELECT * FROM ev")
+add("stream_sessions", VISITS, "SELECT * FROM v")
+add("stream_orders", ORDERS, "SELECT * FROM o")
+add("stream_purchases", f"{NOTES}, {PURCHASES}", "SELECT * FROM p")
+ORACLE_SQL["stream_rage_clicks"] = ORACLE_SQL["rage_clicks"]
+add("stream_daily_kpis", VISITS, f"""
+SELECT strftime(first_ts, '%Y-%m-%d') AS dia, {n()} AS sessoes, {n('max_q >= 10')} AS terminaram,
+  {n('reached_result')} AS ofertas, {n('reached_checkout')} AS checkouts
+FROM v GROUP BY 1
+HAVING max(first_ts)::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+add("stream_dedup_sections", f"""{KEYED},
+firsts AS (SELECT DISTINCT cast(user_id AS VARCHAR) AS session_id, {case('k % 4', BLOCKS)} AS section
+  FROM keyed)""", """
+SELECT session_id, 'section_view' AS event_name, section FROM firsts
+UNION ALL SELECT session_id, 'offer_view', section FROM firsts WHERE section = 'preco'""")
+
+# the quota: every call of a key decided after the one before it
+ADMISSION = """
+WITH RECURSIVE c AS (
+  SELECT cast(user_id AS VARCHAR) AS key, ts, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT key, i, ts, true AS allow, cast(1 AS BIGINT) AS count, [us] AS admitted FROM c WHERE i = 1
+  UNION ALL
+  SELECT key, i, ts, len(kept) < 3, cast(CASE WHEN len(kept) < 3 THEN len(kept) + 1 ELSE 3 END AS BIGINT),
+    CASE WHEN len(kept) < 3 THEN list_append(kept, us) ELSE kept END
+  FROM (SELECT c.key, c.i, c.ts, c.us, list_filter(r.admitted, lambda x: x > c.us - 86400000000) AS kept
+        FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1))
+SELECT key, ts, allow, count FROM r"""
+ORACLE_SQL["rate_admission"] = ADMISSION
+ORACLE_SQL["stream_rate_admission"] = ADMISSION
+ORACLE_SQL["cap_raw"] = """
+SELECT doc_id, cast(length(raw) AS INTEGER) AS tamanho, md5(raw) AS digest FROM (
+  SELECT doc_id, CASE WHEN length(text) > 60000 THEN cast(to_json({'_truncado': true,
+    'tamanho': length(text), 'inicio': substring(text, 1, 4000)}) AS VARCHAR) ELSE text END AS raw
+  FROM documents)"""

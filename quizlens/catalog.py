@@ -8,7 +8,11 @@ from quizlens.functions.period import period_filter
 from quizlens.operators import folds, ingest, interactions, payload, quota, retention
 from quizlens.plans import bundle, funnel, heatmap, log, overview, quiz, visits
 from quizlens.plans import sales as sales_plans
-from quizlens.sources import sample
+from quizlens.session import work_folder
+from quizlens.sources import files, sample
+from quizlens.streaming import live
+from quizlens.streaming import tables as streams
+from quizlens.streaming.run import collected
 
 PERIOD = {"start": "2024-01-05", "end": "2024-01-25"}
 AS_OF = "2024-02-15 00:00:00"
@@ -407,3 +411,115 @@ def session_link(spark, folder):
 @query
 def notifications_to_orders(spark, folder):
     return folds.order_fold(payload.extract(sample.raw_notifications(spark, folder))).drop("raw")
+
+
+# ---------------------------------------------------------- files and streams
+def _stored_batches(spark, folder):
+    """The batches written as JSON-lines files and read back."""
+    path = work_folder(spark, "batches")
+    sample.batch_bodies(spark, folder).write.option(
+        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    ).json(path)
+    read = files.read_batches(spark, path)
+    return read.withColumn("received_ts", F.col("received_ts").cast("timestamp_ntz"))
+
+
+@query
+def read_batches(spark, folder):
+    """Snapshots of the batches that survive a trip through JSON files."""
+    return ingest.snapshot_rows(_stored_batches(spark, folder)).select(
+        "session_id", "received_ts", "batch_seq", "device", "vw", "referrer", "utm_source",
+        "country", "max_q", "score", "band", "contact", "max_scroll", "last_section",
+    )
+
+
+@query
+def quarantine_batches(spark, folder):
+    accepted, refused = ingest.quarantine_batches(_stored_batches(spark, folder))
+    side = lambda df, name: df.select("batch_seq", F.lit(name).alias("destino"))
+    return side(accepted, "aceito").unionByName(side(refused, "recusado"))
+
+
+@query
+def read_notifications(spark, folder):
+    """Notifications through JSON files, as normalised order messages."""
+    path = work_folder(spark, "notifications")
+    sample.raw_notifications(spark, folder).write.json(path)
+    messages = payload.extract(files.read_notifications(spark, path))
+    return messages.select("seq", "order_id", "session_id", "status", "valor_cents")
+
+
+@query
+def event_log_store(spark, folder):
+    """Events stored by day and read back for the period."""
+    path = work_folder(spark, "events")
+    files.append_events(sample.batches(spark, folder), path)
+    stored = files.read_log(spark, path, "events", "timestamp_ntz")
+    return period_filter(stored, "ts", **PERIOD).drop("dt")
+
+
+@query
+def stream_ingest(spark, folder):
+    path = work_folder(spark, "stream-events")
+    batches = sample.batches(spark, sample.Live(folder))
+    streams.stream_events(batches, f"{path}/rows", f"{path}/checkpoint")
+    return files.read_log(spark, f"{path}/rows", "events", "timestamp_ntz").drop("dt")
+
+
+@query
+def stream_sessions(spark, folder):
+    path = work_folder(spark, "stream-sessions")
+    batches = sample.batches(spark, sample.Live(folder))
+    streams.stream_sessions(batches, f"{path}/states", f"{path}/checkpoint")
+    return files.read_folded(spark, folds.sessions(), f"{path}/states")
+
+
+def _streamed_orders(spark, folder):
+    path = work_folder(spark, "stream-orders")
+    notes = sample.normalized(sample.flat_notifications(spark, sample.Live(folder)))
+    places = f"{path}/orders", f"{path}/purchases"
+    streams.stream_orders(notes, *places, f"{path}/checkpoint")
+    return places
+
+
+@query
+def stream_orders(spark, folder):
+    orders, _ = _streamed_orders(spark, folder)
+    return files.read_folded(spark, folds.orders(), orders).withColumn(
+        "moeda", F.lit("BRL")
+    ).drop("raw")
+
+
+@query
+def stream_purchases(spark, folder):
+    _, purchases = _streamed_orders(spark, folder)
+    return files.read_folded(spark, folds.purchases(), purchases)
+
+
+@query
+def stream_rate_admission(spark, folder):
+    calls = sample.calls(spark, sample.Live(folder))
+    verdicts = collected(spark, live.stream_rate_admission(calls, limit=3, hours=24), "quota")
+    return verdicts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query
+def stream_rage_clicks(spark, folder):
+    # the derived clock starts at 0, where a stream's watermark already stands
+    day = 86_400_000
+    clicks = sample.clicks_px(spark, sample.Live(folder)).withColumn("ts_ms", F.col("ts_ms") + day)
+    found = collected(spark, live.stream_rage_clicks(clicks), "rage")
+    return found.withColumn("ts_ms", F.col("ts_ms") - day)
+
+
+@query
+def stream_daily_kpis(spark, folder):
+    batches = sample.batches(spark, sample.Live(folder))
+    return collected(spark, live.stream_daily_kpis(batches), "daily")
+
+
+@query
+def stream_dedup_sections(spark, folder):
+    views = sample.section_views(spark, sample.Live(folder))
+    once = collected(spark, live.stream_dedup_sections(views, delay="60 days"), "sections")
+    return once.select("session_id", "event_name", "section")

@@ -84,15 +84,19 @@ def scroll_milestones(scrolls):
     )
 
 
-def first_section_views(views):
-    """``section_view`` once per visit and block; the price block is also a funnel step."""
-    firsts = views.groupBy("session_id", "section").agg(F.min("ts").alias("ts"))
+def first_section_names(firsts):
+    """The events of a first view: the view itself and, for the price block, a funnel step."""
     names = F.when(
         F.col("section") == PRICE_SECTION, F.array(F.lit("section_view"), F.lit("offer_view"))
     ).otherwise(F.array(F.lit("section_view")))
     return firsts.select("session_id", F.explode(names).alias("event_name"), "section", "ts")
 
 
+def first_section_views(views):
+    """``section_view`` once per visit and block; the price block is also a funnel step."""
+    return first_section_names(views.groupBy("session_id", "section").agg(F.min("ts").alias("ts")))
+
+
 def _event(name, section, label):
     return F.struct(
         name.alias("event_name"), section.alias("section"), label.alias("label")

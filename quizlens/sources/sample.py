@@ -5,6 +5,7 @@ These expressions derive them, row by row, from a star schema with an event
 stream, so every query runs over whole tables of any size. No step shuffles.
 """
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -24,16 +25,27 @@ STATUS_BY_SEQ = ["ORDER_PAID", "pending", "refunded", "chargeback",
                  "refused", "abandoned_cart", "expired", "approved"]
 
 
+@dataclass(frozen=True)
+class Live:
+    """A folder whose tables are read as streams, a file per micro-batch.
+
+    A table may be one file or several (``events.parquet``, ``events-1.parquet``);
+    ``like`` is a folder with the same tables, to take the schema from.
+    """
+
+    folder: str
+    like: str = None
+
+
 @lru_cache(maxsize=64)
 def table(spark, folder, name):
+    if isinstance(folder, Live):
+        schema = table(spark, folder.like or folder.folder, name).schema
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        return files.option("pathGlobFilter", f"{name}*.parquet").parquet(folder.folder)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def pick(names, index):
-    """names[index] as an expression."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
-
-
 def keyed_events(spark, folder):
     return table(spark, folder, "events").selectExpr(
         "*", "cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k"
