@@ -6,9 +6,8 @@ from quizlens.fixed_values import WIDTH
 from quizlens.functions.values import clamp
 
 # every character the browser counts as white space
-BLANK = (
-    r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-)
+BLANKS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
+          0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 CAMPAIGN_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid"]
 
 
@@ -56,7 +55,9 @@ def clean_label(data_track, aria_label, tag, alt, text):
         return F.nullif(column, F.lit(""))
 
     image = F.when(F.upper(tag) == "IMG", F.coalesce(filled(alt), F.lit("imagem")))
-    trimmed = F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
-    visible = filled(F.regexp_replace(trimmed, f"{BLANK}+", " "))
+    # other blanks become plain spaces first, so that runs are runs of one character
+    blanks = "".join(map(chr, BLANKS))
+    spaced = F.translate(text, blanks, " " * len(blanks))
+    visible = filled(F.regexp_replace(F.trim(spaced), "  +", " "))
     name = F.coalesce(filled(data_track), filled(aria_label), image, visible, F.lower(tag))
     return F.substring(name, 1, WIDTH["label"])

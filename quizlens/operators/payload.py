@@ -38,19 +38,17 @@ def _reject(_):
 def _in_page_order(item):
     """Members of an object in the order a browser lists them: array-like names
     first, by number, then the rest as written."""
-    numbered = [n for n in item if _INDEX.fullmatch(n) and int(n) < 2**32 - 1]
-    if not numbered:
+    if not item or min(item) >= ":":        # no name starts with a digit
         return item.items()
-    numbered.sort(key=int)
-    return [(n, item[n]) for n in numbered + [n for n in item if n not in set(numbered)]]
+    numbered = {n for n in item if _INDEX.fullmatch(n) and int(n) < 2**32 - 1}
+    rest = [n for n in item if n not in numbered]
+    return [(n, item[n]) for n in sorted(numbered, key=int) + rest]
 
 
 def _as_text(value):
-    """A JSON scalar as text, numbers in their shortest form."""
+    """A JSON number or flag as text, numbers in their shortest form."""
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, str):
-        return value
     if math.isinf(value):
         return "Infinity" if value > 0 else "-Infinity"
     if value == 0:
@@ -71,38 +69,43 @@ def _normal(name):
     return _NOT_NAME.sub("", name.lower())
 
 
+def _walk(value, name, parent, depth, found):
+    """Append the leaves under ``value`` in document order."""
+    if value is None or depth > MAX_JSON_DEPTH or len(found) >= MAX_JSON_LEAVES:
+        return
+    if isinstance(value, list):
+        for item in value:
+            _walk(item, name, parent, depth + 1, found)
+        return
+    key = _normal(name)
+    path = f"{parent}.{key}" if parent and key else parent or key
+    if isinstance(value, dict):
+        for member, item in _in_page_order(value):
+            _walk(item, member, path, depth + 1, found)
+    elif isinstance(value, str):
+        found.append((len(found), key, path, value, True))
+    else:
+        found.append((len(found), key, path, _as_text(value), False))
+
+
 def _leaves(text):
-    """Leaves of one payload in document order."""
+    found = []
     try:
         root = _DECODER.decode(text)
     except (ValueError, TypeError, RecursionError):
-        return []
-    found = []
-    waiting = [(root, "", "", 0)] if isinstance(root, (dict, list)) else []
-    while waiting and len(found) < MAX_JSON_LEAVES:
-        value, name, parent, depth = waiting.pop()
-        if value is None or depth > MAX_JSON_DEPTH:
-            continue
-        key = _normal(name)
-        path = f"{parent}.{key}" if parent and key else parent or key
-        if isinstance(value, list):
-            waiting.extend((v, name, parent, depth + 1) for v in reversed(value))
-        elif isinstance(value, dict):
-            members = list(_in_page_order(value))
-            waiting.extend((v, n, path, depth + 1) for n, v in reversed(members))
-        else:
-            found.append((len(found), key, path, _as_text(value), isinstance(value, str)))
+        return found
+    if isinstance(root, (dict, list)):
+        _walk(root, "", "", 0, found)
     return found
 
 
 @F.arrow_udf(LEAVES)
 def leaves_of(payloads: pa.Array) -> pa.Array:
-    ends, columns = [0], ([], [], [], [], [])
+    ends, rows = [0], []
     for text in payloads.to_pylist():
-        for leaf in _leaves(text):
-            for column, value in zip(columns, leaf):
-                column.append(value)
-        ends.append(len(columns[0]))
+        rows += _leaves(text)
+        ends.append(len(rows))
+    columns = zip(*rows) if rows else ((), (), (), (), ())
     kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
     flat = pa.StructArray.from_arrays(
         [pa.array(column, kind) for column, kind in zip(columns, kinds)],
