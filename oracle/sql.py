@@ -364,7 +364,7 @@ SELECT doc_id, substring(text, 1, 120) AS rotulo, nullif(substring(text, 1, 40),
 ORACLE_SQL["normalize_key"] = """
 SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS source,
   regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS text FROM documents"""
-ORACLE_SQL["fallback_order_id"] = """
+ORACLE_SQL["order_key_fallback"] = """
 SELECT doc_id, concat('sem-id-', substring(sha1(text), 1, 24)) AS order_id FROM documents"""
 ORACLE_SQL["extract_session_id"] = """
 SELECT doc_id, nullif(regexp_extract(CASE WHEN doc_id % 3 = 0
@@ -460,3 +460,65 @@ SELECT doc_id, cast(length(raw) AS INTEGER) AS tamanho, md5(raw) AS digest FROM
   SELECT doc_id, CASE WHEN length(text) > 60000 THEN cast(to_json({'_truncado': true,
     'tamanho': length(text), 'inicio': substring(text, 1, 4000)}) AS VARCHAR) ELSE text END AS raw
   FROM documents)"""
+
+# ------------------------------------------------- small rules, one query each
+TEXT = f"""{KEYED}, t AS (SELECT event_id AS seq, CASE k % 9 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN ''
+  WHEN 3 THEN 'true' WHEN 4 THEN 'false' WHEN 5 THEN 'abc' WHEN 6 THEN cast(value AS VARCHAR)
+  WHEN 7 THEN '0' END AS text FROM keyed),
+num AS (SELECT seq, text, CASE text WHEN '' THEN 0.0::DOUBLE WHEN 'true' THEN 1.0::DOUBLE
+  WHEN 'false' THEN 0.0::DOUBLE ELSE TRY_CAST(trim(text) AS DOUBLE) END AS n FROM t)"""
+add("valid_session_id", f"""{KEYED}, ids AS (SELECT event_id AS seq, substring(CASE k % 5
+  WHEN 0 THEN repeat('a', k) WHEN 1 THEN concat('visit_', user_id, '-', k) WHEN 2 THEN concat('visita ', user_id)
+  WHEN 3 THEN concat('abcdefgh', chr(10)) ELSE cast(user_id AS VARCHAR) END, 1, 40) AS session_id FROM keyed)""",
+    "SELECT * FROM ids WHERE regexp_matches(session_id, '^[a-zA-Z0-9_-]{8,40}\\z')")
+add("event_whitelist", f"{KEYED}, {FLAT}", f"""
+SELECT event_name, {n()} AS recebidos, {n("event_name <> 'not_allowed'")} AS aceitos FROM flat GROUP BY 1""")
+add("step_index", EVENTS, f"SELECT event_name, step_index, {n()} AS n FROM ev GROUP BY 1, 2")
+add("device_whitelist", KEYED, """
+SELECT event_id AS seq, CASE k % 5 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' WHEN 2 THEN 'desktop' END AS device
+FROM keyed""")
+add("valid_clicks", KEYED, """
+SELECT event_id * 60 AS id, cast(cast(least(1, greatest(0, value / 100 - 1)) AS FLOAT) AS DOUBLE) AS x_pct,
+  cast(cast(least(1, greatest(0, value / 490)) AS FLOAT) AS DOUBLE) AS y_pct, true AS is_cta, false AS dead,
+  CASE WHEN k % 7 BETWEEN 1 AND 4 THEN k % 7 END AS band, cast(NULL AS VARCHAR) AS device
+FROM keyed WHERE k % 6 > 2""")
+add("click_filter", CLICKS, """
+SELECT id, device, section FROM cl WHERE device = 'mobile' AND section = 'preco'""")
+add("event_log_filter", EVENTS, "SELECT id, event_name FROM ev WHERE event_name = 'quiz_answer'")
+add("to_number", TEXT, """
+SELECT seq, n AS numero, CASE WHEN n = floor(n) THEN cast(n AS INTEGER) END AS inteiro FROM num""")
+add("truthy", TEXT, """
+SELECT seq, CASE WHEN text IS NULL THEN false WHEN n IS NULL THEN true ELSE n <> 0 END AS ligado FROM num""")
+add("clamp01", KEYED, """
+SELECT event_id AS seq, CASE WHEN k % 4 <> 0 THEN least(1, greatest(0, value / 100 - 1)) END AS x FROM keyed""")
+add("clamp_peaks", f"{KEYED}, r AS (SELECT event_id AS seq, CASE WHEN k % 4 <> 0 THEN (k - 20) * 25 END AS n "
+    "FROM keyed)", """
+SELECT seq, CASE WHEN n IS NOT NULL THEN least(10, greatest(0, n)) END AS score,
+  least(10, greatest(0, coalesce(n, 0))) AS max_q, least(100, greatest(0, coalesce(n, 0))) AS max_scroll,
+  least(86400, greatest(0, coalesce(n, 0))) AS duration_sec, least(999, greatest(0, coalesce(n, 0))) AS cta_clicks
+FROM r""")
+add("valid_band", KEYED, """
+SELECT event_id AS seq, CASE WHEN k % 7 - 1 BETWEEN 1 AND 4 THEN k % 7 - 1 END AS band FROM keyed""")
+ORACLE_SQL["day_key"] = "SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') AS dia FROM events"
+add("blank_to_default", f"{KEYED}, {FLAT}",
+    "SELECT batch_seq, coalesce(nullif(utm_source, ''), 'direto') AS origem FROM flat")
+ORACLE_SQL["round1"] = f"""
+SELECT user_id, {mean1('cents')} AS media
+FROM (SELECT user_id, cast(round(value * 100) AS BIGINT) AS cents FROM events) GROUP BY 1"""
+add("pct1", KEYED, f"""
+SELECT user_id, {pct1('count(*) FILTER (WHERE k % 3 = 0)', 'count(*)')} AS pct FROM keyed GROUP BY 1""")
+ORACLE_SQL["round_ratio"] = """
+SELECT o_custkey, cast(floor(cast(sum(cast(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE)
+  / cast(count(*) AS DOUBLE) + 0.5::DOUBLE) AS BIGINT) AS ticket FROM orders GROUP BY 1"""
+add("cents_to_unit", ORDERS, "SELECT order_id, cast(valor_cents AS DOUBLE) / 100.0::DOUBLE AS valor FROM o")
+add("grid_cell", CLICKS, """
+SELECT id, cast(least(59, floor(x_pct * 60)) AS INTEGER) AS gx,
+  cast(least(219, floor(y_pct * 220)) AS INTEGER) AS gy FROM cl""")
+add("natural_question_order", EVENTS, """
+SELECT section, TRY_CAST(nullif(regexp_replace(section, '[^0-9]', '', 'g'), '') AS INTEGER) AS numero
+FROM ev WHERE section IS NOT NULL GROUP BY 1""")
+JOURNEY = ORACLE_SQL["session_journey"]
+ORACLE_SQL["journey_events"] = (
+    f"SELECT session_id, pos, name, section, label, ts FROM ({JOURNEY}) WHERE kind = 'event'")
+ORACLE_SQL["journey_clicks_orders"] = (
+    f"SELECT session_id, kind, pos, name, status, valor_cents, ts FROM ({JOURNEY}) WHERE kind <> 'event'")

@@ -346,7 +346,7 @@ def cap_raw(spark, folder):
 
 
 @query
-def fallback_order_id(spark, folder):
+def order_key_fallback(spark, folder):
     return sample.table(spark, folder, "documents").select(
         "doc_id", sales.fallback_order_id(F.col("text")).alias("order_id")
     )
@@ -523,3 +523,180 @@ def stream_dedup_sections(spark, folder):
     views = sample.section_views(spark, sample.Live(folder))
     once = collected(spark, live.stream_dedup_sections(views, delay="60 days"), "sections")
     return once.select("session_id", "event_name", "section")
+
+
+# ------------------------------------------------- small rules, one query each
+LOOSE_TEXT = """CASE k % 9 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN '' WHEN 3 THEN 'true'
+    WHEN 4 THEN 'false' WHEN 5 THEN 'abc' WHEN 6 THEN cast(value AS string) WHEN 7 THEN '0' END"""
+
+
+def _keyed(spark, folder, *columns):
+    return sample.keyed_events(spark, folder).selectExpr("event_id AS seq", *columns)
+
+
+@query
+def valid_session_id(spark, folder):
+    """Ids of many shapes; the usable ones are kept, cut to their width."""
+    shapes = """CASE k % 5 WHEN 0 THEN repeat('a', k) WHEN 1 THEN concat('visit_', user_id, '-', k)
+        WHEN 2 THEN concat('visita ', user_id) WHEN 3 THEN concat('abcdefgh', chr(10))
+        ELSE cast(user_id AS string) END AS sessionId"""
+    return ingest.valid_session_id(_keyed(spark, folder, shapes)).select("seq", "session_id")
+
+
+@query
+def event_whitelist(spark, folder):
+    """Every event name offered and how many rows of it are stored."""
+    offered = sample.flat_batches(spark, folder).select("batch_seq", "event_name")
+    kept = F.col("event_name").isin(ingest.ALLOWED_EVENTS)
+    return offered.groupBy("event_name").agg(
+        v.rows().alias("recebidos"), v.count_where(kept).alias("aceitos")
+    )
+
+
+@query
+def step_index(spark, folder):
+    events = sample.tables(spark, folder).events
+    return events.groupBy("event_name", "step_index").agg(v.rows().alias("n"))
+
+
+@query
+def device_whitelist(spark, folder):
+    offered = _keyed(spark, folder, "element_at(array('mobile', 'tablet', 'desktop', 'Mobile', 'tv'), "
+                                    "k % 5 + 1) AS device")
+    return offered.select("seq", ingest.known_device().alias("device"))
+
+
+@query
+def valid_clicks(spark, folder):
+    """Positions outside the page are pulled in; impossible ones drop the click."""
+    x = """CASE k % 6 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN NULL
+        ELSE value / 100 - 1 END"""
+    click = "named_struct('section', 's', 'label', 'l', 'x', %s, 'y', value / 490, 'secPct', " \
+            "cast(NULL AS double), 'isCta', true, 'dead', cast(NULL AS boolean), 'band', k %% 7, " \
+            "'vw', 1, 'vh', 2)" % x
+    batches = sample.keyed_events(spark, folder).selectExpr(
+        "event_id AS batch_seq", "ts AS received_ts", "'session-1' AS sessionId", "'tv' AS device",
+        f"array({click}) AS clicks",
+    )
+    return ingest.click_rows(batches).select(
+        "id", F.col("x_pct").cast("double").alias("x_pct"),
+        F.col("y_pct").cast("double").alias("y_pct"), "is_cta", "dead", "band", "device",
+    )
+
+
+@query
+def click_filter(spark, folder):
+    clicks = sample.tables(spark, folder).clicks
+    chosen = heatmap.click_filter(clicks, device="mobile", band="9", section="preco")
+    return chosen.select("id", "device", "section")
+
+
+@query
+def event_log_filter(spark, folder):
+    events = sample.tables(spark, folder).events
+    return log.event_log_filter(events, name="quiz_answer").select("id", "event_name")
+
+
+@query
+def to_number(spark, folder):
+    return _keyed(spark, folder, f"{LOOSE_TEXT} AS text").select(
+        "seq", v.to_number(F.col("text")).alias("numero"), v.to_whole(F.col("text")).alias("inteiro")
+    )
+
+
+@query
+def truthy(spark, folder):
+    return _keyed(spark, folder, f"{LOOSE_TEXT} AS text").select(
+        "seq", v.to_flag(F.col("text")).alias("ligado")
+    )
+
+
+@query
+def clamp01(spark, folder):
+    share = _keyed(spark, folder, "CASE WHEN k % 4 <> 0 THEN value / 100 - 1 END AS x")
+    return share.select("seq", v.clamp01(F.col("x")).alias("x"))
+
+
+@query
+def clamp_peaks(spark, folder):
+    raw = _keyed(spark, folder, "CASE WHEN k % 4 <> 0 THEN (k - 20) * 25 END AS n")
+    return raw.select("seq", v.score(F.col("n")).alias("score"), *[
+        v.peak(F.col("n"), name).alias(name)
+        for name in ("max_q", "max_scroll", "duration_sec", "cta_clicks")
+    ])
+
+
+@query
+def valid_band(spark, folder):
+    return _keyed(spark, folder, "k % 7 - 1 AS n").select("seq", v.band(F.col("n")).alias("band"))
+
+
+@query
+def day_key(spark, folder):
+    return _keyed(spark, folder, "ts").select("seq", v.day_key(F.col("ts")).alias("dia"))
+
+
+@query
+def blank_to_default(spark, folder):
+    flat = sample.flat_batches(spark, folder)
+    return flat.select("batch_seq", v.blank_to(F.col("utm_source"), "direto").alias("origem"))
+
+
+@query
+def round1(spark, folder):
+    """Mean of the value in cents per user, to one decimal."""
+    cents = _keyed(spark, folder, "user_id", "cast(round(value * 100) AS bigint) AS cents")
+    return cents.groupBy("user_id").agg(v.mean1(F.sum("cents"), F.count("cents")).alias("media"))
+
+
+@query
+def pct1(spark, folder):
+    """Share of each user's events that are multiples of three."""
+    counted = _keyed(spark, folder, "user_id", "k").groupBy("user_id").agg(
+        F.count_if(F.col("k") % 3 == 0).alias("part"), F.count(F.lit(1)).alias("whole")
+    )
+    return counted.select("user_id", v.pct1(F.col("part"), F.col("whole")).alias("pct"))
+
+
+@query
+def round_ratio(spark, folder):
+    orders = sample.table(spark, folder, "orders")
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    return orders.groupBy("o_custkey").agg(v.round_ratio(cents, F.count(F.lit(1))).alias("ticket"))
+
+
+@query
+def cents_to_unit(spark, folder):
+    orders = sample.tables(spark, folder).orders
+    return orders.select("order_id", v.cents_to_unit(F.col("valor_cents")).alias("valor"))
+
+
+@query
+def grid_cell(spark, folder):
+    clicks = sample.tables(spark, folder).clicks
+    return clicks.select("id", v.grid_cell(F.col("x_pct"), 60).alias("gx"),
+                         v.grid_cell(F.col("y_pct"), 220).alias("gy"))
+
+
+@query
+def natural_question_order(spark, folder):
+    """Sections with their number and their place in natural order."""
+    sections = sample.tables(spark, folder).events.filter("section IS NOT NULL")
+    number = v.question_number(F.col("section"))
+    return sections.groupBy("section").agg(F.min(number).alias("numero")).orderBy(
+        F.asc_nulls_last("numero"), "section"
+    )
+
+
+@query
+def journey_events(spark, folder):
+    return session_journey(spark, folder).filter("kind = 'event'").select(
+        "session_id", "pos", "name", "section", "label", "ts"
+    )
+
+
+@query
+def journey_clicks_orders(spark, folder):
+    return session_journey(spark, folder).filter("kind <> 'event'").select(
+        "session_id", "kind", "pos", "name", "status", "valor_cents", "ts"
+    )

@@ -17,7 +17,7 @@ def device_class(width):
 
 def query_param(url, key):
     """First value of a query parameter, decoded; NULL when the URL lacks it."""
-    pattern = rf"^[^?#]*\?(?:[^#]*?&)?{key}=([^&#]*)"
+    pattern = rf"^[^?#]*\?(?:[^#]*?&)??{key}=([^&#]*)"
     value = F.regexp_replace(F.regexp_extract(url, pattern, 1), r"\+", " ")
     return F.when(url.rlike(pattern), F.coalesce(F.try_url_decode(value), value))
 

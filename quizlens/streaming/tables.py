@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quizlens.operators import folds, ingest
+from quizlens.sources import files
 from quizlens.streaming.run import drain, to_files
 
 
@@ -17,32 +18,36 @@ def stream_clicks(batches, path, checkpoint):
     to_files(rows, path, checkpoint, by=["dt"])
 
 
-def stream_fold(fold, messages, path, checkpoint):
-    """Keep a keyed table from a stream of messages.
+def stream_folds(messages, targets, checkpoint):
+    """Keep keyed tables from one stream of messages.
 
-    Each micro-batch is folded on its own and its states are added under its
-    batch number; readers merge them (``files.read_folded``). No state store
-    grows with the number of keys, and a micro-batch that is run again writes
-    the same folder again.
+    ``targets`` is a list of (fold, messages -> messages, path). Each micro-batch
+    is folded on its own and its states are added under its batch number;
+    readers merge them (``files.read_folded``). No state store grows with the
+    number of keys, and a micro-batch that is run again writes the same folders.
     """
     def store(batch, number):
-        states = fold.merge(fold.lift(batch))
-        states.write.mode("overwrite").parquet(f"{path}/delivery={number}")
+        for fold, choose, path in targets:
+            files.append_states(fold, choose(batch), path, number)
 
     drain(messages.writeStream.foreachBatch(store), checkpoint)
 
 
 def stream_sessions(batches, path, checkpoint):
-    stream_fold(folds.sessions(), ingest.snapshot_rows(batches), path, checkpoint)
+    every = lambda rows: rows
+    stream_folds(
+        ingest.snapshot_rows(batches), [(folds.sessions(), every, path)], checkpoint
+    )
 
 
 def stream_orders(notifications, orders_path, purchases_path, checkpoint):
-    """Orders and the purchases they stamp, from one stream of notifications.
+    """Orders and the purchases they stamp, from one pass over the notifications.
 
     A redelivered notification carries the same sequence number and values, and
     the folds are idempotent, so it changes nothing.
     """
-    stream_fold(folds.orders(), notifications, orders_path, f"{checkpoint}/orders")
-    stream_fold(
-        folds.purchases(), folds.deciding(notifications), purchases_path, f"{checkpoint}/purchases"
-    )
+    every = lambda rows: rows
+    stream_folds(notifications, [
+        (folds.orders(), every, orders_path),
+        (folds.purchases(), folds.deciding, purchases_path),
+    ], checkpoint)
