@@ -9,7 +9,6 @@ import json
 import math
 import re
 from decimal import Decimal
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -61,49 +60,48 @@ def _as_text(value):
     return f"{mantissa.removesuffix('.0')}e{power[0]}{power[1:].lstrip('0')}"
 
 
-_DECODER = json.JSONDecoder(parse_int=float, parse_constant=_reject)
-
-
-@lru_cache(maxsize=4096)
 def _normal(name):
     return _NOT_NAME.sub("", name.lower())
 
 
-def _walk(value, name, parent, depth, found):
-    """Append the leaves under ``value`` in document order."""
+def _walk(value, name, parent, depth, keys, found):
+    """Append the leaves under ``value`` in document order; ``keys`` remembers names."""
     if value is None or depth > MAX_JSON_DEPTH or len(found) >= MAX_JSON_LEAVES:
         return
     if isinstance(value, list):
         for item in value:
-            _walk(item, name, parent, depth + 1, found)
+            _walk(item, name, parent, depth + 1, keys, found)
         return
-    key = _normal(name)
+    key = keys.get(name)
+    if key is None:
+        key = keys[name] = _normal(name)
     path = f"{parent}.{key}" if parent and key else parent or key
     if isinstance(value, dict):
         for member, item in _in_page_order(value):
-            _walk(item, member, path, depth + 1, found)
+            _walk(item, member, path, depth + 1, keys, found)
     elif isinstance(value, str):
         found.append((len(found), key, path, value, True))
     else:
         found.append((len(found), key, path, _as_text(value), False))
 
 
-def _leaves(text):
+def _leaves(text, decode, keys):
     found = []
     try:
-        root = _DECODER.decode(text)
+        root = decode(text)
     except (ValueError, TypeError, RecursionError):
         return found
     if isinstance(root, (dict, list)):
-        _walk(root, "", "", 0, found)
+        _walk(root, "", "", 0, keys, found)
     return found
 
 
 @F.arrow_udf(LEAVES)
 def leaves_of(payloads: pa.Array) -> pa.Array:
-    ends, rows = [0], []
+    decode = json.JSONDecoder(parse_int=float, parse_constant=_reject).decode
+    ends, rows, keys = [0], [], {}
     for text in payloads.to_pylist():
-        rows += _leaves(text)
+        rows += _leaves(text, decode, keys)
         ends.append(len(rows))
     columns = zip(*rows) if rows else ((), (), (), (), ())
     kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
