@@ -72,6 +72,7 @@ def assign(documents: DataFrame, limit: int, key="doc_id") -> DataFrame:
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1 numbers
     small = leaves.count() <= BROADCAST_ROWS
     leaves = F.broadcast(leaves) if small else leaves
+    depths = depths or [0]
     keys = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).alias("prefix")) for d in depths))
     placed = (
         rows.select("*", F.explode(keys).alias("_k")).select("doc_id", "_bytes", "_h", "_k.*")

@@ -1,10 +1,11 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled texts (a bounded sample) are dealt by a hash of the text into three
-parts. The first gives the learned lexicon: words and word beginnings that many
-toxic and hardly any clean texts hold. The second trains the trees on features
-out of whole texts; the third fits the calibration. So no text is judged by a
-lexicon that it is in. Scoring is one map stage and the models' own transforms.
+Labelled texts (a bounded sample) give the learned lexicon: words and word
+beginnings that many toxic and hardly any clean texts hold. They are dealt into
+parts by a hash of the text, and a text's features for training use a lexicon
+learned from the other parts, so none is judged by a lexicon that it is in. Most
+texts train the trees, the rest fit the calibration. Scoring uses the lexicon of
+all parts; it is one map stage and the models' own transforms.
 
 Features: densities and distinct numbers of lexicon hits, their closeness to
 words of address, shares of capitals and punctuation, runs of marks, and rates of
@@ -29,6 +30,7 @@ from quizlens.llm.common import bounded_sample, by_batch, cut_lineage, texts_of
 PER_CLASS = 5000        # labelled rows of each class to learn from, at most
 LEXICON = 4000          # learned entries, at most; a parameter of the model like its depth
 MIN_TEXTS, MIN_GAIN = 4, 3.0
+PARTS = 3
 
 # fixed values: a short public list of insults, and words of address, for English, German, French and Spanish
 INSULTS = frozenset(
@@ -110,64 +112,79 @@ def features(text, lexicon):
     ]
 
 
-def learn_lexicon(sample: DataFrame) -> dict:
-    """Entries with their log odds. Counting and choosing run on Spark; at most ``LEXICON`` rows come back."""
+def learn_lexicons(sample: DataFrame) -> dict:
+    """``{part: entries with their log odds}``: for each part one learned from the others, at None from all.
+
+    Counting and choosing run on Spark; at most ``LEXICON`` rows of each come back.
+    """
     def work():
         def step(rows):
             found = Counter()
-            for text, toxic in zip(rows["text"], rows["toxic"]):
-                found.update((e, toxic) for e in {e for w in set(tokens(text or "")) for e in entries(w)})
-            return {
-                "entry": [k[0] for k in found], "toxic": [k[1] for k in found], "n": list(found.values()),
-            }
+            for text, toxic, part in zip(rows["text"], rows["toxic"], rows["part"]):
+                found.update((e, toxic, part) for e in {e for w in set(tokens(text or "")) for e in entries(w)})
+            entry, toxic, part = zip(*found) if found else ((), (), ())
+            return {"entry": list(entry), "toxic": list(toxic), "part": list(part), "n": list(found.values())}
 
         return step
 
-    totals = {row[0]: row[1] for row in sample.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
-        return {}
-    counted = by_batch(sample.select("text", "toxic"), work, "entry string, toxic int, n long").groupBy("entry").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
-    )
-    gain = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    # among entries of many texts first, so that the words of one text and its copies come last
-    chosen = (
-        counted.where(F.col("bad") >= MIN_TEXTS).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-        .orderBy(F.desc("bad"), F.desc("gain"), "entry").limit(LEXICON)
+    totals = Counter({(r["toxic"], r["part"]): r["n"] for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()})
+    count = lambda toxic, part: F.sum(
+        F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.col("n")).otherwise(0)
+    ).alias(f"n{toxic}{part}")
+    counted = cut_lineage(
+        by_batch(sample.select("text", "toxic", "part"), work, "entry string, toxic int, part int, n long")
+        .groupBy("entry").agg(*(count(t, p) for t in (0, 1) for p in range(PARTS)))
+        .where("+".join(f"n1{p}" for p in range(PARTS)) + f" >= {MIN_TEXTS}")
     )
-    return {row["entry"]: row["gain"] for row in chosen.collect()}
+    found = {}
+    for left_out in (*range(PARTS), None):
+        used = [p for p in range(PARTS) if p != left_out]
+        bad_all, good_all = (sum(totals[t, p] for p in used) for t in (1, 0))
+        bad, good = (sum((F.col(f"n{t}{p}") for p in used), F.lit(0)) for t in (1, 0))
+        gain = F.log((bad + 0.5) / (bad_all + 1.0)) - F.log((good + 0.5) / (good_all + 1.0))
+        # entries of many texts first, so that the words of one text and its copies come last
+        chosen = (
+            counted.select("entry", bad.alias("bad"), gain.alias("gain"))
+            .where((F.col("bad") >= MIN_TEXTS) & (F.col("gain") >= MIN_GAIN))
+            .orderBy(F.desc("bad"), F.desc("gain"), "entry").limit(LEXICON)
+        )
+        found[left_out] = {row["entry"]: row["gain"] for row in chosen.collect()} if bad_all and good_all else {}
+    return found
 
 
-def featured(rows: DataFrame, lexicon: dict, keep) -> DataFrame:
-    """``keep`` and ``features`` (array of double) of each row's ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+def featured(rows: DataFrame, lexicons: dict, keep) -> DataFrame:
+    """``keep`` and ``features`` (array of double) of each row's ``text``, by the lexicon of its ``part`` if it has one."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
 
     def work():
         known = shared.value
         return lambda batch: {
-            **{k: batch[k] for k in keep}, "features": [features(t or "", known) for t in batch["text"]]
+            **{k: batch[k] for k in keep},
+            "features": [
+                features(t or "", known[p])
+                for t, p in zip(batch["text"], batch.get("part") or [None] * len(batch["text"]))
+            ],
         }
 
     return by_batch(rows.select(*keep, "text"), work, f"{kinds}, features array<double>")
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class=PER_CLASS):
-    """``(lexicon, trees, calibration)``; trees are None if one class only (``calibration`` is its score)."""
+    """``(lexicons, trees, calibration)``; trees are None if one class only (``calibration`` is its score)."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int"))
     sample = texts_of(documents, bounded_sample(known, "doc_id", per_class, "toxic").dropDuplicates(["doc_id"]))
     # copies of a text count once
     sample = cut_lineage(
         sample.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["h"])
-        .withColumn("fold", F.pmod("h", F.lit(10)))
+        .withColumn("fold", F.pmod("h", F.lit(10))).withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(PARTS)).cast("int"))
     )
-    lexicon = learn_lexicon(sample.where("fold < 4"))
+    lexicons = learn_lexicons(sample)
     rows = cut_lineage(
-        featured(sample.where("fold >= 4").select("text", "toxic", "fold"), lexicon, ["toxic", "fold"])
+        featured(sample.select("text", "toxic", "fold", "part"), lexicons, ["toxic", "fold", "part"])
         .select(F.col("toxic").cast("double").alias("label"), "fold", array_to_vector("features").alias("features"))
     )
+    lexicon = {None: lexicons[None]}
     fit, check = rows.where("fold < 8"), rows.where("fold >= 8")
     classes = sorted(r[0] for r in fit.select("label").distinct().collect())
     if len(classes) < 2:
@@ -184,8 +201,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class=PER_CLASS):
 
 def score(documents: DataFrame, model) -> DataFrame:
     """``doc_id, score, predicted`` for each row."""
-    lexicon, trees, calibration = model
-    rows = featured(documents.select("doc_id", "text"), lexicon, ["doc_id"])
+    lexicons, trees, calibration = model
+    rows = featured(documents.select("doc_id", "text"), lexicons, ["doc_id"])
     if trees is None:
         out = rows.select("doc_id", F.lit(calibration).alias("score"))
     else:
