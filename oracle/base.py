@@ -55,7 +55,7 @@ flat AS (
 
 EVENTS = f"""{KEYED}, {FLAT},
 ev AS (
-  SELECT batch_seq * 40 AS id, session_id, event_name,
+  SELECT batch_seq * 1048576 AS id, session_id, event_name,
     cast(greatest(coalesce(list_position([{', '.join(repr(n) for n in STEPS)}], event_name), 0) - 1, 0)
       AS INTEGER) AS step_index,
     section, label, device, received_ts AS ts
@@ -63,7 +63,7 @@ ev AS (
 
 CLICKS = f"""{KEYED}, {FLAT},
 cl AS (
-  SELECT batch_seq * 60 AS id, session_id, section, label,
+  SELECT batch_seq * 1048576 AS id, session_id, section, label,
     cast(cast(least(1, greatest(0, x)) AS FLOAT) AS DOUBLE) AS x_pct,
     cast(cast(least(1, greatest(0, y)) AS FLOAT) AS DOUBLE) AS y_pct,
     cast(cast(sec_pct AS FLOAT) AS DOUBLE) AS sec_pct,

@@ -92,7 +92,7 @@ def grid(cols, rows, more=""):
     return f"""SELECT cast(least({cols - 1}, floor(x_pct * {cols})) AS INTEGER) AS gx,
   cast(least({rows - 1}, floor(y_pct * {rows})) AS INTEGER) AS gy, {n()} AS n,
   {n('is_cta')} AS n_cta, {n('dead')} AS n_mortos
-{C} {more} GROUP BY 1, 2 ORDER BY n DESC, gx, gy LIMIT 4000"""
+{C} {more} GROUP BY 1, 2"""
 
 
 GRID = f"{CLICKS}, grid AS ({grid(60, 220)})"
@@ -188,6 +188,12 @@ SELECT session_id, first_ts, device, max_q, score, band, contact, reached_result
   referrer, purchased, purchase_cents
 {S} AND cta_clicks > 0 AND NOT reached_checkout AND device = 'mobile'
 ORDER BY first_ts DESC, session_id LIMIT 100 OFFSET 20""")
+add("session_list_after", SESSIONS, f"""
+SELECT session_id, first_ts, device, max_q, score, band, contact, reached_result, max_scroll,
+  last_section, duration_sec, cta_clicks, reached_checkout, utm_source, utm_campaign, country,
+  referrer, purchased, purchase_cents
+{S} AND first_ts < TIMESTAMP '2024-01-20 12:00:00' OR (first_ts = TIMESTAMP '2024-01-20 12:00:00' AND session_id > '')
+ORDER BY first_ts DESC, session_id LIMIT 150""")
 add("session_count", SESSIONS, f"SELECT {n()} AS n {S} AND reached_checkout AND NOT purchased")
 FILTERS = {
     "comprou": "purchased", "nao_comprou": "reached_checkout AND NOT purchased",
@@ -197,20 +203,30 @@ FILTERS = {
 }
 add("session_filter", SESSIONS,
     "SELECT " + ", ".join(f"{n(c)} AS {k}" for k, c in FILTERS.items()) + " FROM s")
-add("session_journey", ALL, """
+def journey(cut=""):
+    nothing = lambda kinds: ", ".join(f"cast(NULL AS {kind})" for kind in kinds.split())
+    return f"""
 SELECT * FROM (
-  SELECT session_id, ts, 'event' AS kind, event_name AS name, section, label,
-    cast(NULL AS VARCHAR) AS status, cast(NULL AS INTEGER) AS valor_cents,
+  SELECT session_id, ts, 'event' AS kind, event_name AS name, section, label, step_index,
+    cast(NULL AS DOUBLE) AS x_pct, cast(NULL AS DOUBLE) AS y_pct, cast(NULL AS BOOLEAN) AS is_cta,
+    cast(NULL AS VARCHAR) AS status, cast(NULL AS INTEGER) AS valor_cents, cast(NULL AS VARCHAR) AS metodo,
+    cast(NULL AS VARCHAR) AS produto, cast(NULL AS VARCHAR) AS cliente_nome, cast(NULL AS VARCHAR) AS cliente_email,
+    cast(NULL AS TIMESTAMP) AS paid_at,
     cast(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) AS pos FROM ev
   UNION ALL
-  SELECT session_id, ts, 'click', CASE WHEN dead THEN 'dead' ELSE 'click' END, section, label, NULL, NULL,
+  SELECT session_id, ts, 'click', CASE WHEN dead THEN 'dead' ELSE 'click' END, section, label, NULL,
+    x_pct, y_pct, is_cta, {nothing("VARCHAR INTEGER VARCHAR VARCHAR VARCHAR VARCHAR TIMESTAMP")},
     cast(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) FROM cl
   UNION ALL
-  SELECT session_id, created_at, 'order', order_id, NULL, NULL, status, valor_cents,
+  SELECT session_id, created_at, 'order', order_id, {nothing("VARCHAR VARCHAR INTEGER DOUBLE DOUBLE BOOLEAN")},
+    status, valor_cents, metodo, produto, cliente_nome, cliente_email, paid_at,
     cast(row_number() OVER (PARTITION BY session_id ORDER BY created_at, order_id) AS INTEGER)
   FROM o WHERE session_id IS NOT NULL)
-WHERE session_id IN (SELECT session_id FROM v)
-  AND pos <= CASE kind WHEN 'event' THEN 500 WHEN 'click' THEN 300 ELSE 20 END""")
+WHERE session_id IN (SELECT session_id FROM v) {cut}"""
+
+
+add("session_journey", ALL, journey())
+add("journey_cut", ALL, journey("AND pos <= CASE kind WHEN 'event' THEN 500 WHEN 'click' THEN 300 ELSE 20 END"))
 add("events_by_type", EVENTS, f"""
 SELECT event_name, {n()} AS n, {distinct('session_id')} AS sessoes, max(ts) AS ultimo {E} GROUP BY 1""")
 add("event_count", EVENTS, f"SELECT {n()} AS n {E} AND event_name = 'quiz_answer'")
@@ -421,7 +437,7 @@ SELECT session_id, received_ts, batch_seq, device, vw, referrer, utm_source, cou
   band, contact, max_scroll, last_section FROM clean WHERE {OK_BODY}""")
 ORACLE_SQL["quarantine_batches"] = """
 SELECT event_id AS batch_seq, CASE WHEN event_id % 50 <> 3 AND event_id % 40 <> 7 THEN 'aceito'
-  ELSE 'recusado' END AS destino FROM events"""
+  ELSE 'recusado' END AS destino, event_id % 50 = 3 AS quebrado FROM events"""
 add("read_notifications", NOTES, "SELECT seq, order_id, session_id, status, valor_cents FROM notes")
 add("event_log_store", EVENTS, f"SELECT * {E}")
 add("stream_ingest", EVENTS, "SELECT * FROM ev")
@@ -478,7 +494,7 @@ add("device_whitelist", KEYED, """
 SELECT event_id AS seq, CASE k % 5 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' WHEN 2 THEN 'desktop' END AS device
 FROM keyed""")
 add("valid_clicks", KEYED, """
-SELECT event_id * 60 AS id, cast(cast(least(1, greatest(0, value / 100 - 1)) AS FLOAT) AS DOUBLE) AS x_pct,
+SELECT event_id * 1048576 AS id, cast(cast(least(1, greatest(0, value / 100 - 1)) AS FLOAT) AS DOUBLE) AS x_pct,
   cast(cast(least(1, greatest(0, value / 490)) AS FLOAT) AS DOUBLE) AS y_pct, true AS is_cta, false AS dead,
   CASE WHEN k % 7 BETWEEN 1 AND 4 THEN k % 7 END AS band, cast(NULL AS VARCHAR) AS device
 FROM keyed WHERE k % 6 > 2""")
@@ -517,7 +533,7 @@ SELECT id, cast(least(59, floor(x_pct * 60)) AS INTEGER) AS gx,
 add("natural_question_order", EVENTS, """
 SELECT section, TRY_CAST(nullif(regexp_replace(section, '[^0-9]', '', 'g'), '') AS INTEGER) AS numero
 FROM ev WHERE section IS NOT NULL GROUP BY 1""")
-JOURNEY = ORACLE_SQL["session_journey"]
+JOURNEY = ORACLE_SQL.pop("journey_cut")
 ORACLE_SQL["journey_events"] = (
     f"SELECT session_id, pos, name, section, label, ts FROM ({JOURNEY}) WHERE kind = 'event'")
 ORACLE_SQL["journey_clicks_orders"] = (

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quizlens.fixed_values import JOURNEY_LIMITS, MAX_CLICKS_PER_BATCH, MAX_EVENTS_PER_BATCH, TOP
 from quizlens.functions import browser, sales
 from quizlens.functions import values as v
 from quizlens.functions.period import period_filter
@@ -37,7 +38,7 @@ def panel(query_name, plan, *sources, **args):
 panel("overview_summary", overview.overview_summary, "sessions")
 panel("overview_by_day", overview.overview_by_day, "visits")
 panel("overview_by_device", overview.overview_by_device, "visits")
-panel("overview_by_source", overview.overview_by_source, "visits")
+panel("overview_by_source", overview.overview_by_source, "visits", most=TOP["overview_by_source"])
 
 panel("funnel_top_step", funnel.funnel_top_step, "events")
 panel("funnel_steps", funnel.funnel_steps, "events")
@@ -46,15 +47,15 @@ panel("funnel_cumulative", funnel.funnel_cumulative, "events")
 panel("funnel_drop", funnel.funnel_drop, "events")
 panel("bottleneck", funnel.bottleneck, "events")
 panel("section_reach", funnel.section_reach, "events")
-panel("offer_abandonment", funnel.offer_abandonment, "visits")
-panel("cta_ranking", funnel.cta_ranking, "events")
+panel("offer_abandonment", funnel.offer_abandonment, "visits", most=TOP["offer_abandonment"])
+panel("cta_ranking", funnel.cta_ranking, "events", most=TOP["cta_ranking"])
 panel("capture_outcome", funnel.capture_outcome, "events")
 
 panel("heat_grid", heatmap.heat_grid, "clicks")
 panel("heat_grid_cut", heatmap.heat_grid, "clicks", cols=20, rows=50,
       cuts={"device": "mobile", "band": 2, "section": "preco"})
-panel("element_ranking", heatmap.element_ranking, "clicks")
-panel("dead_clicks", heatmap.dead_clicks, "clicks")
+panel("element_ranking", heatmap.element_ranking, "clicks", most=TOP["element_ranking"])
+panel("dead_clicks", heatmap.dead_clicks, "clicks", most=TOP["dead_clicks"])
 panel("clicks_by_section", heatmap.clicks_by_section, "clicks")
 panel("scroll_curve", heatmap.scroll_curve, "visits")
 panel("scroll_curve_cut", heatmap.scroll_curve, "visits", device="mobile", band=3)
@@ -68,13 +69,15 @@ panel("orders_summary", sales_plans.orders_summary, "orders")
 panel("checkout_summary", sales_plans.checkout_summary, "sessions")
 panel("sales_by_day", sales_plans.sales_by_day, "orders")
 panel("sales_by_band", sales_plans.sales_by_band, "sessions")
-panel("sales_by_source", sales_plans.sales_by_source, "sessions")
+panel("sales_by_source", sales_plans.sales_by_source, "sessions", most=TOP["sales_by_source"])
 panel("order_list", sales_plans.order_list, "orders", "visits")
 panel("order_list_problem", sales_plans.order_list, "orders", "visits", filtro="problema", limit=50)
-panel("rescue_list", sales_plans.rescue_list, "sessions")
+panel("rescue_list", sales_plans.rescue_list, "sessions", most=TOP["rescue_list"])
 
 panel("session_list", visits.session_list, "sessions", filtro="cta", device="mobile",
       limit=100, offset=20)
+panel("session_list_after", visits.session_list, "sessions", limit=150,
+      after=("2024-01-20 12:00:00", ""))
 panel("session_count", visits.session_count, "sessions", filtro="nao-comprou")
 
 panel("events_by_type", log.events_by_type, "events")
@@ -109,8 +112,8 @@ def append_clicks(spark, folder):
 def batch_caps(spark, folder):
     """Batches of 64 events and clicks, of which 40 and 60 are taken."""
     batches = sample.big_batches(spark, folder)
-    events = ingest.event_rows(batches).groupBy("session_id").agg(v.rows().alias("eventos"))
-    clicks = ingest.click_rows(batches).groupBy("session_id").agg(v.rows().alias("cliques"))
+    events = ingest.event_rows(batches, MAX_EVENTS_PER_BATCH).groupBy("session_id").agg(v.rows().alias("eventos"))
+    clicks = ingest.click_rows(batches, MAX_CLICKS_PER_BATCH).groupBy("session_id").agg(v.rows().alias("cliques"))
     return clicks.join(events, "session_id", "left")
 
 
@@ -178,10 +181,14 @@ def session_filter(spark, folder):
     return sample.tables(spark, folder).sessions.agg(*conditions)
 
 
+def _journey(spark, folder, most=None):
+    t = sample.tables(spark, folder)
+    return visits.session_journey(t.events, t.clicks, t.orders, t.visits, most=most)
+
+
 @query
 def session_journey(spark, folder):
-    t = sample.tables(spark, folder)
-    return visits.session_journey(t.events, t.clicks, t.orders, t.visits)
+    return _journey(spark, folder)
 
 
 @query
@@ -435,9 +442,9 @@ def read_batches(spark, folder):
 
 @query
 def quarantine_batches(spark, folder):
-    accepted, refused = ingest.quarantine_batches(_stored_batches(spark, folder))
-    side = lambda df, name: df.select("batch_seq", F.lit(name).alias("destino"))
-    return side(accepted, "aceito").unionByName(side(refused, "recusado"))
+    """Every batch with its verdict; broken bodies are still there to be looked at."""
+    marked = ingest.quarantine_batches(_stored_batches(spark, folder))
+    return marked.select("batch_seq", "destino", F.startswith("body", F.lit("{oops")).alias("quebrado"))
 
 
 @query
@@ -690,13 +697,14 @@ def natural_question_order(spark, folder):
 
 @query
 def journey_events(spark, folder):
-    return session_journey(spark, folder).filter("kind = 'event'").select(
+    """The first rows of each visit's timeline, as the screen shows them."""
+    return _journey(spark, folder, JOURNEY_LIMITS).filter("kind = 'event'").select(
         "session_id", "pos", "name", "section", "label", "ts"
     )
 
 
 @query
 def journey_clicks_orders(spark, folder):
-    return session_journey(spark, folder).filter("kind <> 'event'").select(
+    return _journey(spark, folder, JOURNEY_LIMITS).filter("kind <> 'event'").select(
         "session_id", "kind", "pos", "name", "status", "valor_cents", "ts"
     )

@@ -40,6 +40,7 @@ PRICE_SECTION = "preco"
 # --- ingest limits --------------------------------------------------------
 MAX_EVENTS_PER_BATCH = 40
 MAX_CLICKS_PER_BATCH = 60
+PLACES_PER_BATCH = 2**20     # stride of row numbers: room for the rows of one batch
 SESSION_ID_PATTERN = r"^[a-zA-Z0-9_-]{8,40}\z"
 MAX_RAW_CHARS = 60000
 RAW_SUMMARY_CHARS = 4000
@@ -140,8 +141,6 @@ SESSION_FIELD_NAMES = [
     "trackingid", "externalid", "externalreference", "utmcontent",
 ]
 SESSION_IN_TEXT = r"(?i)\bbt[0-9a-z]{12,38}\b"
-MAX_JSON_DEPTH = 8
-MAX_JSON_LEAVES = 601
 NO_ID_PREFIX = "sem-id-"
 
 # --- display defaults for missing values ----------------------------------
@@ -158,7 +157,6 @@ TOP = {
     "overview_by_source": 25,
     "offer_abandonment": 20,
     "cta_ranking": 30,
-    "heat_grid": 4000,
     "element_ranking": 40,
     "dead_clicks": 20,
     "sales_by_source": 12,

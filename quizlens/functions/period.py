@@ -58,9 +58,18 @@ def _within(value, bounds):
     return min(high, max(low, _leading_int(value) or default))
 
 
+ALL = "all"
+
+
 def list_args(screen, limit=None, offset=None):
-    """Clamp the paging arguments of a list; text is read like a form field."""
-    return _within(limit, LIST_LIMITS[screen]), max(0, _leading_int(offset))
+    """Clamp the paging arguments of a list; text is read like a form field. ``ALL`` means no limit."""
+    most = None if limit == ALL else _within(limit, LIST_LIMITS[screen])
+    return most, max(0, _leading_int(offset))
+
+
+def top(rows, most=None):
+    """All rows, or the first ``most``."""
+    return rows if most is None else rows.limit(most)
 
 
 def grid_args(cols=None, rows=None):

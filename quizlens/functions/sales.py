@@ -1,7 +1,5 @@
 """Normalising what a sale notification says: money, status, method, ids."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quizlens.fixed_values import (
@@ -70,7 +68,3 @@ def cap_raw(payload):
 
 def normalize_key(name):
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-
-
-def any_of(conditions):
-    return reduce(lambda a, b: a | b, conditions)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quizlens import schemas
 from quizlens.fixed_values import (
-    DEVICES, ENGAGEMENT_EVENTS, FUNNEL_STEPS, MAX_CLICKS_PER_BATCH, MAX_EVENTS_PER_BATCH,
+    DEVICES, ENGAGEMENT_EVENTS, FUNNEL_STEPS, PLACES_PER_BATCH,
     SESSION_ID_PATTERN, WIDTH,
 )
 from quizlens.functions import values as v
@@ -17,9 +17,11 @@ from quizlens.functions import values as v
 STEP_NAMES = [name for name, _ in FUNNEL_STEPS]
 ALLOWED_EVENTS = STEP_NAMES + ENGAGEMENT_EVENTS
 
+ACCEPTED, REFUSED = "aceito", "recusado"
+
 
 def parse_batches(lines: DataFrame, body="body") -> DataFrame:
-    """Parse JSON bodies into typed batches; an unreadable body gives NULL fields.
+    """Parse JSON bodies into typed batches; an unreadable body gives NULL fields and stays beside them.
 
     Scalars are read as text first and coerced by our own rules, so ``"7"`` and
     ``7`` mean the same.
@@ -39,7 +41,7 @@ def parse_batches(lines: DataFrame, body="body") -> DataFrame:
         for f in schemas.SNAPSHOT_IN.fields
     ])
     return parsed.select(
-        *[c for c in lines.columns if c != body],
+        *lines.columns,
         F.col("_b.sessionId").alias("sessionId"),
         F.col("_b.device").alias("device"),
         F.transform("_b.events", event).alias("events"),
@@ -62,10 +64,13 @@ def valid_session_id(batches: DataFrame) -> DataFrame:
     return with_session_id(batches).filter(is_valid_id())
 
 
-def quarantine_batches(batches: DataFrame):
-    """Split parsed batches into (accepted, refused) so that nothing is lost."""
-    marked = with_session_id(batches)
-    return marked.filter(is_valid_id()), marked.filter(~is_valid_id())
+def quarantine_batches(batches: DataFrame) -> DataFrame:
+    """Mark parsed batches as accepted or refused (``destino``) in one pass.
+
+    Refused ones keep their ``body`` and, of broken lines, ``_corrupt_record``, so nothing is lost.
+    """
+    verdict = F.when(is_valid_id(), ACCEPTED).otherwise(REFUSED)
+    return with_session_id(batches).withColumn("destino", verdict)
 
 
 def known_device(column="device"):
@@ -78,16 +83,20 @@ def step_index(name):
     return F.greatest(places - 1, F.lit(0)).cast("int")
 
 
-def event_rows(batches: DataFrame) -> DataFrame:
-    """Event rows of the accepted batches: capped, whitelisted, numbered."""
-    first = F.slice("events", 1, MAX_EVENTS_PER_BATCH)
+def _leading(column, most):
+    return F.col(column) if most is None else F.slice(column, 1, most)
+
+
+def event_rows(batches: DataFrame, most=None) -> DataFrame:
+    """Event rows of the accepted batches, whitelisted and numbered; of each batch the first ``most``, or all."""
+    first = _leading("events", most)
     each = valid_session_id(batches).select(
         "batch_seq", "received_ts", "session_id", known_device().alias("device"),
         F.posexplode(first).alias("pos", "e"),
     )
     name = v.cut(F.col("e.name"), WIDTH["event_name"])
     return each.filter(name.isin(ALLOWED_EVENTS)).select(
-        (F.col("batch_seq") * MAX_EVENTS_PER_BATCH + F.col("pos")).alias("id"),
+        (F.col("batch_seq") * PLACES_PER_BATCH + F.col("pos")).alias("id"),
         "session_id",
         name.alias("event_name"),
         step_index(name).alias("step_index"),
@@ -98,16 +107,16 @@ def event_rows(batches: DataFrame) -> DataFrame:
     )
 
 
-def click_rows(batches: DataFrame) -> DataFrame:
-    """Click rows of the accepted batches: capped, with finite clamped positions."""
-    first = F.slice("clicks", 1, MAX_CLICKS_PER_BATCH)
+def click_rows(batches: DataFrame, most=None) -> DataFrame:
+    """Click rows of the accepted batches with finite clamped positions; of each batch the first ``most``, or all."""
+    first = _leading("clicks", most)
     each = valid_session_id(batches).select(
         "batch_seq", "received_ts", "session_id", known_device().alias("device"),
         F.posexplode(first).alias("pos", "c"),
     )
     x, y = v.clamp01(F.col("c.x")), v.clamp01(F.col("c.y"))
     return each.filter(x.isNotNull() & y.isNotNull()).select(
-        (F.col("batch_seq") * MAX_CLICKS_PER_BATCH + F.col("pos")).alias("id"),
+        (F.col("batch_seq") * PLACES_PER_BATCH + F.col("pos")).alias("id"),
         "session_id",
         v.cut(F.col("c.section"), WIDTH["section"]).alias("section"),
         v.cut(F.col("c.label"), WIDTH["label"]).alias("label"),

@@ -2,7 +2,7 @@
 
 Every JSON value becomes a *leaf* (name, path, text). Fields are then picked by
 name and priority with array functions on the row, so extraction adds no
-shuffle and no row multiplication: a notification has at most 601 leaves.
+shuffle and no row multiplication. Documents of any depth and number of values are read whole.
 """
 
 import json
@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizlens.fixed_values import (
-    FIELD_NAMES, FORBIDDEN_CONTEXT, GENERIC_ID_NAMES, MAX_JSON_DEPTH, MAX_JSON_LEAVES,
-    ORDER_CONTEXT, ORDER_ID_NAMES, ROOT_ID_NAMES, SESSION_FIELD_NAMES, UNKNOWN_STATUS, WIDTH,
+    FIELD_NAMES, FORBIDDEN_CONTEXT, GENERIC_ID_NAMES, ORDER_CONTEXT, ORDER_ID_NAMES, ROOT_ID_NAMES, SESSION_FIELD_NAMES, UNKNOWN_STATUS, WIDTH,
 )
 from quizlens.functions import sales
 from quizlens.functions.values import cut_or_null
@@ -64,44 +63,96 @@ def _normal(name):
     return _NOT_NAME.sub("", name.lower())
 
 
-def _walk(value, name, parent, depth, keys, found):
-    """Append the leaves under ``value`` in document order; ``keys`` remembers names."""
-    if value is None or depth > MAX_JSON_DEPTH or len(found) >= MAX_JSON_LEAVES:
-        return
-    if isinstance(value, list):
-        for item in value:
-            _walk(item, name, parent, depth + 1, keys, found)
-        return
-    key = keys.get(name)
-    if key is None:
-        key = keys[name] = _normal(name)
-    path = f"{parent}.{key}" if parent and key else parent or key
-    if isinstance(value, dict):
-        for member, item in _in_page_order(value):
-            _walk(item, member, path, depth + 1, keys, found)
-    elif isinstance(value, str):
-        found.append((len(found), key, path, value, True))
-    else:
-        found.append((len(found), key, path, _as_text(value), False))
-
-
-def _leaves(text, decode, keys):
-    found = []
+def _storable(text):
+    """Text that UTF-8 can hold: half of a surrogate pair alone becomes the replacement mark."""
     try:
-        root = decode(text)
-    except (ValueError, TypeError, RecursionError):
-        return found
-    if isinstance(root, (dict, list)):
-        _walk(root, "", "", 0, keys, found)
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def _nested(text, scalar):
+    """The JSON value of a text of any depth, with an own stack in place of recursion.
+
+    Used for what is nested too deeply for the standard decoder; ``scalar`` reads anything else
+    than objects and arrays.
+    """
+    blank = re.compile(r"[ \t\n\r]*")
+    root, at = [], blank.match(text).end()
+    stack, name = [root], None
+
+    def expect(sign, at):
+        if text[at:at + 1] != sign:
+            raise ValueError("not JSON")
+        return blank.match(text, at + 1).end()
+
+    def named(at):
+        if text[at:at + 1] != '"':
+            raise ValueError("not JSON")
+        key, end = scalar(text, at)
+        return key, expect(":", blank.match(text, end).end())
+
+    while True:
+        opened = text[at:at + 1]
+        value, end = ({}, at + 1) if opened == "{" else ([], at + 1) if opened == "[" else scalar(text, at)
+        holder = stack[-1]
+        holder.append(value) if isinstance(holder, list) else holder.__setitem__(name, value)
+        at = blank.match(text, end).end()
+        if opened in ("{", "["):
+            stack.append(value)
+            if text[at:at + 1] not in ("}", "]"):
+                if opened == "{":
+                    name, at = named(at)
+                continue
+        while len(stack) > 1 and text[at:at + 1] == ("}" if isinstance(stack[-1], dict) else "]"):
+            stack.pop()
+            at = blank.match(text, at + 1).end()
+        if len(stack) == 1:
+            if at < len(text):
+                raise ValueError("not JSON")
+            return root[0]
+        at = expect(",", at)
+        if isinstance(stack[-1], dict):
+            name, at = named(at)
+
+
+def _leaves(text, decoder, keys):
+    """``(ord, key, path, value, is_text)`` of every value in document order; ``keys`` remembers names."""
+    try:
+        try:
+            root = decoder.decode(text)
+        except RecursionError:
+            root = _nested(text, decoder.scan_once)
+    except (ValueError, TypeError, StopIteration):
+        return []
+    if not isinstance(root, (dict, list)):
+        return []
+    found, waiting = [], [(root, "", "")]
+    while waiting:
+        value, name, above = waiting.pop()
+        if isinstance(value, list):
+            waiting.extend((item, name, above) for item in reversed(value))
+            continue
+        if value is None:
+            continue
+        if name not in keys:
+            keys[name] = _normal(name)
+        own = ".".join(part for part in (above, keys[name]) if part)
+        if isinstance(value, dict):
+            waiting.extend((item, member, own) for member, item in reversed(list(_in_page_order(value))))
+        else:
+            is_text = isinstance(value, str)
+            found.append((len(found), keys[name], own, _storable(value) if is_text else _as_text(value), is_text))
     return found
 
 
 @F.arrow_udf(LEAVES)
 def leaves_of(payloads: pa.Array) -> pa.Array:
-    decode = json.JSONDecoder(parse_int=float, parse_constant=_reject).decode
+    decoder = json.JSONDecoder(parse_int=float, parse_constant=_reject)
     ends, rows, keys = [0], [], {}
     for text in payloads.to_pylist():
-        rows += _leaves(text, decode, keys)
+        rows += _leaves(text, decoder, keys)
         ends.append(len(rows))
     columns = zip(*rows) if rows else ((), (), (), (), ())
     kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
@@ -235,5 +286,5 @@ def extract(notifications):
         stored("fone", "cliente_fone"),
         stored("utm_source", "utm_source"),
         stored("utm_campaign", "utm_campaign"),
-        sales.cap_raw(F.col("payload")).alias("raw"),
+        F.col("payload").alias("raw"),
     )

@@ -1,11 +1,10 @@
 """Funnel screen: how far visits go, and where they stop."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quizlens.fixed_values import CTA_LABEL, DASH, FUNNEL_STEPS, NO_SECTION, TOP
+from quizlens.fixed_values import CTA_LABEL, DASH, FUNNEL_STEPS, NO_SECTION
 from quizlens.functions import values as v
-from quizlens.functions.period import period_filter
+from quizlens.functions.period import period_filter, top
 
 
 def funnel_top_step(events, **period):
@@ -113,21 +112,20 @@ def section_reach(events, **period):
     )
 
 
-def offer_abandonment(sessions, **period):
+def offer_abandonment(sessions, most=None, **period):
     """Where visits that saw the result and left without the checkout had stopped."""
-    return (
+    return top((
         period_filter(sessions, "first_ts", **period)
         .filter(F.col("reached_result") & ~F.col("reached_checkout"))
         .groupBy(F.coalesce("last_section", F.lit(NO_SECTION)).alias("section"))
         .agg(v.rows().alias("sessoes"))
         .orderBy(F.desc("sessoes"), "section")
-        .limit(TOP["offer_abandonment"])
-    )
+    ), most)
 
 
-def cta_ranking(events, **period):
+def cta_ranking(events, most=None, **period):
     """Which buying button works: clicks and visits by block and label."""
-    return (
+    return top((
         period_filter(events, "ts", **period)
         .filter(F.col("event_name").isin("cta_click", "checkout_click"))
         .groupBy(
@@ -136,8 +134,7 @@ def cta_ranking(events, **period):
         )
         .agg(v.rows().alias("cliques"), v.distinct("session_id").alias("sessoes"))
         .orderBy(F.desc("cliques"), "section", "label")
-        .limit(TOP["cta_ranking"])
-    )
+    ), most)
 
 
 def capture_outcome(events, **period):
@@ -149,9 +146,3 @@ def capture_outcome(events, **period):
         .agg(v.distinct("session_id").alias("sessoes"))
         .orderBy("event_name")
     )
-
-
-def cumulative_by_window(top_steps):
-    """The cumulative counts from a stored ``funnel_top_step`` (nine rows at most)."""
-    backwards = Window.orderBy(F.desc("topo")).rowsBetween(Window.unboundedPreceding, 0)
-    return top_steps.withColumn("sessoes", F.sum("sessoes").over(backwards).cast("int"))

@@ -3,9 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quizlens.fixed_values import DASH, DEAD_LABEL, NO_LABEL, TOP
+from quizlens.fixed_values import DASH, DEAD_LABEL, NO_LABEL
 from quizlens.functions import values as v
-from quizlens.functions.period import click_args, grid_args, period_filter
+from quizlens.functions.period import click_args, grid_args, period_filter, top
 
 
 def click_filter(clicks, device=None, band=None, section=None):
@@ -21,14 +21,14 @@ def _selected(clicks, cuts, period):
     return period_filter(click_filter(clicks, **cuts), "ts", **period)
 
 
-def heat_grid(clicks, cols=None, rows=None, cuts=None, **period):
-    """Clicks per cell of a grid over the page; the busiest cells only.
+def heat_grid(clicks, cols=None, rows=None, cuts=None, most=None, **period):
+    """Clicks per cell of a grid over the page, the busiest first; all of them, or the first ``most``.
 
     The grid has at most 120 x 400 cells, so a task sends at most that many
     partial counts to the shuffle.
     """
     cols, rows = grid_args(cols, rows)
-    return (
+    cells = (
         _selected(clicks, cuts or {}, period)
         .groupBy(
             v.grid_cell(F.col("x_pct"), cols).alias("gx"),
@@ -40,12 +40,12 @@ def heat_grid(clicks, cols=None, rows=None, cuts=None, **period):
             v.count_where(F.col("dead")).alias("n_mortos"),
         )
         .orderBy(F.desc("n"), "gx", "gy")
-        .limit(TOP["heat_grid"])
     )
+    return top(cells, most)
 
 
 def heat_totals(grid):
-    """Peak and total over the returned cells, after the cell limit."""
+    """Peak and total over the cells: all clicks of the period if the grid is whole."""
     return grid.agg(
         F.coalesce(F.max("n"), F.lit(0)).alias("pico"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"),
@@ -53,15 +53,15 @@ def heat_totals(grid):
 
 
 def heat_intensity(grid):
-    """Each returned cell's share of the peak; the window spans at most 4000 cells."""
+    """Each cell's share of the peak; the window spans one grid, at most 120 x 400 cells."""
     peak = F.max("n").over(Window.partitionBy())
     return grid.select("gx", "gy", "n", (F.col("n") / peak).alias("intensity")).orderBy(
         F.desc("n"), "gx", "gy"
     )
 
 
-def element_ranking(clicks, cuts=None, **period):
-    return (
+def element_ranking(clicks, cuts=None, most=None, **period):
+    return top((
         _selected(clicks, cuts or {}, period)
         .groupBy(
             F.coalesce("label", F.lit(NO_LABEL)).alias("label"),
@@ -73,13 +73,12 @@ def element_ranking(clicks, cuts=None, **period):
             F.bool_or("is_cta").alias("is_cta"),
         )
         .orderBy(F.desc("cliques"), "label", "section")
-        .limit(TOP["element_ranking"])
-    )
+    ), most)
 
 
-def dead_clicks(clicks, cuts=None, **period):
+def dead_clicks(clicks, cuts=None, most=None, **period):
     """Clicks on things that look like buttons and are not."""
-    return (
+    return top((
         _selected(clicks, cuts or {}, period)
         .filter("dead")
         .groupBy(
@@ -88,8 +87,7 @@ def dead_clicks(clicks, cuts=None, **period):
         )
         .agg(v.rows().alias("cliques"), v.distinct("session_id").alias("sessoes"))
         .orderBy(F.desc("cliques"), "section", "label")
-        .limit(TOP["dead_clicks"])
-    )
+    ), most)
 
 
 def clicks_by_section(clicks, cuts=None, **period):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quizlens.fixed_values import WIDTH
 from quizlens.functions import values as v
-from quizlens.functions.period import list_args, period_filter
+from quizlens.functions.period import list_args, period_filter, top
 
 
 def event_log_filter(events, name=None, session=None):
@@ -42,8 +42,8 @@ def event_log(events, name=None, session=None, limit=None, offset=None, after=No
     if after is not None:
         ts, last_id = F.lit(after[0]).cast(events.schema["ts"].dataType), F.lit(after[1])
         chosen = chosen.filter((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("id") < last_id)))
+    paged = chosen.orderBy(F.desc("ts"), F.desc("id")).offset(offset)
     return (
-        chosen.orderBy(F.desc("ts"), F.desc("id"))
-        .offset(offset).limit(limit)
+        top(paged, limit)
         .select("id", "session_id", "event_name", "step_index", "section", "label", "device", "ts")
     )

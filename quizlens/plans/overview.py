@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quizlens.fixed_values import DASH, DIRECT, NO_DEVICE, TOP
+from quizlens.fixed_values import DASH, DIRECT, NO_DEVICE
 from quizlens.functions import values as v
-from quizlens.functions.period import period_filter
+from quizlens.functions.period import period_filter, top
 
 
 def _visits(sessions, period):
@@ -65,8 +65,8 @@ def overview_by_device(sessions, **period):
     )
 
 
-def overview_by_source(sessions, **period):
-    return (
+def overview_by_source(sessions, most=None, **period):
+    return top((
         _visits(sessions, period)
         .groupBy(
             v.blank_to(F.col("utm_source"), DIRECT).alias("origem"),
@@ -78,5 +78,4 @@ def overview_by_source(sessions, **period):
             v.count_where(F.col("reached_checkout")).alias("checkouts"),
         )
         .orderBy(F.desc("sessoes"), "origem", "campanha")
-        .limit(TOP["overview_by_source"])
-    )
+    ), most)

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quizlens.fixed_values import DIRECT, TOP
+from quizlens.fixed_values import DIRECT
 from quizlens.functions import values as v
-from quizlens.functions.period import list_args, period_filter
+from quizlens.functions.period import list_args, period_filter, top
 
 ORDER_FILTERS = {
     "pagos": ["pago"],
@@ -76,14 +76,13 @@ def sales_by_band(sessions, **period):
     )
 
 
-def sales_by_source(sessions, **period):
-    return (
+def sales_by_source(sessions, most=None, **period):
+    return top((
         period_filter(sessions, "first_ts", **period)
         .groupBy(v.blank_to(F.col("utm_source"), DIRECT).alias("origem"))
         .agg(v.rows().alias("sessoes"), *_purchases())
         .orderBy(F.desc("receita_cents"), F.desc("sessoes"), "origem")
-        .limit(TOP["sales_by_source"])
-    )
+    ), most)
 
 
 def order_filter(orders, filtro=None):
@@ -118,30 +117,30 @@ def orders_with_session(orders, sessions):
 def order_list(orders, sessions, filtro=None, limit=None, **period):
     """The newest orders with their visit.
 
-    The list is cut first: a visit adds columns to an order and never rows, so
-    only the visits of at most 300 listed orders are looked up.
+    The list is cut first: a visit adds columns to an order and never rows, so only
+    the visits of listed orders are looked up. Their ids are broadcast when the list
+    has a limit, and joined like any table when it has none.
     """
     limit, _ = list_args("orders", limit)
     newest = [F.desc("created_at"), F.col("order_id")]
     listed = (
         period_filter(order_filter(orders, filtro), "created_at", **period)
         .orderBy(*newest)
-        .limit(limit)
     )
+    listed = top(listed, limit)
     ids = listed.select("session_id").filter(F.col("session_id").isNotNull()).distinct()
-    visits = sessions.join(F.broadcast(ids), "session_id", "left_semi")
+    visits = sessions.join(ids if limit is None else F.broadcast(ids), "session_id", "left_semi")
     return orders_with_session(listed, visits).orderBy(*newest)
 
 
-def rescue_list(sessions, **period):
+def rescue_list(sessions, most=None, **period):
     """Visits that went to the checkout and did not buy, reachable ones first."""
-    return (
+    return top((
         period_filter(sessions, "first_ts", **period)
         .filter(F.col("reached_checkout") & ~F.col("purchased"))
         .orderBy(F.desc("contact"), F.desc("first_ts"), "session_id")
-        .limit(TOP["rescue_list"])
         .select(
             "session_id", "first_ts", "device", "score", "band", "contact", "max_scroll",
             "duration_sec", "cta_clicks", "utm_source", "utm_campaign",
         )
-    )
+    ), most)

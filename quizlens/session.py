@@ -1,6 +1,5 @@
 """Session helpers: building one for tests, and finding the shared work folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,11 +24,10 @@ def build_session(app="quizlens", master=None, **conf):
 def work_folder(spark, name):
     """A fresh folder for written intermediates and stream checkpoints.
 
-    It lies under ``spark.checkpoint.dir``, the storage every executor can see.
-    A session with no such setting (a laptop or a test) gets a temporary folder.
+    It lies under ``spark.checkpoint.dir``, the storage every executor can see. There is
+    no default: a folder of the driver's own would be invisible to executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quizlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

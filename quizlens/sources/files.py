@@ -1,5 +1,7 @@
 """Reading raw inputs, and keeping the clean tables as day-partitioned Parquet."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -7,7 +9,7 @@ from quizlens import schemas
 from quizlens.operators import ingest
 
 
-ENVELOPE = "batch_seq long, received_ts timestamp, country string, body string"
+ENVELOPE = "batch_seq long, received_ts timestamp, country string, body string, _corrupt_record string"
 NOTIFICATION = "seq long, received_ts timestamp, payload string"
 
 
@@ -63,14 +65,17 @@ def read_log(spark, path, kind, ts="timestamp"):
 def append_states(fold, messages, path, label):
     """Add the folded state of new messages to a keyed table's history.
 
-    ``label`` names the delivery; writing the same one again replaces it, so a
-    retried delivery changes nothing.
+    ``label`` names the delivery and must be unique to it, such as a stream's id with the
+    batch number; writing the same one again replaces it, so a retried delivery
+    changes nothing.
     """
     fold.merge(fold.lift(messages)).write.mode("overwrite").parquet(f"{path}/delivery={label}")
 
 
 def read_states(spark, path):
-    return spark.read.parquet(path).drop("delivery")
+    # labels are text, also where all of them look like numbers
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.drop("delivery")
 
 
 def read_folded(spark, fold, path):
@@ -79,5 +84,11 @@ def read_folded(spark, fold, path):
 
 
 def compact_states(spark, fold, path, target):
-    """Write all deliveries merged into one, to keep reads short."""
-    fold.merge(read_states(spark, path)).write.mode("overwrite").parquet(f"{target}/delivery=0")
+    """Write all deliveries merged into one, to keep reads short.
+
+    The merged states get a name of their own below ``target``, a new table, so no later
+    delivery replaces them. States merge to the same result in any order and any number
+    of times, so deliveries that go on arriving at ``target`` may repeat old ones.
+    """
+    name = f"merged-{uuid.uuid4().hex}"
+    fold.merge(read_states(spark, path)).write.mode("errorifexists").parquet(f"{target}/delivery={name}")

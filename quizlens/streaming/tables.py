@@ -25,10 +25,17 @@ def stream_folds(messages, targets, checkpoint):
     is folded on its own and its states are added under its batch number;
     readers merge them (``files.read_folded``). No state store grows with the
     number of keys, and a micro-batch that is run again writes the same folders.
+    A delivery is named by the query's id, which its checkpoint keeps, and the number,
+    so a stream that starts over with a fresh checkpoint replaces nothing.
     """
     def store(batch, number):
-        for fold, choose, path in targets:
-            files.append_states(fold, choose(batch), path, number)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()     # read once for all targets
+        try:
+            for fold, choose, path in targets:
+                files.append_states(fold, choose(batch), path, f"{stream}-{number}")
+        finally:
+            batch.unpersist()
 
     drain(messages.writeStream.foreachBatch(store), checkpoint)
 

@@ -83,3 +83,17 @@ def test_stored_deliveries_merge_and_retries_are_harmless(spark, data, tmp_path)
     assert sorted(map(tuple, files.read_folded(spark, fold, path).collect()), key=repr) == expected
     files.compact_states(spark, fold, path, compacted)
     assert sorted(map(tuple, files.read_folded(spark, fold, compacted).collect()), key=repr) == expected
+
+
+def test_a_fresh_stream_replaces_no_compacted_history(spark, data, tmp_path):
+    from quizlens.sources import sample
+    from quizlens.streaming import tables as streams
+
+    fold, path = folds.sessions(), str(tmp_path / "sessions")
+    visits = sample.tables(spark, data).visits
+    messages = sample.Live(data)
+    streams.stream_sessions(sample.batches(spark, messages), path, str(tmp_path / "first"))
+    files.compact_states(spark, fold, path, str(tmp_path / "merged"))
+    streams.stream_sessions(sample.batches(spark, messages), str(tmp_path / "merged"), str(tmp_path / "second"))
+    assert len(list((tmp_path / "merged").glob("delivery=*"))) > 1
+    assert files.read_folded(spark, fold, str(tmp_path / "merged")).count() == visits.count()

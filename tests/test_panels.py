@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quizlens.catalog import PERIOD, QUERIES
 from quizlens.operators import ingest
@@ -20,8 +21,6 @@ def test_funnel_by_hand(spark):
     assert [s.sessoes for s in steps] == [3, 2, 2, 1, 1, 1, 1, 1, 1]
     assert [s.perdeu for s in steps] == [None, 1, 0, 1, 0, 0, 0, 0, 0]
     assert funnel.bottleneck(events, **PERIOD).collect()[0].step == 1
-    tops = funnel.cumulative_by_window(funnel.funnel_top_step(events, **PERIOD)).collect()
-    assert sorted(map(tuple, tops)) == [(0, 3), (2, 2), (8, 1)]
 
 
 def test_empty_period(spark, tables):
@@ -65,9 +64,10 @@ def test_bad_batches_are_set_aside_not_lost(spark):
     lines = spark.createDataFrame(list(enumerate(bodies)), "batch_seq long, body string").selectExpr(
         "batch_seq", "timestamp_ntz '2024-01-01' AS received_ts", "body"
     )
-    accepted, refused = ingest.quarantine_batches(ingest.parse_batches(lines))
+    marked = ingest.quarantine_batches(ingest.parse_batches(lines))
+    accepted, refused = (marked.filter(F.col("destino") == side) for side in (ingest.ACCEPTED, ingest.REFUSED))
     assert sorted(r.batch_seq for r in accepted.collect()) == [0, 5]
-    assert sorted(r.batch_seq for r in refused.collect()) == [1, 2, 3, 4, 6]
+    assert {r.batch_seq: r.body for r in refused.collect()} == {i: bodies[i] for i in (1, 2, 3, 4, 6)}
     assert {r.session_id for r in accepted.collect()} == {"abcdefgh", "a" * 40}
 
 
@@ -101,4 +101,4 @@ def test_plans(spark, data):
     assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in steps and "partial_max" in steps
     assert "value" not in steps.split("ReadSchema")[1]
     assert "TakeOrderedAndProject" in plan_of(QUERIES["event_log"](spark, data))
-    assert "WindowGroupLimit" in plan_of(QUERIES["session_journey"](spark, data))
+    assert "WindowGroupLimit" in plan_of(QUERIES["journey_events"](spark, data))

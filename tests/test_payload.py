@@ -87,10 +87,26 @@ def test_numbers_are_written_shortest(spark):
     ]
 
 
-def test_depth_and_leaf_limits(spark):
+def test_any_depth_and_number_of_values(spark):
     deep = {"v": 1}
-    for _ in range(7):
+    for _ in range(50):
         deep = {"k": deep}
-    assert len(leaves(spark, deep)) == 1
-    assert leaves(spark, {"k": deep}) == []
-    assert len(leaves(spark, {f"k{i}": i for i in range(700)})) == 601
+    assert leaves(spark, deep) == [("v", ".".join(["k"] * 50) + ".v", "1", False)]
+    assert len(leaves(spark, {f"k{i}": i for i in range(700)})) == 700
+    late = {f"k{i}": i for i in range(700)} | {"order_id": "A1", "status": "paid"}
+    nested = {"order_id": "B2", "status": "paid"}
+    for _ in range(10):
+        nested = {"data": nested}
+    got = extracted(spark, late, nested)
+    assert [r.order_id for r in got] == ["A1", "B2"] and got[0].status == got[1].status == "pago"
+
+
+def test_depths_beyond_the_decoder_s_stack(spark):
+    n = 200_000
+    body = "[" * n + '{"a":[1,{"b":"x\\"]"},[]],"order_id":"C3"}' + "]" * n
+    assert leaves(spark, body) == [("a", "a", "1", False), ("b", "a.b", 'x"]', True), ("orderid", "orderid", "C3", True)]
+    assert leaves(spark, "[" * n + "1" + "]" * (n - 1)) == [] == leaves(spark, "[" * n + "1,]" + "]" * n)
+
+
+def test_half_a_surrogate_pair_is_replaced(spark):
+    assert leaves(spark, '{"a":"x\\ud800y","b":"\\ud83d\\ude00"}') == [("a", "a", "x\ufffdy", True), ("b", "b", "\U0001f600", True)]
