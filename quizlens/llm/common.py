@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_ROWS = 1_000_000      # of numbers or short keys; longer lists are joined by a shuffle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,14 +35,19 @@ def bounded_sample(rows: DataFrame, key: str, per_group: int, group: str) -> Dat
     Used only to fit models. A group's rows are first thinned at random to about
     twice the bound, so that what meets in one task stays small at any size.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    thin = rows.join(F.broadcast(sizes), group).where(
+    sizes = cut_lineage(rows.groupBy(group).agg(F.count("*").alias("_n")))
+    thin = rows.join(few_enough(sizes), group).where(
         F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(2_000_000.0 * per_group) / F.col("_n") + 100
     )
     order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
     return thin.withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_group}").drop("_r", "_n")
 
 
+def few_enough(rows: DataFrame) -> DataFrame:
+    """``rows`` of short keys, marked for broadcast if their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (few rows, bounded by the caller) with the texts of their ``doc_id``."""
     return documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")

@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import by_batch, cut_lineage, in_process
+from quizlens.llm.common import by_batch, cut_lineage, few_enough, in_process
 from quizlens.llm.graph import components
 
 SHINGLE, M, WIDTH = 5, 12, 2
 PERCENT = 75
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
-BROADCAST_IDS = 1_000_000
 KEEP = 300_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -167,8 +166,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
 
     ``members`` has ``id`` (a ``doc_id``, one per class) and ``grp``.
     """
-    few = members.count() <= BROADCAST_IDS
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(members) if few else members, "id")
+    texts = documents.select(F.col("doc_id").alias("id"), "text").join(few_enough(members), "id")
 
     def sets():
         hashes = in_process("dedup_words", "words", WordHashes)
@@ -271,8 +269,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with all columns; rows that repeat a ``doc_id`` are one."""
     judged = near_duplicates(documents)
-    gone = judged.where("not kept").select("doc_id").distinct()
+    gone = few_enough(cut_lineage(judged.where("not kept").select("doc_id").distinct()))
     kept = documents.join(gone, "doc_id", "left_anti")
-    twice = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    counts = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    twice = few_enough(cut_lineage(counts.where("_n > 1").select("doc_id")))
     once = kept.join(twice, "doc_id", "left_anti")
     return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)

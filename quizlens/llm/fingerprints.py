@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import by_batch, cut_lineage, in_process
+from quizlens.llm.common import by_batch, in_process
 
 LOW, HIGH = 0.001, 0.1      # band of the share of documents
 LEVELS, PER_LEVEL = 9, 12
@@ -121,6 +121,15 @@ def likeness(a, b):
     return float((same[enough] / used[enough]).max(initial=0.0)) if enough.any() and used.any() else 0.0
 
 
+def _below(cuts, value):
+    """How many of the sorted ``cuts`` are smaller, looked up in two steps of a square root each."""
+    width = max(1, int(len(cuts) ** 0.5))
+    whole, ahead = (F.array(*map(F.lit, c)).cast("array<bigint>") for c in (cuts, cuts[::width]))
+    smaller = lambda some: F.size(F.filter(some, lambda c: c < value))
+    first = F.greatest(smaller(ahead) - 1, F.lit(0)) * width
+    return first + smaller(F.slice(whole, first + 1, F.lit(width)))
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: each row beside the next one by falling ``doc_id``.
 
@@ -136,10 +145,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     cuts = sorted({int(c) for c in cuts})
     # range 0 holds the largest ids; null ids form the last range
     last = len(cuts) + 1
-    steps = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(
-        F.lit(len(cuts)) - F.size(F.filter(steps, lambda c: c < F.col("doc_id")))
-    ).cast("int")
+    place = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(len(cuts)) - _below(cuts, F.col("doc_id"))).cast("int")
     placed = rows.withColumn("part", place)
     # the first row of each range: the largest id and, among its rows, the smallest text
     heads = placed.groupBy("part").agg(F.max("doc_id").alias("top"))

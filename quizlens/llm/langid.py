@@ -223,8 +223,9 @@ def scorer(shared):
     def judge(texts):
         out = []
         for at in range(0, len(texts), 256):
-            for n, total in sums([text or "" for text in texts[at:at + 256]]):
-                if n and languages:
+            part = [text or "" for text in texts[at:at + 256]]
+            for text, (n, total) in zip(part, sums(part)):
+                if n and languages and any(map(str.isalpha, text)):
                     k = int(total.argmax())
                     out.append((languages[k], float(1.0 / np.exp(total - total[k]).sum())))
                 else:

@@ -12,11 +12,11 @@ A null or empty text has no spans. Without labelled examples only base spans are
 found. Offsets count code points; repeated rows are scanned alike.
 """
 
-import hashlib
 import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,18 +243,20 @@ def redact(documents: DataFrame, models, mark="[SECRET]") -> DataFrame:
                 at = max(at, end)
             return "".join(out) + text[at:] if out else text
 
-        def step(rows):
-            texts = [clean(t) for t in rows["text"]]
-            sizes = [None if t is None else len(t) for t in texts]
-            return {**rows, "text": texts} | ({"n_chars": sizes} if "n_chars" in rows else {})
-
-        return step
+        return clean
 
-    from pyspark.sql.types import StructType
+    names = documents.columns
 
-    schema = StructType(documents.schema.fields)
-    return by_batch(documents, work, schema.toDDL())
+    def run(batches):
+        clean = work()
+        for batch in batches:
+            texts = [clean(t) for t in batch.column(names.index("text")).to_pylist()]
+            new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+            columns = [
+                pa.array(new[name], field.type) if name in new else column
+                for name, field, column in zip(names, batch.schema, batch.columns)
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    return documents.mapInArrow(run, documents.schema)
 
-def sha256(text):
-    return hashlib.sha256(text.encode()).hexdigest()

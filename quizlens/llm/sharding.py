@@ -17,10 +17,9 @@ null key is hashed as the empty text.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import cut_lineage
+from quizlens.llm.common import cut_lineage, few_enough
 
 BITS, STEP = 60, 12
-BROADCAST_ROWS = 200_000
 
 
 def _hash(key):
@@ -70,8 +69,7 @@ def assign(documents: DataFrame, limit: int, key="doc_id") -> DataFrame:
     )
     leaves = cut_lineage(directory(rows, limit))
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1 numbers
-    small = leaves.count() <= BROADCAST_ROWS
-    leaves = F.broadcast(leaves) if small else leaves
+    leaves = few_enough(leaves)
     depths = depths or [0]
     keys = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).alias("prefix")) for d in depths))
     placed = (

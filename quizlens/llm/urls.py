@@ -15,9 +15,7 @@ are judged alike.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import LOWER, UPPER, cut_lineage
-
-BROADCAST_RULES = 100_000
+from quizlens.llm.common import LOWER, UPPER, cut_lineage, few_enough
 
 # fixed values: the host rules of the contract
 HOST_RULES = (
@@ -27,13 +25,13 @@ HOST_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# fixed values: patterns of pages without prose, each with literal tokens that a match contains
+# fixed values: patterns of pages without prose and of spam, each with literal tokens that a match contains
 PATTERN_RULES = (
     (r"/(login|signin)(/|$)", ("login", "signin")),
     (r"/cart(/|$)", ("cart",)),
     (r"/checkout(/|$)", ("checkout",)),
     (r"(^|\.)ads?[0-9]*\.", ("ad", "ads")),
-    (r"(^|[./-])(casino|porn|xxx)([./-]|$)", ("casino", "porn", "xxx")),
+    (r"(^|[./-])(casino|poker|porn|xxx|adult|pills|viagra)([./-]|$)", ("casino", "poker", "porn", "xxx", "adult", "pills", "viagra")),
     (r"/wp-admin(/|$)", ("wp",)),
 )
 
@@ -69,17 +67,16 @@ def rule_table(spark, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> Dat
 def rarest(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """The index: ``token`` and the rule. ``pages`` has ``tokens``; its counts say how rare a token is."""
     needed = rules.select("rule_id", "kind", F.explode("literals").alias("token"))
-    few = rules.count() <= BROADCAST_RULES
-    bounded = F.broadcast if few else (lambda df: df)
+    wanted = few_enough(cut_lineage(needed.select("token").distinct()))
     seen = (
         pages.select(F.explode("tokens").alias("token"))
-        .join(bounded(needed.select("token").distinct()), "token", "left_semi")
+        .join(wanted, "token", "left_semi")
         .groupBy("token").agg(F.count("*").alias("n"))
     )
     counted = needed.join(seen, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("rule_id").orderBy("n", "token"))
     entries = counted.withColumn("place", place).where("kind = 'pattern' or place = 1").select("rule_id", "token")
-    return bounded(cut_lineage(entries.join(rules, "rule_id").drop("literals")))
+    return few_enough(cut_lineage(entries.join(rules, "rule_id").drop("literals")))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default="allow") -> DataFrame:
