@@ -269,16 +269,29 @@ add("evolve_schema", SESSIONS, """
 SELECT session_id, purchased AND day(first_ts) >= 10 AS purchased,
   CASE WHEN day(first_ts) >= 10 THEN purchase_cents END AS purchase_cents,
   CASE WHEN day(first_ts) >= 10 THEN purchase_ts END AS purchase_ts FROM s""")
-BLOCK_SQL = {
-    ("overview", "porDia"): BY_DAY, ("overview", "porDispositivo"): BY_DEVICE,
-    ("overview", "porOrigem"): BY_SOURCE, ("funnel", "secoes"): REACH, ("funnel", "abandono"): ABANDON,
-    ("funnel", "ctas"): CTAS, ("funnel", "captura"): CAPTURE, ("quiz", "perguntas"): ACCURACY,
-    ("quiz", "abandono"): DROPOFF, ("quiz", "notas"): SCORES, ("quiz", "faixas"): BANDS,
+SCREEN_SETS = {
+    "overview": {"porDia": "overview_by_day", "porDispositivo": "overview_by_device", "porOrigem": "overview_by_source"},
+    "funnel": {"passos": "funnel_steps", "secoes": "section_reach", "abandono": "offer_abandonment",
+               "ctas": "cta_ranking", "captura": "capture_outcome"},
+    "heatmap": {"celulas": "heat_grid", "elementos": "element_ranking", "mortos": "dead_clicks",
+                "porSecao": "clicks_by_section", "rolagem": "scroll_curve"},
+    "quiz": {"perguntas": "question_accuracy", "abandono": "quiz_dropoff", "notas": "score_distribution",
+             "faixas": "band_distribution"},
+    "sales": {"porDia": "sales_by_day", "pedidos": "order_list", "abandonos": "rescue_list",
+              "porFaixa": "sales_by_band", "porOrigem": "sales_by_source"},
+    "events": {"porTipo": "events_by_type"},
 }
-add("panel_bundle", ALL, " UNION ALL ".join(
-    ["SELECT 'overview' AS tela, 'resumo' AS bloco, cast(1 AS INTEGER) AS linhas",
-     "SELECT 'funnel', 'passos', cast(9 AS INTEGER)"]
-    + [f"SELECT '{t}', '{b}', {n()} FROM ({q})" for (t, b), q in BLOCK_SQL.items()]))
+ONE_ROW = [("overview", "resumo"), ("heatmap", "grade"), ("sales", "resumo"), ("sales", "checkout"),
+           ("sessions", "total"), ("events", "total")]
+
+
+def bundle():
+    parts = [f"SELECT '{t}' AS tela, '{b}' AS bloco, cast(1 AS INTEGER) AS linhas" for t, b in ONE_ROW]
+    parts += [f"SELECT '{t}', '{b}', {n()} FROM ({ORACLE_SQL[q]})" for t, sets in SCREEN_SETS.items() for b, q in sets.items()]
+    return " UNION ALL ".join(parts) + f""" UNION ALL SELECT 'sessions', 'sessoes', least(60, {n()})::INTEGER
+FROM ({SESSIONS_OF_PERIOD}) UNION ALL SELECT 'events', 'eventos', least(150, {n()})::INTEGER FROM ({EVENTS_OF_PERIOD})"""
+
+
 ORACLE_SQL["period_filter"] = f"""
 SELECT 'both' AS form, {n()} AS n FROM events WHERE {period('ts')}
 UNION ALL SELECT 'from_only', {n()} FROM events WHERE ts >= DATE '2024-01-05'
@@ -478,11 +491,11 @@ SELECT doc_id, cast(length(raw) AS INTEGER) AS tamanho, md5(raw) AS digest FROM
   FROM documents)"""
 
 # ------------------------------------------------- small rules, one query each
-TEXT = f"""{KEYED}, t AS (SELECT event_id AS seq, CASE k % 9 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN ''
+TEXT = f"""{KEYED}, t AS (SELECT event_id AS seq, CASE k % 11 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN ''
   WHEN 3 THEN 'true' WHEN 4 THEN 'false' WHEN 5 THEN 'abc' WHEN 6 THEN cast(value AS VARCHAR)
-  WHEN 7 THEN '0' END AS text FROM keyed),
+  WHEN 7 THEN '0' WHEN 9 THEN '1d' WHEN 10 THEN '0x10' END AS text FROM keyed),
 num AS (SELECT seq, text, CASE text WHEN '' THEN 0.0::DOUBLE WHEN 'true' THEN 1.0::DOUBLE
-  WHEN 'false' THEN 0.0::DOUBLE ELSE TRY_CAST(trim(text) AS DOUBLE) END AS n FROM t)"""
+  WHEN 'false' THEN 0.0::DOUBLE WHEN '0x10' THEN 16.0::DOUBLE ELSE TRY_CAST(trim(text) AS DOUBLE) END AS n FROM t)"""
 add("valid_session_id", f"""{KEYED}, ids AS (SELECT event_id AS seq, substring(CASE k % 5
   WHEN 0 THEN repeat('a', k) WHEN 1 THEN concat('visit_', user_id, '-', k) WHEN 2 THEN concat('visita ', user_id)
   WHEN 3 THEN concat('abcdefgh', chr(10)) ELSE cast(user_id AS VARCHAR) END, 1, 40) AS session_id FROM keyed)""",
@@ -533,6 +546,14 @@ SELECT id, cast(least(59, floor(x_pct * 60)) AS INTEGER) AS gx,
 add("natural_question_order", EVENTS, """
 SELECT section, TRY_CAST(nullif(regexp_replace(section, '[^0-9]', '', 'g'), '') AS INTEGER) AS numero
 FROM ev WHERE section IS NOT NULL GROUP BY 1""")
+add("one_visit", SESSIONS, f"SELECT session_id {S}")
+add("one_event", EVENTS, f"SELECT id {E}")
+SESSIONS_OF_PERIOD, EVENTS_OF_PERIOD = ORACLE_SQL.pop("one_visit"), ORACLE_SQL.pop("one_event")
+ORACLE_SQL["panel_bundle"] = bundle()
+add("session_store", SESSIONS, f"""
+SELECT strftime(first_ts, '%Y-%m-%d') AS dia, device, {n()} AS sessoes, {n('purchased')} AS compras,
+  cast(sum(purchase_cents) AS BIGINT) AS receita_cents {S} GROUP BY 1, 2""")
+ORACLE_SQL["order_store"] = ORACLE_SQL["sales_by_day"]
 JOURNEY = ORACLE_SQL.pop("journey_cut")
 ORACLE_SQL["journey_events"] = (
     f"SELECT session_id, pos, name, section, label, ts FROM ({JOURNEY}) WHERE kind = 'event'")

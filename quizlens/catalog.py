@@ -219,7 +219,31 @@ def evolve_schema(spark, folder):
 
 @query
 def panel_bundle(spark, folder):
-    return bundle.result_sizes(sample.tables(spark, folder), **PERIOD)
+    """Rows of every result set of the seven screens."""
+    return bundle.result_sizes(sample.tables(spark, folder), tops=TOP, **PERIOD)
+
+
+def _stored(spark, folder, name, ts):
+    """A keyed table written by day and read back."""
+    path = work_folder(spark, name)
+    files.write_keyed(getattr(sample.tables(spark, folder), name), path, ts)
+    return files.read_keyed(spark, path)
+
+
+@query
+def session_store(spark, folder):
+    """Visits per day and device from the stored sessions; only the days of the period are read."""
+    stored = period_filter(_stored(spark, folder, "sessions", "first_ts"), "first_ts", **PERIOD)
+    return stored.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dia"), "device").agg(
+        v.rows().alias("sessoes"), v.count_where(F.col("purchased")).alias("compras"),
+        F.sum("purchase_cents").cast("long").alias("receita_cents"),
+    )
+
+
+@query
+def order_store(spark, folder):
+    """Sales by day from the stored orders; only the days of the period are read."""
+    return sales_plans.sales_by_day(_stored(spark, folder, "orders", "created_at"), **PERIOD)
 
 
 @query
@@ -533,8 +557,9 @@ def stream_dedup_sections(spark, folder):
 
 
 # ------------------------------------------------- small rules, one query each
-LOOSE_TEXT = """CASE k % 9 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN '' WHEN 3 THEN 'true'
-    WHEN 4 THEN 'false' WHEN 5 THEN 'abc' WHEN 6 THEN cast(value AS string) WHEN 7 THEN '0' END"""
+LOOSE_TEXT = """CASE k % 11 WHEN 0 THEN '7' WHEN 1 THEN ' 12 ' WHEN 2 THEN '' WHEN 3 THEN 'true'
+    WHEN 4 THEN 'false' WHEN 5 THEN 'abc' WHEN 6 THEN cast(value AS string) WHEN 7 THEN '0'
+    WHEN 9 THEN '1d' WHEN 10 THEN '0x10' END"""
 
 
 def _keyed(spark, folder, *columns):

@@ -19,9 +19,15 @@ def blank_to(column, default):
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(default))
 
 
+DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+HEXADECIMAL = r"^\s*0[xX][0-9a-fA-F]{1,13}\s*$"       # up to the whole numbers a double holds exactly
+
+
 def _number(text):
+    """Text as a number by the tracker's own grammar, which knows no type suffixes but hexadecimals."""
     word = F.when(text.isin("true"), 1.0).when(F.trim(text).isin("", "false"), 0.0)
-    return F.coalesce(text.try_cast("double"), word)
+    sixteen = F.conv(F.substring(F.trim(text), 3, 13), 16, 10).try_cast("double")
+    return F.when(text.rlike(DECIMAL), F.trim(text).try_cast("double")).when(text.rlike(HEXADECIMAL), sixteen).otherwise(word)
 
 
 def to_number(text):
@@ -46,6 +52,11 @@ def to_flag(text):
     return F.coalesce(_number(text) != 0, text.isNotNull())
 
 
+def or_zero(text, number):
+    """``number``, read from ``text``, with 0 for text that is no number at all; NULL for no text."""
+    return F.when(text.isNotNull() & to_number(text).isNull(), F.lit(0)).otherwise(number)
+
+
 def clamp(column, low, high):
     """``column`` limited to [low, high]; NULL stays NULL."""
     return F.when(column.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), column)))

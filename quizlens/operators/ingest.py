@@ -36,10 +36,12 @@ def parse_batches(lines: DataFrame, body="body") -> DataFrame:
         *[v.to_whole(c[n]).alias(n) for n in ("band", "vw", "vh")],
     )
     coerce = {"int": v.to_whole, "boolean": v.to_flag}
-    snapshot = F.struct(*[
-        coerce.get(f.dataType.simpleString(), lambda c: c)(F.col("_b.session")[f.name]).alias(f.name)
-        for f in schemas.SNAPSHOT_IN.fields
-    ])
+    def field(f):
+        text = F.col("_b.session")[f.name]
+        value = coerce.get(f.dataType.simpleString(), lambda c: c)(text)
+        return (v.or_zero(text, value) if f.name == "score" else value).alias(f.name)
+
+    snapshot = F.struct(*[field(f) for f in schemas.SNAPSHOT_IN.fields])
     return parsed.select(
         *lines.columns,
         F.col("_b.sessionId").alias("sessionId"),

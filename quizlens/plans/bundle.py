@@ -1,18 +1,22 @@
 """What each screen returns: its result sets under their names."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quizlens.plans import funnel, heatmap, log, overview, quiz, sales, visits
 
 
-def screens(tables, cuts=None, listing=None, **period):
+def screens(tables, cuts=None, listing=None, tops=None, **period):
     """Screen name -> result-set name -> DataFrame, all for one period.
 
-    ``cuts`` are the click filters, ``listing`` the arguments of the lists. The
+    ``cuts`` are the click filters, ``listing`` the arguments of the lists, ``tops`` the lengths
+    of rankings by name (such as ``fixed_values.TOP``; whole without). The
     DataFrames are lazy; a caller that shows whole screens should persist (or
     store) ``tables`` first, since many sets read the same one.
     """
-    cuts, listing = cuts or {}, listing or {}
+    cuts, listing, tops = cuts or {}, listing or {}, tops or {}
+    top = lambda name: {"most": tops.get(name)}
     t = tables
     visible = {k: cuts[k] for k in ("device", "band") if k in cuts}
     grid = heatmap.heat_grid(t.clicks, cuts=cuts, **period)
@@ -21,20 +25,20 @@ def screens(tables, cuts=None, listing=None, **period):
             "resumo": overview.overview_summary(t.sessions, **period),
             "porDia": overview.overview_by_day(t.visits, **period),
             "porDispositivo": overview.overview_by_device(t.visits, **period),
-            "porOrigem": overview.overview_by_source(t.visits, **period),
+            "porOrigem": overview.overview_by_source(t.visits, **top("overview_by_source"), **period),
         },
         "funnel": {
             "passos": funnel.funnel_steps(t.events, **period),
             "secoes": funnel.section_reach(t.events, **period),
-            "abandono": funnel.offer_abandonment(t.visits, **period),
-            "ctas": funnel.cta_ranking(t.events, **period),
+            "abandono": funnel.offer_abandonment(t.visits, **top("offer_abandonment"), **period),
+            "ctas": funnel.cta_ranking(t.events, **top("cta_ranking"), **period),
             "captura": funnel.capture_outcome(t.events, **period),
         },
         "heatmap": {
             "celulas": grid,
             "grade": heatmap.heat_totals(grid),
-            "elementos": heatmap.element_ranking(t.clicks, cuts=cuts, **period),
-            "mortos": heatmap.dead_clicks(t.clicks, cuts=cuts, **period),
+            "elementos": heatmap.element_ranking(t.clicks, cuts=cuts, **top("element_ranking"), **period),
+            "mortos": heatmap.dead_clicks(t.clicks, cuts=cuts, **top("dead_clicks"), **period),
             "porSecao": heatmap.clicks_by_section(t.clicks, cuts=cuts, **period),
             "rolagem": heatmap.scroll_curve(t.visits, **visible, **period),
         },
@@ -49,9 +53,9 @@ def screens(tables, cuts=None, listing=None, **period):
             "checkout": sales.checkout_summary(t.sessions, **period),
             "porDia": sales.sales_by_day(t.orders, **period),
             "pedidos": sales.order_list(t.orders, t.visits, **listing, **period),
-            "abandonos": sales.rescue_list(t.sessions, **period),
+            "abandonos": sales.rescue_list(t.sessions, **top("rescue_list"), **period),
             "porFaixa": sales.sales_by_band(t.sessions, **period),
-            "porOrigem": sales.sales_by_source(t.sessions, **period),
+            "porOrigem": sales.sales_by_source(t.sessions, **top("sales_by_source"), **period),
         },
         "sessions": {
             "total": visits.session_count(t.sessions, **period),
@@ -66,33 +70,23 @@ def screens(tables, cuts=None, listing=None, **period):
 
 
 def as_documents(sets):
-    """One screen as a row per result set, ``bloco, conteudo`` (JSON), for a sink that
-    stores whole screens.
+    """A screen as rows ``bloco, pos, conteudo``: one row of JSON per row of each result set.
 
-    Every set is a report: bounded by its top-k, by the days of the period, or
-    by a fixed dimension.
+    Rows are numbered in no particular order; nothing is gathered, so sets may be of any size.
     """
     documents = [
-        df.agg(F.lit(name).alias("bloco"),
-               F.to_json(F.collect_list(F.struct(*df.columns))).alias("conteudo"))
+        df.select(F.lit(name).alias("bloco"), F.monotonically_increasing_id().alias("pos"),
+                  F.to_json(F.struct(*df.columns)).alias("conteudo"))
         for name, df in sets.items()
     ]
-    result = documents[0]
-    for document in documents[1:]:
-        result = result.unionByName(document)
-    return result
+    return reduce(lambda a, b: a.unionByName(b), documents)
 
 
-def result_sizes(tables, **period):
-    """Rows of every result set of the overview, funnel and quiz screens."""
+def result_sizes(tables, **args):
+    """Rows of every result set of every screen."""
     parts = [
         df.agg(F.lit(screen).alias("tela"), F.lit(name).alias("bloco"),
                F.count(F.lit(1)).cast("int").alias("linhas"))
-        for screen, sets in screens(tables, **period).items()
-        if screen in ("overview", "funnel", "quiz")
-        for name, df in sets.items()
+        for screen, sets in screens(tables, **args).items() for name, df in sets.items()
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -62,6 +62,22 @@ def read_log(spark, path, kind, ts="timestamp"):
     return spark.read.schema(schema).parquet(path)
 
 
+def write_keyed(table, path, ts):
+    """Write a finished keyed table (sessions by ``first_ts``, orders by ``created_at``) under one folder per day.
+
+    A job that folds new states runs this on the days it touched; reports then read only the
+    folders of their period (``period_filter`` knows ``dt``). Rows of one write replace their days.
+    """
+    by_day = table.withColumn("dt", F.to_date(ts))
+    writer = by_day.hint("rebalance", F.col("dt")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+
+
+def read_keyed(spark, path):
+    """The stored table with its ``dt`` column."""
+    return spark.read.parquet(path)
+
+
 def append_states(fold, messages, path, label):
     """Add the folded state of new messages to a keyed table's history.
 
