@@ -457,7 +457,9 @@ add("stream_ingest", EVENTS, "SELECT * FROM ev")
 add("stream_sessions", VISITS, "SELECT * FROM v")
 add("stream_orders", ORDERS, "SELECT * FROM o")
 add("stream_purchases", f"{NOTES}, {PURCHASES}", "SELECT * FROM p")
-ORACLE_SQL["stream_rage_clicks"] = ORACLE_SQL["rage_clicks"]
+add("last_click", PX, "SELECT max(ts_ms) FROM px")
+ORACLE_SQL["stream_rage_clicks"] = f"""
+SELECT * FROM ({ORACLE_SQL['rage_clicks']}) WHERE ts_ms < ({ORACLE_SQL.pop('last_click')})"""
 add("stream_daily_kpis", VISITS, f"""
 SELECT strftime(first_ts, '%Y-%m-%d') AS dia, {n()} AS sessoes, {n('max_q >= 10')} AS terminaram,
   {n('reached_result')} AS ofertas, {n('reached_checkout')} AS checkouts

@@ -81,7 +81,10 @@ class Gate:
             if len(self.admitted) >= self.limit:
                 i += int(np.searchsorted(us[i:], self.admitted[0] + self.width, side="left"))
                 continue
-            self.admitted.append(int(us[i]))
+            if self.admitted and self.admitted[-1] > us[i]:     # a late call; moments stay in order
+                self.admitted = deque(sorted([*self.admitted, int(us[i])]))
+            else:
+                self.admitted.append(int(us[i]))
             allow[i], count[i] = True, len(self.admitted)
             i += 1
         return allow, count

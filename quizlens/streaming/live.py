@@ -1,5 +1,6 @@
 """Operators that carry state between micro-batches."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -21,7 +22,10 @@ def stream_rate_admission(calls, limit=300, hours=1.0, delay=DELAY):
     """Verdicts on calls as they arrive; the state of a key is its admitted calls
     still inside the window, at most ``limit`` moments.
 
-    Takes a stream of ``key, seq, ts``. How many calls of one key meet in a task
+    A gate answers at once, so calls are judged as they arrive: in time order inside a
+    micro-batch, and a call that comes late is judged by what the gate has admitted
+    since. The batch operator judges all calls in time order; both agree on calls that
+    arrive in order. Takes a stream of ``key, seq, ts``. How many calls of one key meet in a task
     is bounded by the size of a micro-batch.
     """
     width = window_micros(hours)
@@ -44,31 +48,63 @@ def stream_rate_admission(calls, limit=300, hours=1.0, delay=DELAY):
     )
 
 
+HELD = ["ts_ms", "seq", "client_x", "client_y", "section"]
+
+
+def _third_clicks(rows, last):
+    """Flags of third clicks in time order; ``last`` is the click before and the two flags before it.
+
+    Returns the flags and the new ``last``.
+    """
+    x, y, t, on1, on2 = last
+    px, py, pt = (np.concatenate([[v], rows[c].to_numpy()[:-1]]) for v, c in zip((x, y, t), ("client_x", "client_y", "ts_ms")))
+    on = (
+        (np.abs(rows["client_x"].to_numpy() - px) < RAGE_PX) & (np.abs(rows["client_y"].to_numpy() - py) < RAGE_PX)
+        & (rows["ts_ms"].to_numpy() - pt < RAGE_MS)
+    )
+    flags = np.concatenate([[on2, on1], on]).astype(bool)
+    end = rows.iloc[-1]
+    state = (int(end["client_x"]), int(end["client_y"]), int(end["ts_ms"]), bool(flags[-1]), bool(flags[-2]))
+    return flags[2:] & flags[1:-1] & ~flags[:-2], state
+
+
 def stream_rage_clicks(clicks, delay=DELAY):
-    """Rage clicks as they happen; the state of a visit is its last click and run length.
+    """Rage clicks, each given out once the watermark has passed it.
 
+    A visit's clicks wait in its state until no earlier one can come any more and are
+    then decided in time order, so clicks may arrive in any order within ``delay``.
     Takes a stream of ``session_id, seq, ts_ms, client_x, client_y, section``.
     """
     def watch(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"])
-        x, y, t, run = state.get if state.exists else (0, 0, -RAGE_MS, 0)
-        hits = []
-        for row in rows.itertuples():
-            near = abs(row.client_x - x) < RAGE_PX and abs(row.client_y - y) < RAGE_PX
-            run = run + 1 if run and near and row.ts_ms - t < RAGE_MS else 1
-            x, y, t = row.client_x, row.client_y, row.ts_ms
-            if run == 3:
-                hits.append((key[0], t, row.section))
-        state.update((int(x), int(y), int(t), int(run)))
-        _expire(state, t + RAGE_MS)
-        yield pd.DataFrame(hits, columns=["session_id", "ts_ms", "section"])
+        last, held = (0, 0, -RAGE_MS, False, False), None
+        if state.exists:
+            *held, x, y, t, on1, on2 = state.get
+            last = (x, y, t, on1, on2)
+        waiting = [pd.DataFrame(dict(zip(HELD, map(list, held))))] if held and len(held[0]) else []
+        fresh = [frame[HELD] for frame in frames if len(frame)]
+        mark, found = state.getCurrentWatermarkMs(), []
+        rows = pd.concat(waiting + fresh).sort_values(["ts_ms", "seq"]) if waiting or fresh else None
+        if rows is not None:
+            ready = rows["ts_ms"].to_numpy() < mark
+            done, rows = rows[ready], rows[~ready]
+            if len(done):
+                third, last = _third_clicks(done, last)
+                found = [(key[0], int(r.ts_ms), r.section) for r in done[third].itertuples()]
+        if rows is None or not len(rows):
+            rows = None
+        if rows is None and last[2] + 3 * RAGE_MS < mark:
+            state.remove()      # nothing can continue from here
+        else:
+            columns = [rows[c].tolist() if rows is not None else [] for c in HELD]
+            state.update((*columns, *last))
+            _expire(state, last[2] + 3 * RAGE_MS if rows is None else int(rows["ts_ms"].min()))
+        yield pd.DataFrame(found, columns=["session_id", "ts_ms", "section"])
 
     timed = clicks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
     return timed.groupBy("session_id").applyInPandasWithState(
-        watch, "session_id string, ts_ms long, section string", "x int, y int, t long, run int",
+        watch, "session_id string, ts_ms long, section string",
+        "ts_ms array<long>, seq array<long>, client_x array<int>, client_y array<int>, section array<string>, "
+        "x int, y int, t long, on1 boolean, on2 boolean",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 

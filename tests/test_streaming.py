@@ -1,5 +1,9 @@
 """Streams over several micro-batches end where the batch operators do."""
 
+import os
+import random
+
+import numpy as np
 import pytest
 
 from quizlens.catalog import QUERIES
@@ -60,17 +64,37 @@ def test_rate_admission(spark, data, split):
     same(live_rows, quota.rate_admission(sample.calls(spark, data), limit=3, hours=24))
 
 
-def test_rage_clicks(spark, data, split):
-    # visits are cut at file borders by event number, so a whole visit's clock moves on
-    later = lambda df: df.selectExpr("session_id", "seq", "ts_ms + 86400000 AS ts_ms", "client_x",
-                                     "client_y", "section")
-    stream = live.stream_rage_clicks(later(sample.clicks_px(spark, split)))
-    batch = interactions.rage_clicks(later(sample.clicks_px(spark, data)))
-    assert 0 < batch.count()
-    got = set(map(tuple, collected(spark, stream, "rage").collect()))
-    cut = {str(n * 250 // 20) for n in range(5)}
-    expected = {r for r in map(tuple, batch.collect()) if r[0] not in cut}
-    assert {r for r in got if r[0] not in cut} == expected
+def test_rage_clicks_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(5)
+    rows, clock = [], 1_000_000_000
+    for seq in range(400):      # one visit holds a third of the clicks
+        clock += rng.choice([20, 60, 150, 600])
+        visit = "hot" if seq % 3 == 0 else f"v{seq % 7}"
+        rows.append((visit, seq, clock, rng.choice([10, 20, 60]), 5, rng.choice(["a", None])))
+    schema = "session_id string, seq long, ts_ms long, client_x int, client_y int, section string"
+    rows.append(("last", 400, clock + 3_600_000, 0, 0, None))     # moves the watermark past all
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(4):          # every file has clicks of the whole time, so three of four come late
+        part = rows[i:400:4] + (rows[400:] if i == 3 else [])
+        rng.shuffle(part)
+        one = spark.createDataFrame(part, schema).coalesce(1)
+        one.write.parquet(str(tmp_path / f"part{i}"))
+        (source,) = (tmp_path / f"part{i}").glob("*.parquet")
+        (folder / f"{i}.parquet").write_bytes(source.read_bytes())
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = collected(spark, live.stream_rage_clicks(stream), "rage")
+    expected = interactions.rage_clicks(spark.createDataFrame(rows, schema))
+    assert expected.count() > 5
+    same(got, expected)
+
+
+def test_a_late_call_keeps_the_gate_in_order():
+    gate = quota.Gate(3, 100)
+    assert gate.verdicts(np.array([0, 50]))[0].all() and gate.verdicts(np.array([20]))[0].all()
+    assert list(gate.admitted) == [0, 20, 50] and not gate.verdicts(np.array([60]))[0].any()
+    assert gate.verdicts(np.array([100]))[0].all() and list(gate.admitted) == [20, 50, 100]
 
 
 def test_daily_kpis_close_complete_days(spark, data, split):
