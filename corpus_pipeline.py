@@ -4,13 +4,12 @@ Every stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parqu
 read again as the next stage's documents. All but the last return the columns of ``docs``.
 """
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from quizlens.llm import dedup, langid, packing, quality, secrets
 from quizlens.llm.common import residue, table
+from quizlens.session import work_folder
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -60,10 +59,7 @@ STAGES = [
 
 def run(spark, sf_dir):
     """Apply the stages to ``documents``; what lies between them is written below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -4,6 +4,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizlens.session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000      # of numbers or short keys; longer lists are joined by a shuffle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,10 +24,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder of ``spark.checkpoint.dir``, which every executor shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
