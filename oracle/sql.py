@@ -448,6 +448,11 @@ OK_BODY = "batch_seq % 50 <> 3 AND batch_seq % 40 <> 7"
 add("read_batches", VISITS, f"""
 SELECT session_id, received_ts, batch_seq, device, vw, referrer, utm_source, country, max_q, score,
   band, contact, max_scroll, last_section FROM clean WHERE {OK_BODY}""")
+OK_ID = "(id // 1048576) % 50 <> 3 AND (id // 1048576) % 40 <> 7"
+add("read_batch_events", EVENTS, f"SELECT * FROM ev WHERE {OK_ID}")
+add("read_batch_clicks", CLICKS, f"SELECT * FROM cl WHERE {OK_ID}")
+add("stream_json_ingest", EVENTS, f"SELECT * FROM ev WHERE {OK_ID}")
+add("stream_click_ingest", CLICKS, "SELECT * FROM cl")
 ORACLE_SQL["quarantine_batches"] = """
 SELECT event_id AS batch_seq, CASE WHEN event_id % 50 <> 3 AND event_id % 40 <> 7 THEN 'aceito'
   ELSE 'recusado' END AS destino, event_id % 50 = 3 AS quebrado FROM events"""

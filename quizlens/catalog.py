@@ -101,13 +101,17 @@ def append_events(spark, folder):
     return sample.tables(spark, folder).events
 
 
-@query
-def append_clicks(spark, folder):
-    clicks = sample.tables(spark, folder).clicks
+def _wide_clicks(clicks):
+    """Positions as doubles, to compare them digit by digit."""
     shares = [F.col(c).cast("double").alias(c) for c in ("x_pct", "y_pct", "sec_pct")]
     return clicks.select(*[c for c in clicks.columns if not c.endswith("_pct")], *shares)
 
 
+@query
+def append_clicks(spark, folder):
+    return _wide_clicks(sample.tables(spark, folder).clicks)
+
+
 @query
 def batch_caps(spark, folder):
     """Batches of 64 events and clicks, of which 40 and 60 are taken."""
@@ -445,13 +449,18 @@ def notifications_to_orders(spark, folder):
 
 
 # ---------------------------------------------------------- files and streams
-def _stored_batches(spark, folder):
-    """The batches written as JSON-lines files and read back."""
+def _batch_files(spark, folder):
+    """The batches written as JSON-lines files."""
     path = work_folder(spark, "batches")
     sample.batch_bodies(spark, folder).write.option(
         "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ).json(path)
-    read = files.read_batches(spark, path)
+    return path
+
+
+def _stored_batches(spark, folder):
+    """The batches through files and back."""
+    read = files.read_batches(spark, _batch_files(spark, folder))
     return read.withColumn("received_ts", F.col("received_ts").cast("timestamp_ntz"))
 
 
@@ -464,6 +473,17 @@ def read_batches(spark, folder):
     )
 
 
+@query
+def read_batch_events(spark, folder):
+    """Events of the batches that survive the trip, coerced from JSON."""
+    return ingest.event_rows(_stored_batches(spark, folder))
+
+
+@query
+def read_batch_clicks(spark, folder):
+    return _wide_clicks(ingest.click_rows(_stored_batches(spark, folder)))
+
+
 @query
 def quarantine_batches(spark, folder):
     """Every batch with its verdict; broken bodies are still there to be looked at."""
@@ -497,6 +517,24 @@ def stream_ingest(spark, folder):
     return files.read_log(spark, f"{path}/rows", "events", "timestamp_ntz").drop("dt")
 
 
+@query
+def stream_click_ingest(spark, folder):
+    path = work_folder(spark, "stream-clicks")
+    batches = sample.batches(spark, sample.Live(folder))
+    streams.stream_clicks(batches, f"{path}/rows", f"{path}/checkpoint")
+    return _wide_clicks(files.read_log(spark, f"{path}/rows", "clicks", "timestamp_ntz").drop("dt"))
+
+
+@query
+def stream_json_ingest(spark, folder):
+    """Events out of JSON request bodies, followed as a stream of files."""
+    path = work_folder(spark, "stream-json")
+    batches = files.follow_batches(spark, _batch_files(spark, folder))
+    batches = batches.withColumn("received_ts", F.col("received_ts").cast("timestamp_ntz"))
+    streams.stream_events(batches, f"{path}/rows", f"{path}/checkpoint")
+    return files.read_log(spark, f"{path}/rows", "events", "timestamp_ntz").drop("dt")
+
+
 @query
 def stream_sessions(spark, folder):
     path = work_folder(spark, "stream-sessions")
