@@ -31,6 +31,7 @@ PER_CLASS = 5000        # labelled rows of each class to learn from, at most
 LEXICON = 4000          # learned entries, at most; a parameter of the model like its depth
 MIN_TEXTS, MIN_GAIN = 4, 3.0
 PARTS = 3
+SAMPLE_TASKS = 12       # the bounded sample is small: many rounds over few partitions
 
 # fixed values: a short public list of insults, and words of address, for English, German, French and Spanish
 INSULTS = frozenset(
@@ -50,6 +51,8 @@ TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]]+")
 HIDDEN = re.compile(r"[^\W\d_][*@$!#0134578|+._-]+[^\W\d_]")
 PLAIN = str.maketrans("013457@$!|", "oieastasil")
 MARKS = re.compile(r"[!?]{2,}")
+CAPITALS = re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
+KEEP = 300_000          # words whose entries a task remembers
 STEMS = range(4, 8)     # lengths of word beginnings
 
 
@@ -63,53 +66,73 @@ def entries(word):
 
 
 def revealed(word):
-    """A word with its hiding signs taken out, or None if it has none."""
-    if word.isalpha() or not HIDDEN.search(word):
+    """A word of letters and other signs with the signs read as letters or taken out, else None."""
+    if word.isalpha() or not any(map(str.isalpha, word)):
         return None
     return re.sub(r"[\W\d_]", "", word.translate(PLAIN))
 
 
-def features(text, lexicon):
-    """The numbers of ``FEATURES`` for a whole text."""
-    words = tokens(text)
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    counts = Counter(words)
-    weight, listed, hidden, hidden_hits = {}, set(), 0, 0
-    for word, k in counts.items():
-        gain = max((lexicon.get(e, 0.0) for e in entries(word)), default=0.0) if lexicon else 0.0
-        if gain:
-            weight[word] = gain
-        if word in INSULTS:
-            listed.add(word)
-        elif not word.isalpha():
-            bare = revealed(word)
-            if bare:
-                hidden += k
-                if bare in INSULTS or lexicon.get(bare, 0.0):
-                    hidden_hits += k
-    hits = sum(counts[w] for w in weight)
-    own = sum(counts[w] for w in listed)
-    flagged = weight.keys() | listed
-    near = 0
-    if flagged:
+def starred(word):
+    """Whether stars in a word stand for the letters of an insult."""
+    inner = word.strip("*")
+    if "*" not in inner:
+        return False
+    shape = re.compile(re.escape(inner).replace(r"\*", "."))
+    return any(shape.fullmatch(insult) for insult in INSULTS)
+
+
+class Judge(dict):
+    """What is known of each word: None of most, else (gain, listed, hidden, hidden insult)."""
+
+    def __init__(self, lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+        self.starts = {entry[:STEMS[0]].rstrip("~") for entry in lexicon}
+
+    def __missing__(self, word):
+        gain = 0.0
+        if word[:STEMS[0]] in self.starts:
+            gain = max(self.lexicon.get(e, 0.0) for e in entries(word))
+        if not gain and word.isalpha():
+            found = self[word] = (0.0, True, False, False) if word in INSULTS else None
+            return found
+        bare = revealed(word)
+        hidden = bool(HIDDEN.search(word)) if bare else False
+        insult = bool(bare) and (bare in INSULTS or bare in self.lexicon or starred(word))
+        known = (gain, word in INSULTS, hidden, insult)
+        self[word] = found = known if any(known) else None
+        return found
+
+    def features(self, text):
+        """The numbers of ``FEATURES`` for a whole text."""
+        if len(self) > KEEP:
+            self.clear()
+        words = tokens(text)
+        n = len(words)
+        if not n:
+            return [0.0] * len(FEATURES)
+        found = [(i, k) for i, k in enumerate(map(self.__getitem__, words)) if k is not None]
+        weight = {words[i]: k[0] for i, k in found if k[0]}
+        listed = {words[i] for i, k in found if k[1]}
+        bad = [i for i, k in found if k[0] or k[1]]
         you = [i for i, w in enumerate(words) if w in YOU]
-        bad = [i for i, w in enumerate(words) if w in flagged]
-        at = 0
+        near, at = 0, 0
         for i in bad:
             while at < len(you) and you[at] < i - 5:
                 at += 1
             near += at < len(you) and you[at] <= i + 5
-    letters = sum(map(str.isalpha, text)) if not text.islower() else len(text)
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
-    marks = text.count("!") + text.count("?")
-    shouts = sum(k for w, k in Counter(text.split()).items() if len(w) > 2 and w.isupper()) if capitals > n / 2 else 0
-    return [
-        hits / n, float(len(weight)), float(sum(weight.values())), own / n, float(len(listed)), near / n,
-        sum(counts[w] for w in counts.keys() & YOU) / n, capitals / max(letters, 1), shouts / n, marks / n,
-        float(len(MARKS.findall(text))) if marks > 1 else 0.0, hidden / n, float(hidden_hits), math.log1p(n),
-    ]
+        capitals, marks = len(CAPITALS.findall(text)), text.count("!") + text.count("?")
+        shouts = sum(len(w) > 2 and w.isupper() for w in text.split()) if capitals > n / 2 else 0
+        return [
+            sum(bool(k[0]) for _, k in found) / n, float(len(weight)), float(sum(weight.values())),
+            sum(k[1] for _, k in found) / n, float(len(listed)), near / n, len(you) / n,
+            capitals / len(text), shouts / n, marks / n, float(len(MARKS.findall(text))) if marks > 1 else 0.0,
+            sum(k[2] for _, k in found) / n, float(sum(k[3] for _, k in found)), math.log1p(n),
+        ]
+
+
+def features(text, lexicon):
+    return Judge(lexicon).features(text)
 
 
 def learn_lexicons(sample: DataFrame) -> dict:
@@ -158,11 +181,11 @@ def featured(rows: DataFrame, lexicons: dict, keep) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
 
     def work():
-        known = shared.value
+        judges = {part: Judge(lexicon) for part, lexicon in shared.value.items()}
         return lambda batch: {
             **{k: batch[k] for k in keep},
             "features": [
-                features(t or "", known[p])
+                judges[p].features(t or "")
                 for t, p in zip(batch["text"], batch.get("part") or [None] * len(batch["text"]))
             ],
         }
@@ -178,6 +201,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class=PER_CLASS):
     sample = cut_lineage(
         sample.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["h"])
         .withColumn("fold", F.pmod("h", F.lit(10))).withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(PARTS)).cast("int"))
+        .coalesce(SAMPLE_TASKS)
     )
     lexicons = learn_lexicons(sample)
     rows = cut_lineage(
