@@ -70,6 +70,13 @@ class Numbering(dict):
             del self[key]
 
 
+def sliced(batches, rows=1000):
+    """The same rows in short batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_batch(df: DataFrame, work, schema: str) -> DataFrame:
     """Map Arrow batches. ``work()`` is called once per task and gives the function for a batch.
 
@@ -84,30 +91,28 @@ def by_batch(df: DataFrame, work, schema: str) -> DataFrame:
 
         arrow = to_arrow_schema(target)
         step = work()
-        for batch in batches:
-            if batch.num_rows:
-                out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-                columns = [
-                    out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)
-                    for f in arrow
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for batch in sliced(batches):
+            out = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            columns = [
+                out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type)
+                for f in arrow
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, target)
 
 
 def in_process(kind, key, make):
-    """``make()``, kept in this Python worker for later tasks that ask with the same ``key``.
+    """``make()``, kept in this Python worker for later tasks that ask for the same ``kind`` and ``key``.
 
-    Spark reuses its workers, so what a task has looked up need not be looked up again. One
-    object of each ``kind`` is kept at a time, and its owner bounds its size.
+    Spark reuses its workers, so what a task has looked up need not be looked up again. A worker
+    keeps one object at a time, and its owner bounds its size.
     """
     import sys
     import types
 
     box = sys.modules.setdefault("_quizlens_kept", types.ModuleType("_quizlens_kept"))
-    kept = getattr(box, kind, None)
-    if kept is None or kept[0] != key:
-        kept = (key, make())
-        setattr(box, kind, kept)
-    return kept[1]
+    if getattr(box, "name", None) != (kind, key):
+        box.kept = None     # before the new one is made
+        box.kept, box.name = make(), (kind, key)
+    return box.kept

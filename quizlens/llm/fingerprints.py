@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import by_batch, in_process
+from quizlens.llm.common import BROADCAST_ROWS, by_batch, cut_lineage, in_process, sliced
 
 LOW, HIGH = 0.001, 0.1      # band of the share of documents
 LEVELS, PER_LEVEL = 9, 12
@@ -40,34 +40,63 @@ def terms(text):
     return {w.strip(LETTER_EDGES) for w in text.lower().split()} - {""}
 
 
-def document_frequencies(documents: DataFrame) -> DataFrame:
-    """``term, df`` over all documents. Tasks count first, so only sums are shuffled."""
+def _counted(documents: DataFrame, only=None, share=None) -> DataFrame:
+    """``term, df`` by chunks of documents, one row per chunk and term.
+
+    ``only``: a broadcast set of the terms to count. ``share``: give out a term of a chunk only if at
+    least this share of the chunk's documents hold it.
+    """
     from pyspark.sql.types import StructType
 
     target = StructType.fromDDL("term string, df long")
 
     def run(batches):
-        found = Counter()
+        found, seen = Counter(), 0
+        wanted = only.value if only is not None else None
 
         def flushed():
-            return pa.RecordBatch.from_pydict({"term": list(found), "df": list(found.values())})
+            least = 0 if share is None else share * seen
+            some = [(term, n) for term, n in found.items() if n >= least]
+            return pa.RecordBatch.from_pydict({"term": [t for t, _ in some], "df": [n for _, n in some]})
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
-                found.update(terms(text or ""))
+                own = terms(text or "")
+                found.update(own if wanted is None else own & wanted)
+                seen += 1
                 if len(found) >= FLUSH:
                     yield flushed()
-                    found.clear()
+                    found, seen = Counter(), 0
         if found:
             yield flushed()
 
-    return documents.select("text").mapInArrow(run, target).groupBy("term").agg(F.sum("df").alias("df"))
+    return documents.select("text").mapInArrow(run, target)
+
+
+def document_frequencies(documents: DataFrame) -> DataFrame:
+    """``term, df`` over all documents. Tasks count first, so only sums are shuffled."""
+    return _counted(documents).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def frequent_terms(documents: DataFrame, share: float) -> DataFrame:
+    """``term, df`` over all documents, of the terms that at least this share of them hold.
+
+    Such a term has at least that share in some chunk of the documents, however they are cut.
+    A first pass finds these terms, a second one counts them, so rare terms are not shuffled. If
+    too many come up to send them to all tasks, all terms are counted instead.
+    """
+    able = cut_lineage(_counted(documents, share=share).select("term").distinct())
+    if able.count() > BROADCAST_ROWS:
+        return document_frequencies(documents)
+    wanted = documents.sparkSession.sparkContext.broadcast({row[0] for row in able.collect()})
+    return _counted(documents, only=wanted).groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(documents: DataFrame, low=LOW, high=HIGH):
     """Sorted terms in the band; their number has the bound named above."""
     n = documents.count()
-    band = document_frequencies(documents).where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
+    counted = frequent_terms(documents, low)
+    band = counted.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
     return sorted(row[0] for row in band.select("term").collect())
 
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, texts_of
+from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, sliced, texts_of
 
 RUN = 48            # letters; longer words are scored in runs of this many
 SCALE = 30.0        # per letter, the same for all languages; keeps products of many factors away from zero
 UNKNOWN = 1e-7      # probability of a letter that is no piece
-KEEP = 300_000      # words whose scores a worker remembers, at least; twice as many at most
+KEEP = 250_000      # words whose scores a worker remembers, at least; twice as many at most
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -258,7 +258,7 @@ def keep(documents: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches):
         judge = scorer(shared)
-        for batch in batches:
+        for batch in sliced(batches):
             mask = [language != "und" and score >= least for language, score in judge(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

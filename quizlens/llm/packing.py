@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from quizlens.llm.common import in_process
 
 POOL = 2048         # pieces that wait in a task, so at most POOL * tokens ids
-KEEP = 400_000      # tokenised words that a worker remembers, at least; twice as many at most
+KEEP = 300_000      # tokenised words that a worker remembers, at least; twice as many at most
 
 
 @dataclass

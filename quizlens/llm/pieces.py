@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quizlens.llm.common import by_batch, in_process
 
 MARK = "▁"
-KEEP = 400_000      # encoded segments that a worker remembers, at least; twice as many at most
+KEEP = 300_000      # encoded segments that a worker remembers, at least; twice as many at most
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 ENDED = -1
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import bounded_sample, by_batch, texts_of
+from quizlens.llm.common import bounded_sample, by_batch, sliced, texts_of
 
 # fixed values: the base patterns of the contract, in the order in which kinds are listed
 KINDS = ("assign", "access", "hex")
@@ -249,7 +249,7 @@ def redact(documents: DataFrame, models, mark="[SECRET]") -> DataFrame:
 
     def run(batches):
         clean = work()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [clean(t) for t in batch.column(names.index("text")).to_pylist()]
             new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
             columns = [

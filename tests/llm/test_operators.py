@@ -335,6 +335,15 @@ def test_document_frequencies(frame):
     assert found == {"a": 2, "b": 1, "c": 1}
 
 
+def test_frequent_terms_are_counted_whole(frame, monkeypatch):
+    docs = frame(edited_copies(40)).repartition(5)
+    every = {r["term"]: r["df"] for r in fingerprints.document_frequencies(docs).collect()}
+    monkeypatch.setattr(fingerprints, "FLUSH", 150)     # many chunks in a task
+    got = {r["term"]: r["df"] for r in fingerprints.frequent_terms(docs, 0.2).collect()}
+    assert {t: n for t, n in every.items() if n >= 8} == {t: n for t, n in got.items() if n >= 8}
+    assert len(got) < len(every) and got.items() <= every.items()
+
+
 # 10 secrets
 
 SECRETS = [
