@@ -241,7 +241,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .dropDuplicates(["set_a", "set_b", "id"])
         .select("set_a", "set_b", "id", "n_shingles", "left", "right")
         # small rows that become M * M each: spread before they are multiplied
-        .repartition(4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "id")
+        .repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "id")
     )
     edges = cut_lineage(candidate_edges(classes))
     groups = components(edges)
