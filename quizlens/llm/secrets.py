@@ -1,7 +1,7 @@
 """Secret scans with inferred grammars.
 
-Credentials that the base patterns find in a bounded sample of texts are the
-labelled examples. Their prefix tree is folded by merging states whose outgoing
+Credentials that the base patterns find in all texts are the labelled examples;
+an automaton is fitted to a bounded number of each kind. Their prefix tree is folded by merging states whose outgoing
 frequencies do not differ significantly (Hoeffding's bound), which gives one
 probabilistic automaton per kind. Every run of credential characters in every
 text is then scored: how much likelier, per character, it is under the best
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import bounded_sample, by_batch, sliced, texts_of
+from quizlens.llm.common import bounded_sample, by_batch, cut_lineage, sliced, texts_of
 
 # fixed values: the base patterns of the contract, in the order in which kinds are listed
 KINDS = ("assign", "access", "hex")
@@ -153,29 +153,41 @@ class Ordinary:
 
 
 def learn(documents: DataFrame, rows=20_000, per_kind=400):
-    """Automata and the model of ordinary runs, from at most ``rows`` texts and ``per_kind`` strings a kind."""
-    ids = documents.where("doc_id is not null").select("doc_id", F.lit(0).alias("one"))
-    sample = texts_of(documents, bounded_sample(ids, "doc_id", rows, "one").select("doc_id"))
+    """Automata and the model of ordinary runs, from at most ``per_kind`` strings a kind.
 
-    def work():
+    Labelled strings are looked for in all texts, so a kind is learned however rare it is, if ten
+    distinct strings of it occur at all. Only the ordinary runs come from at most ``rows`` texts.
+    """
+    def labelled():
+        def step(rows):
+            found = {(KINDS[k], value) for text in rows["text"] for _, _, k, value in base_spans(text or "")}
+            found = sorted(found)
+            return {"kind": [k for k, _ in found], "value": [v for _, v in found]}
+
+        return step
+
+    def unlabelled():
         def step(rows):
             found = set()
             for text in rows["text"]:
                 spans = base_spans(text or "")
-                found.update((KINDS[k], value) for _, _, k, value in spans)
                 found.update(
-                    ("ordinary", m.group()) for m in RUN.finditer(text or "")
+                    m.group() for m in RUN.finditer(text or "")
                     if not any(s < m.end() and m.start() < e for s, e, *_ in spans)
                 )
-            found = sorted(found)
-            return {"kind": [k for k, _ in found], "value": [v for _, v in found]}
+            return {"kind": ["ordinary"] * len(found), "value": sorted(found)}
 
         return step
 
-    strings = by_batch(sample.select("text"), work, "kind string, value string").distinct()
-    strings = strings.where(F.length("value") <= 256)
-    picked = bounded_sample(strings, "value", per_kind, "kind").collect()  # at most per_kind for each of four kinds
-    of = lambda kind: sorted(v for k, v in picked if k == kind)
+    def strings(texts, work):
+        found = by_batch(texts.select("text"), work, "kind string, value string").where(F.length("value") <= 256)
+        # kept, as it is counted and then picked from; at most per_kind for each kind reach the driver
+        return bounded_sample(cut_lineage(found.distinct()), "value", per_kind, "kind").collect()
+
+    ids = documents.where("doc_id is not null").select("doc_id", F.lit(0).alias("one"))
+    sample = texts_of(documents, bounded_sample(ids, "doc_id", rows, "one").select("doc_id"))
+    picked = strings(documents, labelled) + strings(sample, unlabelled)
+    of = lambda kind: sorted(r["value"] for r in picked if r["kind"] == kind)
     return [(k, Automaton(of(k))) for k in KINDS if len(of(k)) >= 10], Ordinary(of("ordinary"))
 
 

@@ -371,6 +371,13 @@ def test_base_spans_as_a_loop(frame, empty):
     assert secrets.scan(empty, secrets.learn(empty)).count() == 0
 
 
+def test_a_kind_rarer_than_the_text_sample_is_learned(frame):
+    keys = ["AKIA" + hashlib.md5(str(i).encode()).hexdigest()[:16].upper() for i in range(14)]
+    docs = frame([(i, f"plain words {i} " + (keys[i // 40] if i % 40 == 0 else "only")) for i in range(520)] + [(None, keys[13])])
+    automata, _ = secrets.learn(docs, rows=40)
+    assert [(kind, sum(a.stop)) for kind, a in automata] == [("access", 14)]
+
+
 def test_grammar_knows_its_format():
     rng = np.random.default_rng(5)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
