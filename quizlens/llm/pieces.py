@@ -202,8 +202,11 @@ class Encoder(dict):
             if tail not in self.inner:
                 self.inner[tail] = np.array(self.pieces.segment("\n" + tail), "<i4").tobytes()
             return self[head] + self.inner[tail]
-        elif len(word) > 1 and not word[-1].isalnum() and word[-2:] not in near:
-            ids = self[word[:-1]] + np.array(self.pieces.segment(word[-1]), "<i4").tobytes()
+        cut = len(word)     # no merge takes place between the signs after it, nor with what is before it
+        while cut > 1 and not word[cut - 1].isalnum() and word[cut - 2:cut] not in near:
+            cut -= 1
+        if cut < len(word):
+            ids = self[word[:cut]] + np.array(self.pieces.segment(word[cut:]), "<i4").tobytes()
         else:
             ids = np.array(self.pieces.segment(MARK + word), "<i4").tobytes()
         self[word] = ids

@@ -239,6 +239,15 @@ def test_random_texts_and_pairs():
         assert table.fits(a, b) == (table.merged(table.text[a] + table.text[b]) == [table.text[a], table.text[b]])
 
 
+@pytest.mark.parametrize("sign", ["\n", "\t", "\u00a0", "█", "😀", "!", "-"])
+def test_long_runs_of_one_sign(sign):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    encoder = pieces.Encoder(pieces.Pieces(PIECES).ready())
+    for text in (sign * 5000, "word" + sign * 5000, "a word" + sign * 5000 + "end " + sign * 3000):
+        assert np.frombuffer(encoder.encode(text), "<i4").tolist() == library.encode(text)
+    assert len(encoder) < 20      # not one entry for each length of the run
+
+
 # 7 packing
 
 def test_packing_covers_all_ids(odd, empty):
