@@ -62,31 +62,32 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     return out.select("depth", "prefix", "bytes", "over")
 
 
-def assign(documents: DataFrame, limit: int, key="doc_id") -> DataFrame:
-    """``doc_id, n_bytes, shard, depth, shard_bytes`` for each row."""
-    rows = documents.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), _hash(F.col(key)).alias("_h")
-    )
+def assign(documents: DataFrame, limit: int, key="doc_id", whole=False) -> DataFrame:
+    """``doc_id, n_bytes, shard, depth, shard_bytes`` for each row; ``whole`` adds the row itself as ``_row``."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes")
+    row = [F.struct(*(documents[c] for c in documents.columns)).alias("_row")] if whole else []
+    carried = ["_row"] if whole else []
+    rows = documents.select("doc_id", size, _hash(F.col(key)).alias("_h"), *row)
     leaves = cut_lineage(directory(rows, limit))
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1 numbers
     leaves = few_enough(leaves)
     depths = depths or [0]
     keys = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).alias("prefix")) for d in depths))
     placed = (
-        rows.select("*", F.explode(keys).alias("_k")).select("doc_id", "_bytes", "_h", "_k.*")
+        rows.select("*", F.explode(keys).alias("_k")).select("doc_id", "_bytes", "_h", "_k.*", *carried)
         .join(leaves, ["depth", "prefix"])
     )
     bits = F.when(F.col("depth") == 0, "").otherwise(
         F.expr("lpad(conv(prefix, 10, 2), depth, '0')")
     )
     placed = placed.withColumn("shard", bits)
-    apart = placed.where(~F.col("over")).select("doc_id", "_bytes", "shard", "depth", "bytes")
+    apart = placed.where(~F.col("over")).select("doc_id", "_bytes", "shard", "depth", "bytes", *carried)
     out = apart
     if not leaves.where("over").isEmpty():
         out = apart.unionByName(_by_number(placed.where("over"), limit))
     return out.select(
         "doc_id", F.col("_bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"),
-        F.col("bytes").alias("shard_bytes"),
+        F.col("bytes").alias("shard_bytes"), *carried,
     )
 
 
@@ -106,11 +107,12 @@ def _by_number(rows: DataFrame, limit: int) -> DataFrame:
     named = summed.withColumn("_one", number)
     sizes = named.groupBy("shard", "_one").agg(F.sum("_bytes").alias("_size"))
     return named.join(sizes, ["shard", "_one"]).select(
-        "doc_id", "_bytes", F.concat_ws(".", "shard", "_one").alias("shard"), "depth", F.col("_size").alias("bytes")
+        "doc_id", "_bytes", F.concat_ws(".", "shard", "_one").alias("shard"), "depth", F.col("_size").alias("bytes"),
+        *(c for c in rows.columns if c == "_row"),
     )
 
 
 def write(documents: DataFrame, path: str, limit: int, key="doc_id"):
-    """Write the texts as one folder of files per shard below ``path``."""
-    places = assign(documents, limit, key).select("doc_id", "shard").dropDuplicates(["doc_id"])
-    (documents.join(places, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path))
+    """Write the rows as one folder of files per shard below ``path``."""
+    placed = assign(documents, limit, key, whole=True).select("_row.*", "shard")
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -83,6 +83,19 @@ def test_written_shards_hold_the_texts(frame, tmp_path, spark):
     assert sorted(spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "text").collect()) == sorted(docs.collect())
 
 
+def test_written_shards_hold_null_and_repeated_ids(frame, tmp_path, spark):
+    texts = [(None, f"no id {i} " * 20) for i in range(40)] + [(7, f"one id {i % 30} " * 20) for i in range(40)]
+    docs = frame(texts + [(i, f"text {i} " * 20) for i in range(40)]).select("doc_id", "text")
+    sharding.write(docs, f"{tmp_path}/shards", 2000)
+    stored, held = [], defaultdict(list)
+    for folder in (tmp_path / "shards").glob("shard=*"):
+        rows = [tuple(r) for r in spark.read.parquet(str(folder)).select("doc_id", "text").collect()]
+        stored += rows
+        held[folder.name] += [len(t) for _, t in rows]
+    assert Counter(stored) == Counter(map(tuple, docs.collect()))
+    assert all(sum(v) <= 2000 or len(v) == 1 for v in held.values())
+
+
 # 3 near duplicates
 
 def plain_components(rows):
