@@ -6,7 +6,9 @@ frequencies do not differ significantly (Hoeffding's bound), which gives one
 probabilistic automaton per kind. Every run of credential characters in every
 text is then scored: how much likelier, per character, it is under the best
 automaton than as ordinary text of the same sample. Runs over the threshold are
-spans of kind ``format``, unless they touch a base span. Base spans always stay.
+spans of kind ``format``, unless they touch a base span; of each run, what
+lies between equal signs or dots is scored too, and of those that overlap the
+likeliest one counts. Base spans always stay.
 
 A null or empty text has no spans. Without labelled examples only base spans are
 found. Offsets count code points; repeated rows are scanned alike.
@@ -29,7 +31,9 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")      # the same spans as maximal runs with 16 characters or more
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")     # alphabet and least length of labelled values
+# what is scored of a run: all of it, and what lies between equal signs, dots, or either
+PARTS = (RUN, *(re.compile(f"[A-Za-z0-9+/_{more}-]{{12,}}") for more in (".", "=", "")))
 
 ALPHA = 0.05        # significance of the merge test
 BITS = 1.0          # bits per character by which an automaton must beat ordinary text
@@ -196,15 +200,18 @@ def all_spans(text, automata, ordinary, threshold=BITS):
     base = base_spans(text)
     spans = [(s, e, k) for s, e, k, _ in base]
     if automata:
-        for m in RUN.finditer(text):
-            run = m.group()
-            if run.isalpha() and (run.islower() or run.istitle() or run.isupper()):
-                continue    # a word
-            if any(s < m.end() and m.start() < e for s, e, *_ in base):
-                continue
-            gain = max(a.bits(run) for _, a in automata) - ordinary.bits(run)
-            if gain / len(run) > threshold:
-                spans.append((m.start(), m.end(), len(KINDS)))
+        likely = []
+        for run in RUN.finditer(text):
+            for start, end in {m.span() for part in PARTS for m in part.finditer(text, *run.span())}:
+                value = text[start:end]
+                if any(s < end and start < e for s, e, *_ in base):
+                    continue
+                gain = max(a.bits(value) for _, a in automata) - ordinary.bits(value)
+                if gain / len(value) > threshold:
+                    likely.append((-gain, start, end))
+        for _, start, end in sorted(likely):    # a run or its parts, whatever is the likeliest
+            if not any(s < end and start < e for s, e, _ in spans):
+                spans.append((start, end, len(KINDS)))
     names = (*KINDS, "format")
     return base, [(s, e, names[k]) for s, e, k in sorted(spans, key=lambda x: (x[0], x[2]))]
 

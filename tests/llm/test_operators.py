@@ -415,6 +415,23 @@ def test_grammar_knows_its_format():
     assert sum(2 ** small.bits(s) for s in strings) <= 1.0 + 1e-9
 
 
+def test_bare_credentials_of_a_learned_format_are_found(frame):
+    rng = np.random.default_rng(11)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    shape = lambda: f"QZ.{some('0123456789', 5)}.{some('XKJ', 3)}"
+    labelled = [f"token = {shape()} end" for _ in range(200)]
+    prose = [f"an {some('aeinrst', 15)} of {some('aeioulmn', 9)}/{some('dghost', 6)} at {some('aemnt', 9)}.com" for _ in range(150)]
+    keys = [shape() for _ in range(4)]
+    bare = [f"found {keys[0]} there", f"found {keys[1]}.", f"see x={keys[2]} and", f"{keys[3]}"]
+    docs = frame(list(enumerate(bare + labelled + prose)))
+    models = secrets.learn(docs)
+    found = secrets.scan(docs, models).where(f"doc_id < {len(bare)}").orderBy("doc_id").collect()
+    assert [[t[s["start"]:s["end"]].rstrip(".") for s in r["spans"]] for t, r in zip(bare, found)] == [[k] for k in keys]
+    assert {s["kind"] for r in found for s in r["spans"]} == {"format"}
+    clean = secrets.redact(docs, models).where(f"doc_id >= {len(bare) + len(labelled)}")
+    assert [r["text"] for r in clean.orderBy("doc_id").collect()] == prose      # ordinary runs stay
+
+
 def test_redaction_keeps_rows_and_columns(odd, frame):
     docs = frame(list(enumerate(SECRETS)))
     clean = secrets.redact(docs, secrets.learn(docs))
