@@ -42,6 +42,36 @@ def bounded_sample(rows: DataFrame, key: str, per_group: int, group: str) -> Dat
     return thin.withColumn("_r", F.row_number().over(order)).where(f"_r <= {per_group}").drop("_r", "_n")
 
 
+def running_total(rows: DataFrame, keys: list, order: list, weight: str) -> DataFrame:
+    """``rows`` with ``_before``: the sum of ``weight`` over the earlier rows (by ``order``) of the same ``keys``.
+
+    Rows are dealt to ranges of (``keys``, ``order``), which should tell rows apart, so that a hot key is
+    spread; sums of whole parts carry over from one to the next. Keys must not be null.
+    """
+    spread = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sums = spread.groupBy("_part", *keys).agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = spread.withColumn("_before", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return (
+        summed.join(sums, ["_part", *keys]).withColumn("_before", F.col("_before") + F.col("_base")).drop("_part", "_base")
+    )
+
+
+def expand(rows: DataFrame, times: str, spread: list, most=100_000) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered by ``_k`` from 0.
+
+    A row that is wanted very often is first cut into stretches of ``most``, dealt by ``spread`` to many tasks.
+    """
+    rows = rows.where(F.col(times) > 0)
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(most).cast("long"))))
+    if not rows.where(F.col("_from") > 0).isEmpty():
+        rows = rows.repartition(*spread, "_from")
+    end = F.least(F.col("_from") + most, F.col(times)) - 1
+    return rows.withColumn("_k", F.explode(F.sequence(F.col("_from"), end))).drop("_from")
+
+
 def few_enough(rows: DataFrame) -> DataFrame:
     """``rows`` of short keys, marked for broadcast if their counted number allows it."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -3,8 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quizlens.llm import dedup, fingerprints, langid, packing, pieces, quality, secrets, sharding, toxicity, urls
-from quizlens.llm.common import residue, table
+from quizlens.llm import (
+    dedup, fingerprints, langid, merkle, mixing, packing, phrases, pieces, quality, secrets, sharding, toxicity, urls,
+)
+from quizlens.llm.common import LOWER, UPPER, residue, table
 from quizlens.llm.sql import ORACLE_SQL, SHARD_BYTES  # noqa: F401
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,9 +68,29 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digests(secrets.scan(documents, secrets.learn(documents)))
 
 
+def op11_mixing(spark, sf_dir):
+    drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    tampered = residue(F.col("doc_id"), 3) == 0
+    presented = {"text": F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))}
+    proven = merkle.prove(documents, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", presented)
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def op13_phrases(spark, sf_dir):
+    found = phrases.ranked(phrases.collocations(table(spark, sf_dir, "documents")), 2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_language_id, op2_sharding, op3_near_dedup, op4_url_filters, op5_toxicity, op6_pieces, op7_packing,
-        op8_quality_rules, op9_fingerprints, op10_secret_scan,
+        op8_quality_rules, op9_fingerprints, op10_secret_scan, op11_mixing, op12_merkle_manifest, op13_phrases,
     )
 }

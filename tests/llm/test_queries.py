@@ -9,7 +9,7 @@ from quizlens.llm.queries import ORACLE_SQL, QUERIES
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
