@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quizlens.llm.common import Numbering, cut_lineage, few_enough, sliced
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 SLOTS, BUCKET = 2**26, 2**15
 MULTIPLIER = 1_000_003
 SLAB_BYTES = 2**20
@@ -65,8 +65,9 @@ def ranks(keys: np.ndarray) -> np.ndarray:
         return np.unique(keys, return_inverse=True)[1]
     placed = np.sort(keys << bits | np.arange(len(keys)))
     values = placed >> bits
+    placed &= (1 << bits) - 1
     out = np.empty(len(keys), np.int64)
-    out[placed & (1 << bits) - 1] = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+    out[placed] = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
     return out
 
 
@@ -112,11 +113,12 @@ def ngrams(ids: np.ndarray, longest: int, wanted=lambda phrases: None):
         if length == longest or not len(phrases):
             return
         side = length % 2       # 1: extend to the right, by what the backwards transform holds
-        owner = np.repeat(np.arange(len(width)), width)
-        starts = np.cumsum(width) - width
-        places = np.arange(len(owner)) - starts[owner] + low[side][owner]
-        key = owner * len(first) + last[side][places]
+        places = np.arange(width.sum()) + np.repeat(low[side] - (np.cumsum(width) - width), width)
+        key = np.repeat(np.arange(len(width)) * len(first), width)
+        key += last[side][places]
+        del places
         found, more = np.unique(key, return_counts=True)
+        del key
         owner, sign = found // len(first), found % len(first)
         # inside the other index the extensions follow each other by id
         passed = np.cumsum(more) - more
@@ -200,6 +202,7 @@ def counted(documents: DataFrame, length: int, bitmaps=()) -> DataFrame:
 
         def rows_of(lang, names, parts):
             ids = np.concatenate(parts)
+            parts.clear()
             names = list(names)
             if length == 1:
                 yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": [""], "f": [int((ids > 0).sum())]}, schema)
