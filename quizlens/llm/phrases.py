@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from quizlens.llm.common import Numbering, cut_lineage, few_enough, sliced
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 SLOTS, BUCKET = 2**26, 2**15
 MULTIPLIER = 1_000_003
+PARTS = 16          # in which a language's phrases are ranked first
 SLAB_BYTES = 2**20
 CUT = b"\xff"       # a byte that UTF-8 never uses
 SCALE = 1_000_000
@@ -323,6 +324,12 @@ def collocations(documents: DataFrame, longest=3, least=10, share=50) -> DataFra
 
 def ranked(found: DataFrame, most: int) -> DataFrame:
     """The first ``most`` phrases of each language, with their ``rank`` from 1."""
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    numbered = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return numbered.withColumn("rank", F.col("rank").cast("long"))
+    by = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+
+    def first(rows, *groups):
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*by))
+        return rows.withColumn("rank", place).where(F.col("rank") <= most)
+
+    # the first of each of a fixed number of parts, so that what meets for a language does not grow with the input
+    parts = first(found.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "_salt")
+    return first(parts.drop("_salt"), "lang").withColumn("rank", F.col("rank").cast("long"))
