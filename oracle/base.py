@@ -133,7 +133,13 @@ notes1 AS (
   SELECT *, CASE WHEN seq % 3 <> 1 THEN status_raw END AS evento,
     CASE WHEN seq % 3 = 1 THEN 'cartao' END AS metodo,
     CASE WHEN seq % 3 = 0 THEN concat('c', o_custkey, '@example.com') END AS cliente_email,
-    cast(replace(valor_raw, ',', '.') AS DOUBLE) AS amount
+    cast(replace(valor_raw, ',', '.') AS DOUBLE) AS amount,
+    CASE seq % 3 WHEN 0 THEN concat('{{"eventType":{{"code":"', status_raw, '"}},"order":{{"id":"', order_id, '","status":"',
+        status_raw, '","amount":"', valor_raw, '","customer":{{"email":"c', o_custkey, '@example.com"}}}},"src":"', session_id, '"}}')
+      WHEN 1 THEN concat('{{"transaction_id":"', order_id, '","data":{{"payment_status":"', status_raw, '","total_value":"',
+        valor_raw, '","payment_method":"CREDIT_CARD"}},"tracking":"', session_id, '"}}')
+      ELSE concat('{{"sale":{{"code":"', order_id, '","items":[{{"id":"i1","price":"999"}}],"total":"', valor_raw,
+        '"}},"event":"', status_raw, '","note":"sck=', session_id, '&x=1"}}') END AS raw
   FROM notes0),
 notes AS (
   SELECT *, {status('status_raw')} AS status,
@@ -153,7 +159,8 @@ o AS (
     last(status ORDER BY received_ts, seq) AS status,
     {known('evento')}, {known('valor_cents')}, {known('metodo')}, {known('cliente_email')}, {nothing},
     min(received_ts) AS created_at, max(received_ts) AS updated_at,
-    min(received_ts) FILTER (WHERE status = 'pago') AS paid_at, 'BRL' AS moeda
+    min(received_ts) FILTER (WHERE status = 'pago') AS paid_at, 'BRL' AS moeda,
+    last(raw ORDER BY received_ts, seq) AS raw
   FROM {source} GROUP BY order_id)"""
 
 

@@ -462,14 +462,17 @@ add("stream_ingest", EVENTS, "SELECT * FROM ev")
 add("stream_sessions", VISITS, "SELECT * FROM v")
 add("stream_orders", ORDERS, "SELECT * FROM o")
 add("stream_purchases", f"{NOTES}, {PURCHASES}", "SELECT * FROM p")
-add("last_click", PX, "SELECT max(ts_ms) FROM px")
-ORACLE_SQL["stream_rage_clicks"] = f"""
-SELECT * FROM ({ORACLE_SQL['rage_clicks']}) WHERE ts_ms < ({ORACLE_SQL.pop('last_click')})"""
-add("stream_daily_kpis", VISITS, f"""
-SELECT strftime(first_ts, '%Y-%m-%d') AS dia, {n()} AS sessoes, {n('max_q >= 10')} AS terminaram,
-  {n('reached_result')} AS ofertas, {n('reached_checkout')} AS checkouts
-FROM v GROUP BY 1
-HAVING max(first_ts)::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+ORACLE_SQL["stream_rage_clicks"] = ORACLE_SQL["rage_clicks"]
+add("stream_daily_kpis", f"""{VISITS}, {ORDERS},
+days AS (SELECT first_ts::DATE AS dt, {n()} AS sessoes, {n('max_q >= 10')} AS terminaram,
+    {n('reached_result')} AS ofertas, {n('reached_checkout')} AS checkouts FROM v GROUP BY 1),
+sales AS (SELECT created_at::DATE AS dt, {n("status = 'pago'")} AS pagos,
+    {money('valor_cents', "status = 'pago'")} AS receita_cents FROM o GROUP BY 1),
+seen AS (SELECT greatest((SELECT max(ts) FROM events), (SELECT max(received_ts) FROM notes)) AS ts)""", """
+SELECT strftime(dt, '%Y-%m-%d') AS dia, coalesce(sessoes, 0) AS sessoes, coalesce(terminaram, 0) AS terminaram,
+  coalesce(ofertas, 0) AS ofertas, coalesce(checkouts, 0) AS checkouts, coalesce(pagos, 0) AS pagos,
+  coalesce(receita_cents, 0)::BIGINT AS receita_cents, dt >= (ts - INTERVAL 10 MINUTE)::DATE AS provisorio
+FROM days FULL JOIN sales USING (dt), seen""")
 add("stream_dedup_sections", f"""{KEYED},
 firsts AS (SELECT DISTINCT cast(user_id AS VARCHAR) AS session_id, {case('k % 4', BLOCKS)} AS section
   FROM keyed)""", """

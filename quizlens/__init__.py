@@ -8,6 +8,6 @@ from pyspark.cloudpickle import cloudpickle
 # installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from quizlens.tables import Tables  # noqa: E402
+from quizlens.tables import Stored, Tables  # noqa: E402
 
-__all__ = ["Tables"]
+__all__ = ["Stored", "Tables"]

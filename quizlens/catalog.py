@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quizlens.fixed_values import JOURNEY_LIMITS, MAX_CLICKS_PER_BATCH, MAX_EVENTS_PER_BATCH, TOP
+from quizlens.fixed_values import JOURNEY_LIMITS, LIST_LIMITS, MAX_CLICKS_PER_BATCH, MAX_EVENTS_PER_BATCH, TOP
 from quizlens.functions import browser, sales
 from quizlens.functions import values as v
 from quizlens.functions.period import period_filter
@@ -11,9 +11,11 @@ from quizlens.plans import bundle, funnel, heatmap, log, overview, quiz, visits
 from quizlens.plans import sales as sales_plans
 from quizlens.session import work_folder
 from quizlens.sources import files, sample
+from quizlens.sources.history import History
+from quizlens.sources.store import KeyedStore
 from quizlens.streaming import live
 from quizlens.streaming import tables as streams
-from quizlens.streaming.run import collected
+from quizlens.streaming.run import collected, keeping_lists, to_files
 
 PERIOD = {"start": "2024-01-05", "end": "2024-01-25"}
 AS_OF = "2024-02-15 00:00:00"
@@ -27,14 +29,21 @@ def query(fn):
 
 
 def panel(query_name, plan, *sources, **args):
-    """Register a panel plan over derived tables, for the fixed period."""
+    """Register a panel plan for the fixed period, over stored sessions and orders and derived logs."""
     def run(spark, folder):
-        tables = sample.tables(spark, folder)
-        return plan(*[getattr(tables, source) for source in sources], **args, **PERIOD)
+        return plan(*[_source(spark, folder, source) for source in sources], **args, **PERIOD)
 
     QUERIES[query_name] = run
 
 
+def _source(spark, folder, name):
+    if name in ("visits", "sessions"):
+        return sample.stored(spark, folder).sessions()
+    if name == "orders":
+        return sample.stored(spark, folder).orders()
+    return getattr(sample.tables(spark, folder), name)
+
+
 panel("overview_summary", overview.overview_summary, "sessions")
 panel("overview_by_day", overview.overview_by_day, "visits")
 panel("overview_by_device", overview.overview_by_device, "visits")
@@ -70,7 +79,7 @@ panel("checkout_summary", sales_plans.checkout_summary, "sessions")
 panel("sales_by_day", sales_plans.sales_by_day, "orders")
 panel("sales_by_band", sales_plans.sales_by_band, "sessions")
 panel("sales_by_source", sales_plans.sales_by_source, "sessions", most=TOP["sales_by_source"])
-panel("order_list", sales_plans.order_list, "orders", "visits")
+panel("order_list", sales_plans.order_list, "orders", "visits", limit=LIST_LIMITS["orders"][-1])
 panel("order_list_problem", sales_plans.order_list, "orders", "visits", filtro="problema", limit=50)
 panel("rescue_list", sales_plans.rescue_list, "sessions", most=TOP["rescue_list"])
 
@@ -83,7 +92,8 @@ panel("session_count", visits.session_count, "sessions", filtro="nao-comprou")
 panel("events_by_type", log.events_by_type, "events")
 panel("event_count", log.event_count, "events", name="quiz_answer")
 panel("event_log", log.event_log, "events", name="cta_click", limit=200, offset=100)
-panel("event_log_after", log.event_log, "events", after=("2024-01-20 12:00:00", 0))
+panel("event_log_after", log.event_log, "events", after=("2024-01-20 12:00:00", 0),
+      limit=LIST_LIMITS["events"][-1])
 
 
 @query
@@ -128,7 +138,8 @@ def session_fold(spark, folder):
 
 @query
 def order_fold(spark, folder):
-    return sample.tables(spark, folder).orders.drop("raw")
+    tables = sample.tables(spark, folder)
+    return folds.with_raw(tables.orders, tables.notifications)
 
 
 @query
@@ -147,22 +158,32 @@ def stamp_purchases(spark, folder):
     return sample.tables(spark, folder).sessions
 
 
+def _deliveries(rows, number):
+    """The first half of the month, then its second half, then every third message of all the month, late."""
+    late = sample.late(F.col(number))
+    half = F.day("received_ts") >= 15
+    return [rows.where(~late & ~half), rows.where(~late & half), rows.where(late)]
+
+
 @query
 def upsert_sessions(spark, folder):
-    """Visits as of mid-month, then the rest of the month merged into them."""
+    """Visits kept in a store over three deliveries, of which the last changes days of all the month."""
     fold = folds.sessions()
-    rows = ingest.snapshot_rows(sample.batches(spark, folder))
-    old, new = rows.filter("day(received_ts) < 15"), rows.filter("day(received_ts) >= 15")
-    return fold.finish(fold.upsert(fold.merge(fold.lift(old)), new))
+    store = KeyedStore(spark, work_folder(spark, "sessions"), fold, "first_ts")
+    for rows in _deliveries(ingest.snapshot_rows(sample.batches(spark, folder)), "batch_seq"):
+        store.upsert(fold.lift(rows))
+    return store.read().drop("dt")
 
 
 @query
 def upsert_orders(spark, folder):
-    fold = folds.orders()
-    rows = sample.tables(spark, folder).notifications
-    old, new = rows.filter("day(received_ts) < 15"), rows.filter("day(received_ts) >= 15")
-    merged = fold.finish(fold.upsert(fold.merge(fold.lift(old)), new))
-    return merged.withColumn("moeda", F.lit("BRL")).drop("raw")
+    fold, notifications = folds.orders(), sample.tables(spark, folder).notifications
+    path = work_folder(spark, "orders")
+    store = KeyedStore(spark, f"{path}/orders", fold, "created_at")
+    for rows in _deliveries(notifications, "seq"):
+        store.upsert(fold.lift(rows))
+        files.append_raws(rows, f"{path}/raws")
+    return folds.with_raw(folds.finished_orders(store.read().drop("dt")), spark.read.parquet(f"{path}/raws"))
 
 
 @query
@@ -227,17 +248,10 @@ def panel_bundle(spark, folder):
     return bundle.result_sizes(sample.tables(spark, folder), tops=TOP, **PERIOD)
 
 
-def _stored(spark, folder, name, ts):
-    """A keyed table written by day and read back."""
-    path = work_folder(spark, name)
-    files.write_keyed(getattr(sample.tables(spark, folder), name), path, ts)
-    return files.read_keyed(spark, path)
-
-
 @query
 def session_store(spark, folder):
     """Visits per day and device from the stored sessions; only the days of the period are read."""
-    stored = period_filter(_stored(spark, folder, "sessions", "first_ts"), "first_ts", **PERIOD)
+    stored = period_filter(sample.stored(spark, folder).sessions(**PERIOD), "first_ts", **PERIOD)
     return stored.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dia"), "device").agg(
         v.rows().alias("sessoes"), v.count_where(F.col("purchased")).alias("compras"),
         F.sum("purchase_cents").cast("long").alias("receita_cents"),
@@ -247,7 +261,7 @@ def session_store(spark, folder):
 @query
 def order_store(spark, folder):
     """Sales by day from the stored orders; only the days of the period are read."""
-    return sales_plans.sales_by_day(_stored(spark, folder, "orders", "created_at"), **PERIOD)
+    return sales_plans.sales_by_day(sample.stored(spark, folder).orders(**PERIOD), **PERIOD)
 
 
 @query
@@ -445,7 +459,8 @@ def session_link(spark, folder):
 
 @query
 def notifications_to_orders(spark, folder):
-    return folds.order_fold(payload.extract(sample.raw_notifications(spark, folder))).drop("raw")
+    messages = payload.extract(sample.raw_notifications(spark, folder))
+    return folds.with_raw(folds.order_fold(messages), messages)
 
 
 # ---------------------------------------------------------- files and streams
@@ -540,29 +555,26 @@ def stream_sessions(spark, folder):
     path = work_folder(spark, "stream-sessions")
     batches = sample.batches(spark, sample.Live(folder))
     streams.stream_sessions(batches, f"{path}/states", f"{path}/checkpoint")
-    return files.read_folded(spark, folds.sessions(), f"{path}/states")
+    return History(spark, f"{path}/states", folds.sessions()).read()
 
 
 def _streamed_orders(spark, folder):
     path = work_folder(spark, "stream-orders")
     notes = sample.normalized(sample.flat_notifications(spark, sample.Live(folder)))
-    places = f"{path}/orders", f"{path}/purchases"
-    streams.stream_orders(notes, *places, f"{path}/checkpoint")
-    return places
+    streams.stream_orders(notes, f"{path}/orders", f"{path}/purchases", f"{path}/checkpoint", f"{path}/raws")
+    return path
 
 
 @query
 def stream_orders(spark, folder):
-    orders, _ = _streamed_orders(spark, folder)
-    return files.read_folded(spark, folds.orders(), orders).withColumn(
-        "moeda", F.lit("BRL")
-    ).drop("raw")
+    path = _streamed_orders(spark, folder)
+    orders = folds.finished_orders(History(spark, f"{path}/orders", folds.orders()).read())
+    return folds.with_raw(orders, spark.read.parquet(f"{path}/raws"))
 
 
 @query
 def stream_purchases(spark, folder):
-    _, purchases = _streamed_orders(spark, folder)
-    return files.read_folded(spark, folds.purchases(), purchases)
+    return History(spark, f"{_streamed_orders(spark, folder)}/purchases", folds.purchases()).read()
 
 
 @query
@@ -574,18 +586,36 @@ def stream_rate_admission(spark, folder):
 
 @query
 def stream_rage_clicks(spark, folder):
-    # the derived clock starts at 0, where a stream's watermark already stands
-    day = 86_400_000
-    clicks = sample.clicks_px(spark, sample.Live(folder)).withColumn("ts_ms", F.col("ts_ms") + day)
-    # without a delay the watermark reaches the last moment of the table, whose own clicks stay open
-    found = collected(spark, live.stream_rage_clicks(clicks, delay="0 seconds"), "rage")
-    return found.withColumn("ts_ms", F.col("ts_ms") - day)
+    """Rage clicks of a clock that moves on from visit to visit, whatever the order in which files are read.
+
+    The delay covers the whole clock. A closing click of no visit comes after all others and
+    moves the watermark past them, so every visit is closed by its timer.
+    """
+    visit, day = 10_000, 86_400_000     # a visit of the sample is over in less
+    start = F.col("session_id").cast("long") * visit + day
+    needed = ["session_id", *live.HELD]
+    clicks = sample.clicks_px(spark, sample.Live(folder)).withColumn("ts_ms", F.col("ts_ms") + start).select(needed)
+    last = sample.clicks_px(spark, folder).agg(F.coalesce(F.max(F.col("ts_ms") + start), F.lit(day))).first()[0]
+    path = work_folder(spark, "stream-rage")
+    closing = spark.createDataFrame([("", 2 * last + visit, 0, 0, 0, None)], clicks.schema).coalesce(1)
+    closing.limit(0).write.parquet(f"{path}/closing")
+    every = clicks.unionByName(spark.readStream.schema(clicks.schema).parquet(f"{path}/closing"))
+    with keeping_lists(spark):
+        found = live.stream_rage_clicks(every, delay=f"{last} milliseconds")
+        to_files(found, f"{path}/rows", f"{path}/checkpoint")
+        closing.write.mode("append").parquet(f"{path}/closing")
+        to_files(found, f"{path}/rows", f"{path}/checkpoint")
+    rows = spark.read.schema(found.schema).parquet(f"{path}/rows")
+    return rows.withColumn("ts_ms", F.col("ts_ms") - start)
 
 
 @query
 def stream_daily_kpis(spark, folder):
-    batches = sample.batches(spark, sample.Live(folder))
-    return collected(spark, live.stream_daily_kpis(batches), "daily")
+    """The numbers of all days from two streams, the open days marked."""
+    path, now = work_folder(spark, "stream-daily"), sample.Live(folder)
+    notes = sample.normalized(sample.flat_notifications(spark, now))
+    days = streams.stream_daily_kpis(sample.batches(spark, now), notes, path, f"{path}/checkpoint")
+    return days.read(delay="10 minutes")
 
 
 @query

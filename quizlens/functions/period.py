@@ -58,13 +58,15 @@ def _within(value, bounds):
     return min(high, max(low, _leading_int(value) or default))
 
 
-ALL = "all"
+def list_args(screen, limit=None, offset=None):
+    """Clamp the paging arguments of a request; text is read like a form field, and no limit is the screen's own."""
+    return _within(limit, LIST_LIMITS[screen]), max(0, _leading_int(offset))
 
 
-def list_args(screen, limit=None, offset=None):
-    """Clamp the paging arguments of a list; text is read like a form field. ``ALL`` means no limit."""
-    most = None if limit == ALL else _within(limit, LIST_LIMITS[screen])
-    return most, max(0, _leading_int(offset))
+def paging(screen, limit=None, offset=None):
+    """The paging arguments of a plan: clamped like a request's, but without a limit the list is whole."""
+    most, skipped = list_args(screen, limit, offset)
+    return None if limit is None else most, skipped
 
 
 def top(rows, most=None):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.operators.ingest import snapshot_rows
-from quizlens.operators.merge import Fold, Rule
+from quizlens.operators.merge import Fold, Joint, Rule
 
 ORIGIN = ["device", "vw", "referrer", "landing_path", "utm_source", "utm_medium",
           "utm_campaign", "utm_content", "utm_term", "fbclid", "country"]
@@ -33,14 +33,15 @@ def sessions() -> Fold:
 
 def orders() -> Fold:
     """Status follows the latest notification; details the latest known; the
-    linked visit and the payment time the first."""
+    linked visit and the payment time the first. Of the payload only the number of
+    the notification that has it is kept (``raw_seq``): see ``with_raw``."""
     return Fold(
         "order_id", ["received_ts", "seq"],
         **_rules("first_known", "session_id"),
         **_rules("last_row", "status"),
         **_rules("last_known", "evento", "valor_cents", "metodo", "produto", "cliente_nome",
                  "cliente_email", "cliente_fone", "utm_source", "utm_campaign"),
-        **_rules("last_row", "raw"),
+        raw_seq=Rule("last_row", F.col("seq")),
         created_at=Rule("lowest", F.col("received_ts")),
         updated_at=Rule("highest", F.col("received_ts")),
         paid_at=Rule("lowest", F.when(F.col("status") == "pago", F.col("received_ts"))),
@@ -59,6 +60,11 @@ def purchases() -> Fold:
     )
 
 
+def stamped_sessions() -> Joint:
+    """Visits with their purchase in one row, out of snapshots and of deciding notifications."""
+    return Joint(sessions(), purchases())
+
+
 def session_fold(batches: DataFrame) -> DataFrame:
     """One row per visit from all its snapshots."""
     return sessions().fold(snapshot_rows(batches))
@@ -66,10 +72,24 @@ def session_fold(batches: DataFrame) -> DataFrame:
 
 def order_fold(notifications: DataFrame) -> DataFrame:
     """One row per order from all its notifications."""
-    folded = orders().fold(notifications)
+    return finished_orders(orders().fold(notifications))
+
+
+def finished_orders(folded: DataFrame) -> DataFrame:
     return folded.withColumn("moeda", F.lit("BRL"))
 
 
+def with_raw(orders_df: DataFrame, notifications: DataFrame) -> DataFrame:
+    """Orders with the payload of their latest notification (``raw``) in place of its number.
+
+    Payloads never pass through the fold: those of the wanted notifications alone are
+    fetched, by their number, which spreads evenly. A redelivered one counts once.
+    """
+    wanted = orders_df.select(F.col("raw_seq").alias("seq"))
+    raws = notifications.select("seq", "raw").join(wanted, "seq", "left_semi").dropDuplicates(["seq"])
+    return orders_df.withColumnRenamed("raw_seq", "seq").join(raws, "seq", "left").drop("seq")
+
+
 def deciding(notifications: DataFrame) -> DataFrame:
     """The notifications that change a visit's purchase."""
     return notifications.filter(

@@ -52,8 +52,8 @@ class Fold:
                 columns.append(rule.value.alias(name))
         return messages.select(F.col(self.key), *columns)
 
-    def merge(self, states: DataFrame) -> DataFrame:
-        """One state row per key."""
+    def merged(self):
+        """The aggregate of each state column."""
         merged = []
         for kind, names in self._together.items():
             if names:
@@ -63,10 +63,10 @@ class Fold:
                 merged.append(F.min(name).alias(name))
             elif rule.kind in ("last_known", "highest", "ever"):
                 merged.append(F.max(name).alias(name))
-        return states.groupBy(self.key).agg(*merged)
+        return merged
 
-    def finish(self, states: DataFrame) -> DataFrame:
-        """State rows to table rows, columns in rule order."""
+    def columns(self):
+        """The table's columns out of the state columns, in rule order."""
         columns = []
         for name, rule in self.rules.items():
             if rule.kind in self._together:
@@ -75,7 +75,15 @@ class Fold:
                 columns.append(F.col(name)["v"].alias(name))
             else:
                 columns.append(F.col(name))
-        return states.select(self.key, *columns)
+        return columns
+
+    def merge(self, states: DataFrame) -> DataFrame:
+        """One state row per key."""
+        return states.groupBy(self.key).agg(*self.merged())
+
+    def finish(self, states: DataFrame, *carried) -> DataFrame:
+        """State rows to table rows; ``carried`` are further columns to keep."""
+        return states.select(self.key, *self.columns(), *carried)
 
     def fold(self, messages: DataFrame) -> DataFrame:
         return self.finish(self.merge(self.lift(messages)))
@@ -83,3 +91,24 @@ class Fold:
     def upsert(self, states: DataFrame, messages: DataFrame) -> DataFrame:
         """States after new messages. ``states`` may come from any earlier merge."""
         return self.merge(states.unionByName(self.lift(messages)))
+
+
+class Joint:
+    """Several folds of one key in one state row, each fed by messages of its own kind."""
+
+    def __init__(self, *folds):
+        self.folds, self.key = folds, folds[0].key
+
+    def lift(self, *messages: DataFrame) -> DataFrame:
+        """State rows of the messages of each fold, in the folds' order."""
+        lifted = [fold.lift(rows) for fold, rows in zip(self.folds, messages, strict=True)]
+        every = lifted[0]
+        for rows in lifted[1:]:
+            every = every.unionByName(rows, allowMissingColumns=True)
+        return every
+
+    def merge(self, states: DataFrame) -> DataFrame:
+        return states.groupBy(self.key).agg(*(c for fold in self.folds for c in fold.merged()))
+
+    def finish(self, states: DataFrame, *carried) -> DataFrame:
+        return states.select(self.key, *(c for fold in self.folds for c in fold.columns()), *carried)

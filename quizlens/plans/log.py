@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quizlens.fixed_values import WIDTH
 from quizlens.functions import values as v
-from quizlens.functions.period import list_args, period_filter, top
+from quizlens.functions.period import paging, period_filter, top
 
 
 def event_log_filter(events, name=None, session=None):
@@ -37,7 +37,7 @@ def event_count(events, name=None, session=None, **period):
 def event_log(events, name=None, session=None, limit=None, offset=None, after=None, **period):
     """Newest events first. Deep pages should pass ``after``, the (ts, id) of the
     last row seen, instead of an offset."""
-    limit, offset = list_args("events", limit, offset)
+    limit, offset = paging("events", limit, offset)
     chosen = event_log_filter(period_filter(events, "ts", **period), name, session)
     if after is not None:
         ts, last_id = F.lit(after[0]).cast(events.schema["ts"].dataType), F.lit(after[1])

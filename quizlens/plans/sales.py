@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quizlens.fixed_values import DIRECT
 from quizlens.functions import values as v
-from quizlens.functions.period import list_args, period_filter, top
+from quizlens.functions.period import paging, period_filter, top
 
 ORDER_FILTERS = {
     "pagos": ["pago"],
@@ -121,7 +121,7 @@ def order_list(orders, sessions, filtro=None, limit=None, **period):
     the visits of listed orders are looked up. Their ids are broadcast when the list
     has a limit, and joined like any table when it has none.
     """
-    limit, _ = list_args("orders", limit)
+    limit, _ = paging("orders", limit)
     newest = [F.desc("created_at"), F.col("order_id")]
     listed = (
         period_filter(order_filter(orders, filtro), "created_at", **period)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quizlens.fixed_values import DEVICES, WIDTH
 from quizlens.functions import values as v
-from quizlens.functions.period import list_args, period_filter, top
+from quizlens.functions.period import paging, period_filter, top
 
 SESSION_LIST = [
     "session_id", "first_ts", "device", "max_q", "score", "band", "contact", "reached_result",
@@ -43,7 +43,7 @@ def session_count(sessions, filtro=None, device=None, **period):
 def session_list(sessions, filtro=None, device=None, limit=None, offset=None, after=None, **period):
     """Newest visits first. Deep pages should pass ``after``, the (first_ts, session_id) of the
     last row seen, instead of an offset."""
-    limit, offset = list_args("sessions", limit, offset)
+    limit, offset = paging("sessions", limit, offset)
     chosen = session_filter(period_filter(sessions, "first_ts", **period), filtro, device)
     if after is not None:
         ts, last_id = F.lit(after[0]).cast(sessions.schema["first_ts"].dataType), F.lit(after[1])

@@ -1,7 +1,5 @@
 """Reading raw inputs, and keeping the clean tables as day-partitioned Parquet."""
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,49 +60,7 @@ def read_log(spark, path, kind, ts="timestamp"):
     return spark.read.schema(schema).parquet(path)
 
 
-def write_keyed(table, path, ts):
-    """Write a finished keyed table (sessions by ``first_ts``, orders by ``created_at``) under one folder per day.
-
-    A job that folds new states runs this on the days it touched; reports then read only the
-    folders of their period (``period_filter`` knows ``dt``). Rows of one write replace their days.
-    """
-    by_day = table.withColumn("dt", F.to_date(ts))
-    writer = by_day.hint("rebalance", F.col("dt")).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-
-
-def read_keyed(spark, path):
-    """The stored table with its ``dt`` column."""
-    return spark.read.parquet(path)
-
-
-def append_states(fold, messages, path, label):
-    """Add the folded state of new messages to a keyed table's history.
-
-    ``label`` names the delivery and must be unique to it, such as a stream's id with the
-    batch number; writing the same one again replaces it, so a retried delivery
-    changes nothing.
-    """
-    fold.merge(fold.lift(messages)).write.mode("overwrite").parquet(f"{path}/delivery={label}")
-
-
-def read_states(spark, path):
-    # labels are text, also where all of them look like numbers
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.drop("delivery")
-
-
-def read_folded(spark, fold, path):
-    """The keyed table: all deliveries merged on read."""
-    return fold.finish(fold.merge(read_states(spark, path)))
-
-
-def compact_states(spark, fold, path, target):
-    """Write all deliveries merged into one, to keep reads short.
-
-    The merged states get a name of their own below ``target``, a new table, so no later
-    delivery replaces them. States merge to the same result in any order and any number
-    of times, so deliveries that go on arriving at ``target`` may repeat old ones.
-    """
-    name = f"merged-{uuid.uuid4().hex}"
-    fold.merge(read_states(spark, path)).write.mode("errorifexists").parquet(f"{target}/delivery={name}")
+def append_raws(notifications, path):
+    """Store payloads by the day they came; ``folds.with_raw`` fetches the ones an order list shows."""
+    by_day = notifications.select("seq", "raw", F.to_date("received_ts").alias("dt"))
+    by_day.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(path)

@@ -15,6 +15,9 @@ from quizlens.fixed_values import ENGAGEMENT_EVENTS, FUNNEL_STEPS
 from quizlens.functions import sales
 from quizlens.functions.values import cut_or_null
 from quizlens.schemas import SNAPSHOT_IN
+from quizlens.session import work_folder
+from quizlens.sources.storage import Folder
+from quizlens.tables import Stored
 
 # event name by k % 22; the last one is not a known event and must be dropped
 EVENT_BY_K = (
@@ -37,7 +40,6 @@ class Live:
     like: str = None
 
 
-@lru_cache(maxsize=64)
 def table(spark, folder, name):
     if isinstance(folder, Live):
         schema = table(spark, folder.like or folder.folder, name).schema
@@ -133,7 +135,6 @@ def flat_batches(spark, folder):
     return keyed_events(spark, folder).selectExpr(*[f"{sql} AS {n}" for n, sql in FLAT.items()])
 
 
-@lru_cache(maxsize=8)
 def batches(spark, folder):
     """Batches as the tracker would send them, one event, click and snapshot each."""
     return keyed_events(spark, folder).selectExpr(
@@ -207,6 +208,7 @@ SHAPES = [
        valor_raw, '"},"event":"', status_raw, '","note":"sck=', coalesce(session_id, ''),
        '&x=1"}')""",
 ]
+PAYLOAD = f"CASE seq % 3 WHEN 0 THEN {SHAPES[0]} WHEN 1 THEN {SHAPES[1]} ELSE {SHAPES[2]} END"
 
 
 def flat_notifications(spark, folder):
@@ -226,22 +228,39 @@ def normalized(flat):
         sales.method(F.col("metodo_raw")).alias("metodo"),
         none.alias("produto"), none.alias("cliente_nome"),
         F.col("email").alias("cliente_email"), none.alias("cliente_fone"),
-        none.alias("utm_source"), none.alias("utm_campaign"), none.alias("raw"),
+        none.alias("utm_source"), none.alias("utm_campaign"), F.expr(PAYLOAD).alias("raw"),
     )
 
 
 def raw_notifications(spark, folder):
     """Notifications as JSON text in three shapes."""
-    payload = (f"CASE seq % 3 WHEN 0 THEN {SHAPES[0]} WHEN 1 THEN {SHAPES[1]} "
-               f"ELSE {SHAPES[2]} END AS payload")
-    return flat_notifications(spark, folder).selectExpr("seq", "received_ts", payload)
+    return flat_notifications(spark, folder).selectExpr("seq", "received_ts", f"{PAYLOAD} AS payload")
 
 
-@lru_cache(maxsize=8)
 def tables(spark, folder):
     return Tables(batches(spark, folder), normalized(flat_notifications(spark, folder)))
 
 
+def late(number):
+    """Every third message comes with the second delivery."""
+    return F.pmod(number, F.lit(3)) == 2
+
+
+@lru_cache(maxsize=4)
+def _stored(spark, folder, application, signature):
+    stored, t = Stored(spark, work_folder(spark, "stored")), tables(spark, folder)
+    for second in (False, True):
+        stored.add(t.batches.where(late(F.col("batch_seq")) == second), t.notifications.where(late(F.col("seq")) == second))
+    return stored
+
+
+def stored(spark, folder):
+    """The keyed tables of a folder, stored in two deliveries; made once for the files as they are."""
+    files = Folder(spark, folder)
+    signature = tuple(files.signature(f"{name}.parquet{below}") for name in ("events", "orders") for below in ("", "/*"))
+    return _stored(spark, folder, spark.sparkContext.applicationId, signature)
+
+
 # ---------------------------------------------------------------- raw logs
 GROUP_OF_20 = "cast(cast(floor(event_id / 20.0D) AS bigint) AS string) AS session_id"
 GROUP_OF_10 = "cast(cast(floor(event_id / 10.0D) AS bigint) AS string) AS session_id"

@@ -3,10 +3,10 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quizlens.functions.values import micros
-from quizlens.operators import ingest
 from quizlens.operators.interactions import RAGE_MS, RAGE_PX, first_section_names
 from quizlens.operators.quota import Gate, window_micros
 
@@ -48,9 +48,6 @@ def stream_rate_admission(calls, limit=300, hours=1.0, delay=DELAY):
     )
 
 
-HELD = ["ts_ms", "seq", "client_x", "client_y", "section"]
-
-
 def _third_clicks(rows, last):
     """Flags of third clicks in time order; ``last`` is the click before and the two flags before it.
 
@@ -68,72 +65,79 @@ def _third_clicks(rows, last):
     return flags[2:] & flags[1:-1] & ~flags[:-2], state
 
 
-def stream_rage_clicks(clicks, delay=DELAY):
-    """Rage clicks, each given out once the watermark has passed it.
+CLICK = "ts_ms long, seq long, client_x int, client_y int, section string"
+HELD = [field.split()[0] for field in CLICK.split(", ")]
+NO_CLICK = (0, 0, -RAGE_MS, False, False)
+FOUND = ["session_id", "ts_ms", "section"]
 
-    A visit's clicks wait in its state until no earlier one can come any more and are
-    then decided in time order, so clicks may arrive in any order within ``delay``.
-    Takes a stream of ``session_id, seq, ts_ms, client_x, client_y, section``.
+
+class RageWatch(StatefulProcessor):
+    """Per visit: the clicks that the watermark has not passed, as a list, and the last decided click.
+
+    The visit's one timer stands just behind its earliest waiting click, so clicks are decided in time
+    order as soon as none before them can come. Once none waits, the timer closes the visit when
+    nothing can continue its last run any more.
     """
-    def watch(key, frames, state):
-        last, held = (0, 0, -RAGE_MS, False, False), None
-        if state.exists:
-            *held, x, y, t, on1, on2 = state.get
-            last = (x, y, t, on1, on2)
-        waiting = [pd.DataFrame(dict(zip(HELD, map(list, held))))] if held and len(held[0]) else []
-        fresh = [frame[HELD] for frame in frames if len(frame)]
-        mark, found = state.getCurrentWatermarkMs(), []
-        rows = pd.concat(waiting + fresh).sort_values(["ts_ms", "seq"]) if waiting or fresh else None
-        if rows is not None:
-            ready = rows["ts_ms"].to_numpy() < mark
-            done, rows = rows[ready], rows[~ready]
-            if len(done):
-                third, last = _third_clicks(done, last)
-                found = [(key[0], int(r.ts_ms), r.section) for r in done[third].itertuples()]
-        if rows is None or not len(rows):
-            rows = None
-        if rows is None and last[2] + 3 * RAGE_MS < mark:
-            state.remove()      # nothing can continue from here
+
+    def init(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", CLICK)
+        self.last = handle.getValueState("last", "x int, y int, t long, on1 boolean, on2 boolean")
+
+    def _set_timer(self, moment):
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(moment))
+
+    def handleInputRows(self, key, rows, timerValues):
+        earliest = None
+        for frame in rows:
+            if len(frame):
+                self.waiting.appendList([
+                    (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section) for r in frame.itertuples()
+                ])
+                first = int(frame["ts_ms"].min())
+                earliest = first if earliest is None else min(first, earliest)
+        if earliest is not None and not any(t <= earliest + 1 for t in self.handle.listTimers()):
+            self._set_timer(earliest + 1)
+        yield pd.DataFrame([], columns=FOUND)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=HELD).sort_values(["ts_ms", "seq"])
+        last = tuple(self.last.get()) if self.last.exists() else NO_CLICK
+        ready = rows["ts_ms"].to_numpy() < mark
+        done, rows = rows[ready], rows[~ready]
+        found = []
+        if len(done):
+            third, last = _third_clicks(done, last)
+            found = [(key[0], int(r.ts_ms), r.section) for r in done[third].itertuples()]
+        self.waiting.clear()
+        if len(rows):
+            self.waiting.put([
+                (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section) for r in rows.itertuples()
+            ])
+        if not len(rows) and last[2] + 3 * RAGE_MS < mark:
+            self.last.clear()
         else:
-            columns = [rows[c].tolist() if rows is not None else [] for c in HELD]
-            state.update((*columns, *last))
-            _expire(state, last[2] + 3 * RAGE_MS if rows is None else int(rows["ts_ms"].min()))
-        yield pd.DataFrame(found, columns=["session_id", "ts_ms", "section"])
+            self.last.update(last)
+            self._set_timer(int(rows["ts_ms"].min()) + 1 if len(rows) else last[2] + 3 * RAGE_MS)
+        yield pd.DataFrame(found, columns=FOUND)
 
-    timed = clicks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
-    return timed.groupBy("session_id").applyInPandasWithState(
-        watch, "session_id string, ts_ms long, section string",
-        "ts_ms array<long>, seq array<long>, client_x array<int>, client_y array<int>, section array<string>, "
-        "x int, y int, t long, on1 boolean, on2 boolean",
-        "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    def close(self):
+        pass
 
 
-def stream_daily_kpis(batches, delay=DELAY):
-    """Visits per day with their outcomes, each day given out once it is complete.
+def stream_rage_clicks(clicks, delay=DELAY):
+    """Rage clicks, each given out once the watermark has passed it.
 
-    A visit is folded per day first, then days are counted; one that crosses
-    midnight counts on both days.
+    Clicks may arrive in any order within ``delay``; later ones are dropped. Takes a stream of
+    ``session_id, seq, ts_ms, client_x, client_y, section``. The state needs the RocksDB provider
+    (``run.keeping_lists``). One visit's waiting clicks are sorted in memory; ``delay`` bounds them.
     """
-    rows = ingest.snapshot_rows(batches).withColumn("at", F.col("received_ts").cast("timestamp"))
-    visits = (
-        rows.withWatermark("at", delay)
-        .groupBy(F.window("at", "1 day"), "session_id")
-        .agg(
-            F.max("max_q").alias("max_q"),
-            F.bool_or("reached_result").alias("reached_result"),
-            F.bool_or("reached_checkout").alias("reached_checkout"),
-        )
-    )
-    days = visits.groupBy(F.window("window", "1 day").alias("day")).agg(
-        F.count(F.lit(1)).cast("int").alias("sessoes"),
-        F.count_if(F.col("max_q") >= 10).cast("int").alias("terminaram"),
-        F.count_if("reached_result").cast("int").alias("ofertas"),
-        F.count_if("reached_checkout").cast("int").alias("checkouts"),
-    )
-    return days.select(
-        F.date_format("day.start", "yyyy-MM-dd").alias("dia"),
-        "sessoes", "terminaram", "ofertas", "checkouts",
+    timed = clicks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        RageWatch(), "session_id string, ts_ms long, section string", "append", "eventTime"
     )
 
 

@@ -1,7 +1,23 @@
 """Running a stream over what has arrived so far."""
 
+from contextlib import contextmanager
+
 from quizlens.session import work_folder
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keeping_lists(spark):
+    """Streams started inside keep their state in RocksDB, which lists and timers need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
 
 def drain(writer, checkpoint):
     """Start a stream on the data available now and wait until it is consumed."""

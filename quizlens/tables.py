@@ -5,7 +5,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as F
+
 from quizlens.operators import folds, ingest
+from quizlens.sources.store import KeyedStore
 
 
 @dataclass(frozen=True)
@@ -43,3 +46,29 @@ class Tables:
     @cached_property
     def sessions(self):
         return folds.stamp_purchases(self.visits, self.purchases)
+
+
+class Stored:
+    """Sessions and orders kept up to date below a folder, for panels that read only the days they show.
+
+    ``add`` takes new batches and notifications in any order and any number of times.
+    """
+
+    def __init__(self, spark, path):
+        self.session_store = KeyedStore(spark, f"{path}/sessions", folds.stamped_sessions(), "first_ts")
+        self.order_store = KeyedStore(spark, f"{path}/orders", folds.orders(), "created_at")
+
+    def add(self, batches: DataFrame, notifications: DataFrame):
+        """Returns the days on which visits and those on which orders may have changed."""
+        sessions, orders = self.session_store, self.order_store
+        return (
+            sessions.upsert(sessions.fold.lift(ingest.snapshot_rows(batches), folds.deciding(notifications))),
+            orders.upsert(orders.fold.lift(notifications)),
+        )
+
+    def sessions(self, **days):
+        """Visits with their purchase; ``start`` and ``end`` name the days to read, by default all."""
+        return self.session_store.read(**days).withColumn("purchased", F.coalesce("purchased", F.lit(False)))
+
+    def orders(self, **days):
+        return folds.finished_orders(self.order_store.read(**days))

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from quizlens.operators import folds, ingest
-from quizlens.sources import files, sample
+from quizlens.sources import sample
 
 T0 = dt.datetime(2024, 1, 1)
 NOTE = ("seq long, received_ts timestamp_ntz, order_id string, session_id string, status string, "
@@ -27,7 +27,8 @@ def one(df):
 def test_order_follows_the_last_status_and_keeps_the_first_payment(spark):
     rows = [note(1, "pendente", evento="a"), note(2, "pago", session="s1", cents=1490),
             note(3, "pago", session="s2"), note(4, "pendente")]
-    order = one(folds.order_fold(spark.createDataFrame(rows, NOTE)))
+    notes = spark.createDataFrame(rows + rows[2:], NOTE)      # redelivered notifications change nothing
+    order = one(folds.with_raw(folds.order_fold(notes), notes))
     assert (order.status, order.session_id, order.valor_cents, order.evento) == ("pendente", "s1", 1490, "a")
     assert (order.created_at, order.updated_at, order.paid_at) == (at(1), at(4), at(2))
     assert order.raw == "raw4" and order.moeda == "BRL"
@@ -70,30 +71,3 @@ def test_order_of_rows_and_replays_do_not_matter(spark, data):
     random.Random(7).shuffle(mixed)
     shuffled = spark.createDataFrame(mixed, schema).repartition(7)
     assert sorted(map(tuple, folds.order_fold(shuffled).collect()), key=repr) == expected
-
-
-def test_stored_deliveries_merge_and_retries_are_harmless(spark, data, tmp_path):
-    fold, messages = folds.sessions(), ingest.snapshot_rows(sample.batches(spark, data))
-    path, compacted = str(tmp_path / "states"), str(tmp_path / "compact")
-    for day in range(1, 31, 10):
-        part = messages.filter(f"day(received_ts) BETWEEN {day} AND {day + 9}")
-        files.append_states(fold, part, path, day)
-        files.append_states(fold, part, path, day)
-    expected = sorted(map(tuple, fold.fold(messages).collect()), key=repr)
-    assert sorted(map(tuple, files.read_folded(spark, fold, path).collect()), key=repr) == expected
-    files.compact_states(spark, fold, path, compacted)
-    assert sorted(map(tuple, files.read_folded(spark, fold, compacted).collect()), key=repr) == expected
-
-
-def test_a_fresh_stream_replaces_no_compacted_history(spark, data, tmp_path):
-    from quizlens.sources import sample
-    from quizlens.streaming import tables as streams
-
-    fold, path = folds.sessions(), str(tmp_path / "sessions")
-    visits = sample.tables(spark, data).visits
-    messages = sample.Live(data)
-    streams.stream_sessions(sample.batches(spark, messages), path, str(tmp_path / "first"))
-    files.compact_states(spark, fold, path, str(tmp_path / "merged"))
-    streams.stream_sessions(sample.batches(spark, messages), str(tmp_path / "merged"), str(tmp_path / "second"))
-    assert len(list((tmp_path / "merged").glob("delivery=*"))) > 1
-    assert files.read_folded(spark, fold, str(tmp_path / "merged")).count() == visits.count()

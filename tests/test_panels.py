@@ -105,19 +105,39 @@ def test_plans(spark, data):
     assert "WindowGroupLimit" in plan_of(QUERIES["journey_events"](spark, data))
 
 
-def test_stored_tables_are_pruned_by_day(spark, tables, tmp_path):
-    from quizlens.plans import overview, sales
-    from quizlens.sources import files
-
-    one_week = {"start": "2024-01-08", "end": "2024-01-14"}
-    for name, ts in (("visits", "first_ts"), ("orders", "created_at")):
-        files.write_keyed(getattr(tables, name), str(tmp_path / name), ts)
-    visits_, orders = (files.read_keyed(spark, str(tmp_path / n)) for n in ("visits", "orders"))
-    for plan, stored, table in (
-        (overview.overview_by_day, visits_, tables.visits), (overview.overview_by_device, visits_, tables.visits),
-        (overview.overview_by_source, visits_, tables.visits), (heatmap.scroll_curve, visits_, tables.visits),
-        (sales.sales_by_day, orders, tables.orders), (sales.orders_summary, orders, tables.orders),
+def test_panels_read_only_the_stored_days_of_their_period(spark, data, tables):
+    from quizlens.plans import overview, quiz, sales, visits
+
+    one_week, stored = {"start": "2024-01-08", "end": "2024-01-14"}, sample.stored(spark, data)
+    for plan, kind in (
+        (overview.overview_summary, "sessions"), (overview.overview_by_day, "sessions"), (overview.overview_by_device, "sessions"),
+        (overview.overview_by_source, "sessions"), (heatmap.scroll_curve, "sessions"), (quiz.quiz_dropoff, "sessions"),
+        (quiz.score_distribution, "sessions"), (quiz.band_distribution, "sessions"), (sales.checkout_summary, "sessions"),
+        (sales.sales_by_band, "sessions"), (sales.sales_by_source, "sessions"), (sales.rescue_list, "sessions"),
+        (visits.session_count, "sessions"), (visits.session_list, "sessions"), (funnel.offer_abandonment, "sessions"),
+        (sales.sales_by_day, "orders"), (sales.orders_summary, "orders"),
     ):
-        df = plan(stored, **one_week)
-        assert "PartitionFilters: [isnotnull(dt" in plan_of(df), plan.__name__
-        assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, plan(table, **one_week).collect()), key=repr)
+        df = plan(getattr(stored, kind)(), **one_week)
+        text = plan_of(df)
+        assert "PartitionFilters: [isnotnull(dt" in text and "SortMergeJoin" not in text, plan.__name__
+        assert rows_of(df) == rows_of(plan(getattr(tables, kind), **one_week)), plan.__name__
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_no_payload_passes_through_the_order_fold(spark, data, tables):
+    from quizlens.plans import sales
+
+    assert "eventType" not in plan_of(sales.sales_by_day(tables.orders, start="2024-01-05"))
+    assert "raw" not in sample.stored(spark, data).orders().columns
+
+
+def test_lists_are_whole_unless_a_limit_is_given(tables):
+    from quizlens.plans import log, sales
+
+    period = {"start": "2024-01-01"}
+    assert log.event_log(tables.events, **period).count() == tables.events.count() > 150
+    assert sales.order_list(tables.orders, tables.visits, **period).count() == tables.orders.count() > 100
+    assert log.event_log(tables.events, limit="20", **period).count() == 20

@@ -1,17 +1,22 @@
 """Streams over several micro-batches end where the batch operators do."""
 
+import datetime as dt
 import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quizlens.catalog import QUERIES
 from quizlens.operators import folds, interactions, quota
+from quizlens.plans import overview, sales
+from quizlens.schemas import SNAPSHOT_IN
 from quizlens.sources import files, sample
+from quizlens.sources.history import History
 from quizlens.streaming import live
 from quizlens.streaming import tables as streams
-from quizlens.streaming.run import collected
+from quizlens.streaming.run import collected, keeping_lists
 
 
 @pytest.fixture(scope="module")
@@ -44,17 +49,29 @@ def test_events(spark, data, split, tmp_path):
 def test_sessions(spark, data, split, tmp_path):
     batches = sample.batches(spark, split)
     streams.stream_sessions(batches, str(tmp_path / "states"), str(tmp_path / "checkpoint"))
-    assert len(list((tmp_path / "states").glob("delivery=*"))) > 1
-    same(files.read_folded(spark, folds.sessions(), str(tmp_path / "states")),
-         sample.tables(spark, data).visits)
+    history = History(spark, str(tmp_path / "states"), folds.sessions())
+    assert len(history.manifest()["runs"]) > 1
+    same(history.read(), sample.tables(spark, data).visits)
 
 
 def test_orders_and_purchases(spark, data, split, tmp_path):
     notes = sample.normalized(sample.flat_notifications(spark, split))
-    o, p = str(tmp_path / "o"), str(tmp_path / "p")
-    streams.stream_orders(notes, o, p, str(tmp_path / "checkpoint"))
-    same(files.read_folded(spark, folds.orders(), o), sample.tables(spark, data).orders.drop("moeda"))
-    same(files.read_folded(spark, folds.purchases(), p), sample.tables(spark, data).purchases)
+    o, p, raws = (str(tmp_path / name) for name in ("o", "p", "raws"))
+    streams.stream_orders(notes, o, p, str(tmp_path / "checkpoint"), raws)
+    tables = sample.tables(spark, data)
+    orders = folds.finished_orders(History(spark, o, folds.orders()).read())
+    same(orders, tables.orders)
+    same(folds.with_raw(orders, spark.read.parquet(raws)), folds.with_raw(tables.orders, tables.notifications))
+    same(History(spark, p, folds.purchases()).read(), tables.purchases)
+
+
+def test_a_fresh_stream_replaces_no_compacted_history(spark, data, tmp_path):
+    path, visits = str(tmp_path / "sessions"), sample.tables(spark, data).visits
+    for name in ("first", "second"):
+        streams.stream_sessions(sample.batches(spark, sample.Live(data)), path, str(tmp_path / name))
+    history = History(spark, path, folds.sessions())
+    assert len(history.manifest()["last"]) == 2
+    same(history.read(), visits)
 
 
 def test_rate_admission(spark, data, split):
@@ -84,7 +101,8 @@ def test_rage_clicks_in_any_order_of_arrival(spark, tmp_path):
         (folder / f"{i}.parquet").write_bytes(source.read_bytes())
         os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    got = collected(spark, live.stream_rage_clicks(stream), "rage")
+    with keeping_lists(spark):
+        got = collected(spark, live.stream_rage_clicks(stream), "rage")
     expected = interactions.rage_clicks(spark.createDataFrame(rows, schema))
     assert expected.count() > 5
     same(got, expected)
@@ -97,12 +115,67 @@ def test_a_late_call_keeps_the_gate_in_order():
     assert gate.verdicts(np.array([100]))[0].all() and list(gate.admitted) == [20, 50, 100]
 
 
-def test_daily_kpis_close_complete_days(spark, data, split):
-    days = collected(spark, live.stream_daily_kpis(sample.batches(spark, split)), "daily").collect()
-    from quizlens.plans.overview import overview_by_day
+def test_rage_clicks_of_shuffled_files(spark, data, tmp_path):
+    """The registered query over four files of mixed times finds every click of the batch operator."""
+    rows = spark.read.parquet(f"{data}/events.parquet")
+    for i in range(4):
+        part = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1)
+        part.write.parquet(str(tmp_path / f"tmp{i}"))
+        (source,) = (tmp_path / f"tmp{i}").glob("*.parquet")
+        (tmp_path / f"events-{i}.parquet").write_bytes(source.read_bytes())
+    rows.write.parquet(str(tmp_path / "like" / "events.parquet"))
+
+    class Folder(str):
+        """Reads as streams the four files, and as a table the whole."""
+
+    original = sample.table
+
+    def table(session, folder, name):
+        if isinstance(folder, sample.Live):
+            return original(session, sample.Live(str(tmp_path), like=data), name)
+        return original(session, data, name)
+
+    sample.table = table
+    try:
+        got = QUERIES["stream_rage_clicks"](spark, Folder(data))
+    finally:
+        sample.table = original
+    expected = QUERIES["rage_clicks"](spark, data)
+    assert expected.count() > 20
+    same(got, expected)
 
-    every = overview_by_day(sample.tables(spark, data).visits, start="2024-01-01").collect()
-    assert sorted(map(tuple, days)) == [tuple(r) for r in every][:-1]
+
+def test_daily_numbers_follow_late_messages(spark, data, split, tmp_path):
+    notes = sample.normalized(sample.flat_notifications(spark, split))
+    days = streams.stream_daily_kpis(sample.batches(spark, split), notes, str(tmp_path / "t"), str(tmp_path / "c"))
+    tables, got = sample.tables(spark, data), days.read("10 minutes")
+    visits = {r["dia"]: tuple(r) for r in overview.overview_by_day(tables.visits, start="2024-01-01").collect()}
+    paid = {r["dia"]: tuple(r) for r in sales.sales_by_day(tables.orders, start="2024-01-01").collect()}
+    assert {r["dia"] for r in got.collect()} == set(visits) | set(paid)
+    for r in got.collect():
+        assert tuple(r)[:5] == visits.get(r["dia"], (r["dia"], 0, 0, 0, 0))
+        assert (r["pagos"], r["receita_cents"]) == paid.get(r["dia"], (r["dia"], 0, 0))[1:]
+    assert [r["dia"] for r in got.where("provisorio").collect()] == [max(r["dia"] for r in got.collect())]
+
+
+def test_a_visit_across_midnight_counts_once(spark, tmp_path):
+    schema = "batch_seq long, received_ts timestamp_ntz, sessionId string, device string, country string, " \
+             f"events array<struct<name:string>>, session {SNAPSHOT_IN.simpleString()}"
+    moments = [(2, "2024-01-02 00:10:00", 4), (1, "2024-01-01 23:55:00", 3), (3, "2024-01-02 00:20:00", 10)]
+    snapshot = {f.name: None for f in SNAPSHOT_IN.fields}
+    note = "seq long, received_ts timestamp_ntz, order_id string, session_id string, status string, evento string, " \
+           "valor_cents int, metodo string, produto string, cliente_nome string, cliente_email string, cliente_fone string, " \
+           "utm_source string, utm_campaign string, raw string"
+    spark.createDataFrame([], note).write.parquet(str(tmp_path / "notes"))
+    got = []
+    for seq, ts, peak in moments:
+        row = (seq, dt.datetime.fromisoformat(ts), "visit-0001", "mobile", None, [], {**snapshot, "maxQ": peak})
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        batches = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        notes = spark.readStream.schema(note).parquet(str(tmp_path / "notes"))
+        days = streams.stream_daily_kpis(batches, notes, str(tmp_path / "t"), str(tmp_path / "c"))
+        got.append([tuple(r)[:3] for r in days.read("10 minutes").collect()])
+    assert got == [[("2024-01-02", 1, 0)], [("2024-01-01", 1, 0)], [("2024-01-01", 1, 1)]]
 
 
 def test_once_only_sections(spark, data, split):
