@@ -132,6 +132,19 @@ def by_batch(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(run, target)
 
 
+def sent(spark, thing):
+    """A broadcast of ``thing`` that workers can open without a copy of this package (``opened``)."""
+    from pyspark.cloudpickle import dumps
+
+    return spark.sparkContext.broadcast(dumps(thing))
+
+
+def opened(shared):
+    import pickle
+
+    return pickle.loads(shared.value)
+
+
 def in_process(kind, key, make):
     """``make()``, kept in this Python worker for later tasks that ask for the same ``kind`` and ``key``.
 

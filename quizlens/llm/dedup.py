@@ -269,11 +269,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, with all columns; rows that repeat a ``doc_id`` are one."""
-    judged = near_duplicates(documents)
-    gone = few_enough(cut_lineage(judged.where("not kept").select("doc_id").distinct()))
-    kept = documents.join(gone, "doc_id", "left_anti")
+    """One row of each group of near duplicates, with all columns.
+
+    Rows that repeat a ``doc_id`` are told apart by their texts: equal ones are one, different ones are
+    compared like other documents, so none is lost but to a row that is like it. Rows with a null
+    ``doc_id``, and without words, all stay. Of repeated rows any one stays.
+    """
     counts = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    twice = few_enough(cut_lineage(counts.where("_n > 1").select("doc_id")))
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
+    twice = cut_lineage(counts.where("_n > 1").select("doc_id"))
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    rows = documents.select(row, "doc_id", "text")
+    if twice.isEmpty():
+        rows = rows.withColumn("_own", F.lit(False))
+    else:
+        # below zero, where no id is that was given out
+        text_id = -F.abs(F.xxhash64("doc_id", "text") % F.lit(2**62)) - 1
+        rows = rows.join(few_enough(twice.withColumn("_twice", F.lit(True))), "doc_id", "left")
+        rows = rows.withColumn("_own", F.coalesce("_twice", F.lit(False))).drop("_twice")
+        rows = rows.withColumn("doc_id", F.when(F.col("_own"), text_id).otherwise(F.col("doc_id")))
+    judged = near_duplicates(rows.select("doc_id", "text"))
+    gone = few_enough(cut_lineage(judged.where("not kept").select("doc_id").distinct()))
+    kept = rows.join(gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    once = kept.where("_own").dropDuplicates(["doc_id"])
+    return kept.where("not _own").unionByName(once).select("_row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, sliced, texts_of
+from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, opened, sent, sliced, texts_of
 
 RUN = 48            # letters; longer words are scored in runs of this many
 SCALE = 30.0        # per letter, the same for all languages; keeps products of many factors away from zero
@@ -194,14 +194,18 @@ def _exploded(languages, texts):
     return {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
 
 
-def scorer(shared):
+def scorer(shared, key):
     """The work of a task: gives the function that judges a list of texts, as (language, score) pairs."""
-    learned = shared.value
-    languages, weights = learned.languages, learned.weights
-    kept = in_process("langid", learned.key, lambda: {
-        "lattice": Lattice(learned.pieces), "memo": Numbering(), "table": np.zeros((0, len(languages)))
-    })
+    def looked_up():
+        learned = opened(shared)
+        return {
+            "learned": learned, "lattice": Lattice(learned.pieces), "memo": Numbering(),
+            "table": np.zeros((0, len(learned.languages))),
+        }
+
+    kept = in_process("langid", key, looked_up)
     lattice, memo = kept["lattice"], kept["memo"]
+    languages, weights = kept["learned"].languages, kept["learned"].weights
 
     def sums(texts):
         table = kept["table"]
@@ -237,10 +241,10 @@ def scorer(shared):
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row; one map stage over whole texts."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages numbers
+    shared, key = sent(documents.sparkSession, model), model.key     # vocabulary x languages numbers
 
     def work():
-        judge = scorer(shared)
+        judge = scorer(shared, key)
 
         def step(rows):
             found = judge(rows["text"])
@@ -253,11 +257,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 def keep(documents: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more, with their columns as they are."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, key = sent(documents.sparkSession, model), model.key
     at = documents.columns.index("text")
 
     def run(batches):
-        judge = scorer(shared)
+        judge = scorer(shared, key)
         for batch in sliced(batches):
             mask = [language != "und" and score >= least for language, score in judge(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import by_batch, in_process
+from quizlens.llm.common import by_batch, in_process, opened, sent
 
 MARK = "▁"
 KEEP = 300_000      # encoded segments that a worker remembers, at least; twice as many at most
@@ -231,10 +231,10 @@ class Encoder(dict):
 
 def encode(documents: DataFrame, model_path: str, end=True) -> DataFrame:
     """``doc_id, ids`` (array of int) for each row of ``doc_id`` and ``text``."""
-    shared = documents.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    shared = sent(documents.sparkSession, Pieces(model_path))
 
     def work():
-        encoder = in_process("pieces", model_path, lambda: Encoder(shared.value.ready()))
+        encoder = in_process("pieces", model_path, lambda: Encoder(opened(shared).ready()))
         tail = np.array([encoder.pieces.end], "<i4").tobytes() if end else b""
 
         def step(rows):
@@ -253,10 +253,10 @@ def encode(documents: DataFrame, model_path: str, end=True) -> DataFrame:
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` rows as ``doc_id, ids, decoded``; special ids have no text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    shared = sent(encoded.sparkSession, Pieces(model_path))
 
     def work():
-        pieces = shared.value
+        pieces = opened(shared)
         return lambda rows: {**rows, "decoded": [pieces.decode(ids or ()) for ids in rows["ids"]]}
 
     return by_batch(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, decoded string")
@@ -264,10 +264,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids, decoded``: both steps in one pass over the texts."""
-    shared = documents.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    shared = sent(documents.sparkSession, Pieces(model_path))
 
     def work():
-        encoder = in_process("pieces", model_path, lambda: Encoder(shared.value.ready()))
+        encoder = in_process("pieces", model_path, lambda: Encoder(opened(shared).ready()))
         pieces = encoder.pieces
         tail = np.array([pieces.end], "<i4")
 

@@ -113,6 +113,12 @@ def _by_number(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write(documents: DataFrame, path: str, limit: int, key="doc_id"):
-    """Write the rows as one folder of files per shard below ``path``."""
-    placed = assign(documents, limit, key, whole=True).select("_row.*", "shard")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows as one folder of files per shard below ``path``.
+
+    The folders are named ``shard=...``, with marks in front as long as the rows have such a column.
+    """
+    name = "shard"
+    while name in documents.columns:
+        name = "_" + name
+    placed = assign(documents, limit, key, whole=True).select("_row.*", F.col("shard").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)

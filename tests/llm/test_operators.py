@@ -96,6 +96,14 @@ def test_written_shards_hold_null_and_repeated_ids(frame, tmp_path, spark):
     assert all(sum(v) <= 2000 or len(v) == 1 for v in held.values())
 
 
+def test_written_shards_keep_a_column_named_shard(frame, tmp_path, spark):
+    docs = frame([(i, f"text {i} " * 20) for i in range(40)])
+    sharding.write(docs, f"{tmp_path}/shards", 2000)
+    stored = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(stored.select(docs.columns).collect(), key=repr) == sorted(docs.collect(), key=repr)
+    assert len(list((tmp_path / "shards").glob("_shard=*"))) > 1
+
+
 # 3 near duplicates
 
 def plain_components(rows):
@@ -153,7 +161,17 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     kept = dedup.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert Counter(ids) == Counter({i for i, _ in ODD} - {8})
+    # both texts of id 11 stay
+    assert Counter(ids) == Counter({i for i, _ in ODD} - {8}) + Counter([11])
+
+
+def test_texts_of_one_id_are_told_apart(frame):
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join([*base[:-1], "x"]), " ".join(f"v{k}" for k in range(60))
+    docs = frame([(1, " ".join(base)), (2, near), (3, far), (3, near), (3, far), (4, far + " more"), (5, "short text")])
+    kept = [(r["doc_id"], r["text"]) for r in dedup.keep_one(docs).collect()]
+    assert len(kept) == 3 and (5, "short text") in kept
+    assert sum(t in (near, " ".join(base)) for _, t in kept) == 1 and sum(t.startswith(far) for _, t in kept) == 1
 
 
 def test_components_of_a_path(spark):
