@@ -269,27 +269,56 @@ add("evolve_schema", SESSIONS, """
 SELECT session_id, purchased AND day(first_ts) >= 10 AS purchased,
   CASE WHEN day(first_ts) >= 10 THEN purchase_cents END AS purchase_cents,
   CASE WHEN day(first_ts) >= 10 THEN purchase_ts END AS purchase_ts FROM s""")
+# the columns of each result set of the screens, by name, and the query that has it
 SCREEN_SETS = {
-    "overview": {"porDia": "overview_by_day", "porDispositivo": "overview_by_device", "porOrigem": "overview_by_source"},
-    "funnel": {"passos": "funnel_steps", "secoes": "section_reach", "abandono": "offer_abandonment",
-               "ctas": "cta_ranking", "captura": "capture_outcome"},
-    "heatmap": {"celulas": "heat_grid", "elementos": "element_ranking", "mortos": "dead_clicks",
-                "porSecao": "clicks_by_section", "rolagem": "scroll_curve"},
-    "quiz": {"perguntas": "question_accuracy", "abandono": "quiz_dropoff", "notas": "score_distribution",
-             "faixas": "band_distribution"},
-    "sales": {"porDia": "sales_by_day", "pedidos": "order_list", "abandonos": "rescue_list",
-              "porFaixa": "sales_by_band", "porOrigem": "sales_by_source"},
-    "events": {"porTipo": "events_by_type"},
+    ("overview", "resumo"): ("overview_summary", "checkouts com_cta comecaram compras contatos nota_media receita_cents "
+                             "saiu_na_cara scroll_oferta sessoes tempo_mediano tempo_medio terminaram viram_oferta"),
+    ("overview", "porDia"): ("overview_by_day", "checkouts dia ofertas sessoes terminaram"),
+    ("overview", "porDispositivo"): ("overview_by_device", "checkouts device sessoes tempo_medio terminaram"),
+    ("overview", "porOrigem"): ("overview_by_source", "campanha checkouts origem sessoes terminaram"),
+    ("funnel", "passos"): ("funnel_steps", "key label pct_do_anterior pct_do_topo perdeu sessoes step"),
+    ("funnel", "secoes"): ("section_reach", "section sessoes"),
+    ("funnel", "abandono"): ("offer_abandonment", "section sessoes"),
+    ("funnel", "ctas"): ("cta_ranking", "cliques label section sessoes"),
+    ("funnel", "captura"): ("capture_outcome", "event_name sessoes"),
+    ("heatmap", "celulas"): ("heat_grid", "gx gy n n_cta n_mortos"),
+    ("heatmap", "grade"): ("heat_totals", "pico total"),
+    ("heatmap", "elementos"): ("element_ranking", "cliques is_cta label section sessoes"),
+    ("heatmap", "mortos"): ("dead_clicks", "cliques label section sessoes"),
+    ("heatmap", "porSecao"): ("clicks_by_section", "cliques cta mortos section sessoes"),
+    ("heatmap", "rolagem"): ("scroll_curve", "ate pct sessoes"),
+    ("quiz", "perguntas"): ("question_accuracy", "acertos erros respostas section"),
+    ("quiz", "abandono"): ("quiz_dropoff", "max_q sessoes"),
+    ("quiz", "notas"): ("score_distribution", "checkouts ctas score sessoes"),
+    ("quiz", "faixas"): ("band_distribution", "band checkouts ctas scroll_medio sessoes"),
+    ("sales", "resumo"): ("orders_summary", "abandonados estornos pagos pagos_sem_vinculo pedidos pendentes receita_cents "
+                          "recusados ticket_cents"),
+    ("sales", "checkout"): ("checkout_summary", "abandonaram checkouts compraram"),
+    ("sales", "porDia"): ("sales_by_day", "dia pagos receita_cents"),
+    ("sales", "pedidos"): ("order_list", "band campanha cliente_email cliente_fone cliente_nome created_at device "
+                           "duration_sec evento max_scroll metodo order_id origem paid_at produto score session_id status "
+                           "utm_campaign utm_source valor_cents"),
+    ("sales", "abandonos"): ("rescue_list", "band contact cta_clicks device duration_sec first_ts max_scroll score "
+                             "session_id utm_campaign utm_source"),
+    ("sales", "porFaixa"): ("sales_by_band", "band checkouts compras receita_cents sessoes"),
+    ("sales", "porOrigem"): ("sales_by_source", "compras origem receita_cents sessoes"),
+    ("sessions", "total"): ("all_sessions", "n"),
+    ("sessions", "sessoes"): ("first_sessions", "band contact country cta_clicks device duration_sec first_ts last_section "
+                              "max_q max_scroll purchase_cents purchased reached_checkout reached_result referrer score "
+                              "session_id utm_campaign utm_source"),
+    ("events", "porTipo"): ("events_by_type", "event_name n sessoes ultimo"),
+    ("events", "total"): ("all_events", "n"),
+    ("events", "eventos"): ("first_events", "device event_name id label section session_id step_index ts"),
 }
-ONE_ROW = [("overview", "resumo"), ("heatmap", "grade"), ("sales", "resumo"), ("sales", "checkout"),
-           ("sessions", "total"), ("events", "total")]
 
 
 def bundle():
-    parts = [f"SELECT '{t}' AS tela, '{b}' AS bloco, cast(1 AS INTEGER) AS linhas" for t, b in ONE_ROW]
-    parts += [f"SELECT '{t}', '{b}', {n()} FROM ({ORACLE_SQL[q]})" for t, sets in SCREEN_SETS.items() for b, q in sets.items()]
-    return " UNION ALL ".join(parts) + f""" UNION ALL SELECT 'sessions', 'sessoes', least(60, {n()})::INTEGER
-FROM ({SESSIONS_OF_PERIOD}) UNION ALL SELECT 'events', 'eventos', least(150, {n()})::INTEGER FROM ({EVENTS_OF_PERIOD})"""
+    parts = []
+    for (screen, name), (query, columns) in SCREEN_SETS.items():
+        row = ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in columns.split())
+        parts.append(f"""SELECT '{screen}' AS tela, '{name}' AS bloco, {n()} AS linhas,
+  coalesce(sum(('0x' || substr(md5(concat_ws('|', {row})), 1, 8))::BIGINT), 0)::BIGINT AS conteudo FROM ({ORACLE_SQL[query]})""")
+    return " UNION ALL ".join(parts)
 
 
 ORACLE_SQL["period_filter"] = f"""
@@ -314,7 +343,7 @@ runs AS (SELECT *, sum(CASE WHEN abs(client_x - lx) < 30 AND abs(client_y - ly)
     AND ts_ms - lt < 1000 THEN 0 ELSE 1 END)
   OVER (PARTITION BY session_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
 places AS (SELECT *, row_number() OVER (PARTITION BY session_id, run ORDER BY ts_ms, seq) AS place FROM runs)
-""", "SELECT session_id, ts_ms, section FROM places WHERE place = 3")
+""", "SELECT session_id, ts_ms, section, concat('b', seq) AS label FROM places WHERE place = 3")
 add("section_as_of", f"""{PX},
 seen AS (SELECT {GROUP20} AS session_id, event_id AS seq, {TS_MS} AS ts_ms,
   {case('k % 4', BLOCKS)} AS seen FROM keyed WHERE k % 5 = 0),
@@ -350,6 +379,9 @@ UNION ALL SELECT session_id, seq, 'checkout_click', CASE WHEN on_result THEN sec
   FROM px WHERE is_checkout
 UNION ALL SELECT session_id, seq, 'faq_open', section, concat('b', seq)
   FROM px WHERE on_result AND NOT is_checkout AND tag = 'SUMMARY'""")
+add("page_clicks", PX, """
+SELECT session_id, seq, section, concat('b', seq) AS label, is_checkout AS is_cta, NOT actionable AS dead
+FROM px WHERE on_result""")
 add("active_time", f"""{KEYED},
 spans AS (SELECT cast(user_id AS VARCHAR) AS session_id,
   CASE WHEN k % 3 <> 0 THEN epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))
@@ -456,7 +488,10 @@ add("stream_click_ingest", CLICKS, "SELECT * FROM cl")
 ORACLE_SQL["quarantine_batches"] = """
 SELECT event_id AS batch_seq, CASE WHEN event_id % 50 <> 3 AND event_id % 40 <> 7 THEN 'aceito'
   ELSE 'recusado' END AS destino, event_id % 50 = 3 AS quebrado FROM events"""
-add("read_notifications", NOTES, "SELECT seq, order_id, session_id, status, valor_cents FROM notes")
+add("read_notifications", NOTES, """
+SELECT seq, received_ts, order_id, session_id, status, evento, valor_cents, metodo, cast(NULL AS VARCHAR) AS produto,
+  cast(NULL AS VARCHAR) AS cliente_nome, cliente_email, cast(NULL AS VARCHAR) AS cliente_fone,
+  cast(NULL AS VARCHAR) AS utm_source, cast(NULL AS VARCHAR) AS utm_campaign, raw FROM notes""")
 add("event_log_store", EVENTS, f"SELECT * {E}")
 add("stream_ingest", EVENTS, "SELECT * FROM ev")
 add("stream_sessions", VISITS, "SELECT * FROM v")
@@ -506,9 +541,9 @@ TEXT = f"""{KEYED}, t AS (SELECT event_id AS seq, CASE k % 11 WHEN 0 THEN '7' WH
   WHEN 7 THEN '0' WHEN 9 THEN '1d' WHEN 10 THEN '0x10' END AS text FROM keyed),
 num AS (SELECT seq, text, CASE text WHEN '' THEN 0.0::DOUBLE WHEN 'true' THEN 1.0::DOUBLE
   WHEN 'false' THEN 0.0::DOUBLE WHEN '0x10' THEN 16.0::DOUBLE ELSE TRY_CAST(trim(text) AS DOUBLE) END AS n FROM t)"""
-add("valid_session_id", f"""{KEYED}, ids AS (SELECT event_id AS seq, substring(CASE k % 5
+add("valid_session_id", f"""{KEYED}, ids AS (SELECT event_id AS seq, CASE k % 5
   WHEN 0 THEN repeat('a', k) WHEN 1 THEN concat('visit_', user_id, '-', k) WHEN 2 THEN concat('visita ', user_id)
-  WHEN 3 THEN concat('abcdefgh', chr(10)) ELSE cast(user_id AS VARCHAR) END, 1, 40) AS session_id FROM keyed)""",
+  WHEN 3 THEN concat('abcdefgh', chr(10)) ELSE cast(user_id AS VARCHAR) END AS session_id FROM keyed)""",
     "SELECT * FROM ids WHERE regexp_matches(session_id, '^[a-zA-Z0-9_-]{8,40}\\z')")
 add("event_whitelist", f"{KEYED}, {FLAT}", f"""
 SELECT event_name, {n()} AS recebidos, {n("event_name <> 'not_allowed'")} AS aceitos FROM flat GROUP BY 1""")
@@ -526,8 +561,13 @@ SELECT id, device, section FROM cl WHERE device = 'mobile' AND section = 'preco'
 add("event_log_filter", EVENTS, "SELECT id, event_name FROM ev WHERE event_name = 'quiz_answer'")
 add("to_number", TEXT, """
 SELECT seq, n AS numero, CASE WHEN n = floor(n) THEN cast(n AS INTEGER) END AS inteiro FROM num""")
-add("truthy", TEXT, """
-SELECT seq, CASE WHEN text IS NULL THEN false WHEN n IS NULL THEN true ELSE n <> 0 END AS ligado FROM num""")
+SENT = ", ".join(f"'{t}'" for t in ('"0"', '"false"', '0', 'false', 'null', '""', '"x"', '" "', '1.5', 'true', '{}', '[]',
+                                    '0.0', '-1'))
+add("truthy", f"""{KEYED},
+sent AS (SELECT event_id AS seq, list_extract([{SENT}], k % 16 + 1) AS flag FROM keyed),
+meant AS (SELECT seq, CASE WHEN flag IS NULL OR flag IN ('null', 'false') THEN false
+    WHEN flag[1] = '"' THEN flag <> '""' WHEN flag[1] IN ('{{', '[') OR flag = 'true' THEN true
+    ELSE flag::DOUBLE <> 0 END AS ligado FROM sent)""", "SELECT seq, ligado, ligado AS morto FROM meant")
 add("clamp01", KEYED, """
 SELECT event_id AS seq, CASE WHEN k % 4 <> 0 THEN least(1, greatest(0, value / 100 - 1)) END AS x FROM keyed""")
 add("clamp_peaks", f"{KEYED}, r AS (SELECT event_id AS seq, CASE WHEN k % 4 <> 0 THEN (k - 20) * 25 END AS n "
@@ -556,10 +596,13 @@ SELECT id, cast(least(59, floor(x_pct * 60)) AS INTEGER) AS gx,
 add("natural_question_order", EVENTS, """
 SELECT section, TRY_CAST(nullif(regexp_replace(section, '[^0-9]', '', 'g'), '') AS INTEGER) AS numero
 FROM ev WHERE section IS NOT NULL GROUP BY 1""")
-add("one_visit", SESSIONS, f"SELECT session_id {S}")
-add("one_event", EVENTS, f"SELECT id {E}")
-SESSIONS_OF_PERIOD, EVENTS_OF_PERIOD = ORACLE_SQL.pop("one_visit"), ORACLE_SQL.pop("one_event")
+add("all_sessions", SESSIONS, f"SELECT {n()} AS n {S}")
+add("first_sessions", SESSIONS, f"SELECT * {S} ORDER BY first_ts DESC, session_id LIMIT 60")
+add("all_events", EVENTS, f"SELECT {n()} AS n {E}")
+add("first_events", EVENTS, f"SELECT * {E} ORDER BY ts DESC, id DESC LIMIT 150")
 ORACLE_SQL["panel_bundle"] = bundle()
+for helper in ("all_sessions", "first_sessions", "all_events", "first_events"):
+    ORACLE_SQL.pop(helper)
 add("session_store", SESSIONS, f"""
 SELECT strftime(first_ts, '%Y-%m-%d') AS dia, device, {n()} AS sessoes, {n('purchased')} AS compras,
   cast(sum(purchase_cents) AS BIGINT) AS receita_cents {S} GROUP BY 1, 2""")

@@ -244,8 +244,9 @@ def evolve_schema(spark, folder):
 
 @query
 def panel_bundle(spark, folder):
-    """Rows of every result set of the seven screens."""
-    return bundle.result_sizes(sample.tables(spark, folder), tops=TOP, **PERIOD)
+    """Rows and contents of every result set of the seven screens."""
+    limits = {screen: default for screen, (_, _, default) in LIST_LIMITS.items()}
+    return bundle.result_contents(sample.shown(spark, folder), tops=TOP, limits=limits, **PERIOD)
 
 
 @query
@@ -280,9 +281,13 @@ def period_filter_query(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def _labelled_clicks(spark, folder):
+    return sample.clicks_px(spark, folder).withColumn("label", F.concat(F.lit("b"), "seq"))
+
+
 @query
 def rage_clicks(spark, folder):
-    return interactions.rage_clicks(sample.clicks_px(spark, folder))
+    return interactions.rage_clicks(_labelled_clicks(spark, folder))
 
 
 @query
@@ -309,8 +314,12 @@ def quiz_step_events(spark, folder):
 
 @query
 def click_events(spark, folder):
-    clicks = sample.clicks_px(spark, folder).withColumn("label", F.concat(F.lit("b"), "seq"))
-    return interactions.click_events(clicks)
+    return interactions.click_events(_labelled_clicks(spark, folder))
+
+
+@query
+def page_clicks(spark, folder):
+    return interactions.page_clicks(_labelled_clicks(spark, folder))
 
 
 @query
@@ -512,7 +521,7 @@ def read_notifications(spark, folder):
     path = work_folder(spark, "notifications")
     sample.raw_notifications(spark, folder).write.json(path)
     messages = payload.extract(files.read_notifications(spark, path))
-    return messages.select("seq", "order_id", "session_id", "status", "valor_cents")
+    return messages.withColumn("received_ts", F.col("received_ts").cast("timestamp_ntz"))
 
 
 @query
@@ -594,10 +603,10 @@ def stream_rage_clicks(spark, folder):
     visit, day = 10_000, 86_400_000     # a visit of the sample is over in less
     start = F.col("session_id").cast("long") * visit + day
     needed = ["session_id", *live.HELD]
-    clicks = sample.clicks_px(spark, sample.Live(folder)).withColumn("ts_ms", F.col("ts_ms") + start).select(needed)
+    clicks = _labelled_clicks(spark, sample.Live(folder)).withColumn("ts_ms", F.col("ts_ms") + start).select(needed)
     last = sample.clicks_px(spark, folder).agg(F.coalesce(F.max(F.col("ts_ms") + start), F.lit(day))).first()[0]
     path = work_folder(spark, "stream-rage")
-    closing = spark.createDataFrame([("", 2 * last + visit, 0, 0, 0, None)], clicks.schema).coalesce(1)
+    closing = spark.createDataFrame([("", 2 * last + visit, 0, 0, 0, None, None)], clicks.schema).coalesce(1)
     closing.limit(0).write.parquet(f"{path}/closing")
     every = clicks.unionByName(spark.readStream.schema(clicks.schema).parquet(f"{path}/closing"))
     with keeping_lists(spark):
@@ -705,11 +714,22 @@ def to_number(spark, folder):
     )
 
 
+# a flag as JSON text by k % 16; none at all for the last two
+SENT_FLAGS = ['"0"', '"false"', "0", "false", "null", '""', '"x"', '" "', "1.5", "true", "{}", "[]", "0.0", "-1"]
+
+
 @query
 def truthy(spark, folder):
-    return _keyed(spark, folder, f"{LOOSE_TEXT} AS text").select(
-        "seq", v.to_flag(F.col("text")).alias("ligado")
+    """A flag of every kind, read from request bodies: once in the snapshot, once in a click."""
+    flag = "element_at(array(%s), k %% 16 + 1)" % ", ".join([f"'{text}'" for text in SENT_FLAGS] + ["NULL", "NULL"])
+    member = lambda name: f"coalesce(concat('\"{name}\":', {flag}), '')"
+    bodies = _keyed(
+        spark, folder,
+        f"""concat('{{"sessionId":"session-1","session":{{', {member("contact")}, '}},"clicks":[{{"x":0,"y":0', """
+        f"""coalesce(concat(',"dead":', {flag}), ''), '}}]}}') AS body""",
     )
+    read = ingest.parse_batches(bodies)
+    return read.select("seq", F.col("session.contact").alias("ligado"), F.col("clicks")[0]["dead"].alias("morto"))
 
 
 @query

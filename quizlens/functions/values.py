@@ -52,6 +52,19 @@ def to_flag(text):
     return F.coalesce(_number(text) != 0, text.isNotNull())
 
 
+def truthy(value):
+    """Truthiness of a flag as it was sent, a VARIANT: of a text, that it is not empty (``"0"`` and ``"false"`` are
+    true); of a number, that it is not zero; an object or a list is true; null and nothing are false."""
+    kind, taken = F.schema_of_variant(value), lambda type_: F.try_variant_get(value, "$", type_)
+    return F.coalesce(
+        F.when(kind == "STRING", taken("string") != "")
+        .when(kind == "BOOLEAN", taken("boolean"))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), taken("double") != 0)
+        .otherwise(kind != "VOID"),
+        F.lit(False),
+    )
+
+
 def or_zero(text, number):
     """``number``, read from ``text``, with 0 for text that is no number at all; NULL for no text."""
     return F.when(text.isNotNull() & to_number(text).isNull(), F.lit(0)).otherwise(number)

@@ -24,21 +24,29 @@ def parse_batches(lines: DataFrame, body="body") -> DataFrame:
     """Parse JSON bodies into typed batches; an unreadable body gives NULL fields and stays beside them.
 
     Scalars are read as text first and coerced by our own rules, so ``"7"`` and
-    ``7`` mean the same.
+    ``7`` mean the same. Flags go by the kind of value that was sent (``values.truthy``); a body that
+    only the text reader can take, such as one with a member twice, has its flags read from text.
     """
-    parsed = lines.withColumn("_b", F.from_json(body, schemas.as_text(schemas.BATCH)))
+    parsed = lines.withColumn("_b", F.from_json(body, schemas.as_text(schemas.BATCH))).withColumn(
+        "_v", F.try_parse_json(body)
+    )
+    sent = lambda value, name: F.try_variant_get(value, f"$.{name}", "variant")
+    flag = lambda text, value, name: F.when(value.isNotNull(), v.truthy(sent(value, name))).otherwise(v.to_flag(text))
     event = lambda e: F.struct(*[e[n].alias(n) for n in ("name", "section", "label")])
-    click = lambda c: F.struct(
+    sent_clicks = F.try_variant_get("_v", "$.clicks", "array<variant>")
+    click = lambda c, i: F.struct(
         c["section"].alias("section"), c["label"].alias("label"),
         v.to_number(c["x"]).alias("x"), v.to_number(c["y"]).alias("y"),
         v.to_number(c["secPct"]).alias("secPct"),
-        v.to_flag(c["isCta"]).alias("isCta"), v.to_flag(c["dead"]).alias("dead"),
+        *[flag(c[n], F.get(sent_clicks, i), n).alias(n) for n in ("isCta", "dead")],
         *[v.to_whole(c[n]).alias(n) for n in ("band", "vw", "vh")],
     )
-    coerce = {"int": v.to_whole, "boolean": v.to_flag}
+
     def field(f):
-        text = F.col("_b.session")[f.name]
-        value = coerce.get(f.dataType.simpleString(), lambda c: c)(text)
+        text, kind = F.col("_b.session")[f.name], f.dataType.simpleString()
+        if kind == "boolean":
+            return flag(text, sent(F.col("_v"), "session"), f.name).alias(f.name)
+        value = v.to_whole(text) if kind == "int" else text
         return (v.or_zero(text, value) if f.name == "score" else value).alias(f.name)
 
     snapshot = F.struct(*[field(f) for f in schemas.SNAPSHOT_IN.fields])
@@ -53,8 +61,8 @@ def parse_batches(lines: DataFrame, body="body") -> DataFrame:
 
 
 def with_session_id(batches: DataFrame) -> DataFrame:
-    """Add ``session_id``, the id cut to its stored width."""
-    return batches.withColumn("session_id", v.cut(F.col("sessionId"), WIDTH["session_id"]))
+    """Add ``session_id``, the id as it was sent: one that is too long is not cut, which could merge two visits."""
+    return batches.withColumn("session_id", F.col("sessionId"))
 
 
 def is_valid_id(column="session_id"):
@@ -94,10 +102,11 @@ def event_rows(batches: DataFrame, most=None) -> DataFrame:
     first = _leading("events", most)
     each = valid_session_id(batches).select(
         "batch_seq", "received_ts", "session_id", known_device().alias("device"),
-        F.posexplode(first).alias("pos", "e"),
+        # an outer one: of the others Spark looks at the array's size first and so derives the array twice
+        F.posexplode_outer(first).alias("pos", "e"),
     )
     name = v.cut(F.col("e.name"), WIDTH["event_name"])
-    return each.filter(name.isin(ALLOWED_EVENTS)).select(
+    return each.filter(F.col("pos").isNotNull() & name.isin(ALLOWED_EVENTS)).select(
         (F.col("batch_seq") * PLACES_PER_BATCH + F.col("pos")).alias("id"),
         "session_id",
         name.alias("event_name"),
@@ -114,10 +123,10 @@ def click_rows(batches: DataFrame, most=None) -> DataFrame:
     first = _leading("clicks", most)
     each = valid_session_id(batches).select(
         "batch_seq", "received_ts", "session_id", known_device().alias("device"),
-        F.posexplode(first).alias("pos", "c"),
+        F.posexplode_outer(first).alias("pos", "c"),
     )
     x, y = v.clamp01(F.col("c.x")), v.clamp01(F.col("c.y"))
-    return each.filter(x.isNotNull() & y.isNotNull()).select(
+    return each.filter(F.col("pos").isNotNull() & x.isNotNull() & y.isNotNull()).select(
         (F.col("batch_seq") * PLACES_PER_BATCH + F.col("pos")).alias("id"),
         "session_id",
         v.cut(F.col("c.section"), WIDTH["section"]).alias("section"),

@@ -20,7 +20,8 @@ def rage_clicks(clicks):
     never reach further than 3 s. Clicks near the end of a minute are therefore
     also given to the next minute, and each (visit, minute) is solved alone.
 
-    Takes ``session_id, seq, ts_ms, client_x, client_y, section``.
+    Takes ``session_id, seq, ts_ms, client_x, client_y, section, label``; the click's section
+    and label go with it.
     """
     minute, reach = 60_000, 3 * RAGE_MS
     own = ordered.piece_of(F.col("ts_ms"), minute)
@@ -39,7 +40,7 @@ def rage_clicks(clicks):
     return (
         runs.withColumn("_third", third)
         .filter(F.col("_third") & (F.col("piece") == own))
-        .select("session_id", "ts_ms", "section")
+        .select("session_id", "ts_ms", "section", "label")
     )
 
 
@@ -144,6 +145,19 @@ def click_events(clicks):
     ])
 
 
+def page_clicks(clicks):
+    """The clicks a heat map is made of: those on the result page, with what they hit.
+
+    A click is dead if nothing at or above its element reacts to clicks. Takes
+    ``session_id, seq, section, label, on_result, is_checkout, actionable``.
+    """
+    return clicks.filter(F.col("on_result")).select(
+        "session_id", "seq", "section", v.cut(F.col("label"), WIDTH["label"]).alias("label"),
+        F.coalesce("is_checkout", F.lit(False)).alias("is_cta"),
+        (~F.coalesce("actionable", F.lit(False))).alias("dead"),
+    )
+
+
 def active_time(log):
     """Seconds each visit's page was visible.
 

@@ -169,7 +169,8 @@ def with_leaves(notifications):
 
 def payload_leaves(notifications):
     """One row per leaf: ``seq, ord, key, path, value, is_text``."""
-    return with_leaves(notifications).select("seq", F.inline("leaves"))
+    # an outer one, so that Spark does not call the function once more for the size of its array
+    return with_leaves(notifications).select("seq", F.inline_outer("leaves")).filter(F.col("ord").isNotNull())
 
 
 def _filled(leaf):
@@ -229,7 +230,8 @@ def with_ids(found):
     The order's id is an unmistakable name, else a generic name inside an order
     object, else an id at the root, else a digest of the notification. The visit
     is in the first filled link field, else in any text that holds something
-    shaped like a session id.
+    shaped like a session id. An id too long to be stored is not cut, which could merge
+    two orders: the digest stands for it.
     """
     picked = found.select(
         "*", _by_priority(ORDER_ID_NAMES).alias("_clear"), _inside_order().alias("_inside"),
@@ -243,7 +245,7 @@ def with_ids(found):
     return picked.select(
         *found.columns,
         F.coalesce(
-            cut_or_null(order, WIDTH["order_id"]), sales.fallback_order_id(F.col("payload"))
+            F.when(F.length(order).between(1, WIDTH["order_id"]), order), sales.fallback_order_id(F.col("payload"))
         ).alias("order_id"),
         F.coalesce(linked, _session_in_texts()).alias("session_id"),
     )

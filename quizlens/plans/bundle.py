@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from quizlens.plans import funnel, heatmap, log, overview, quiz, sales, visits
 
 
-def screens(tables, cuts=None, listing=None, tops=None, **period):
+def screens(tables, cuts=None, listing=None, tops=None, limits=None, **period):
     """Screen name -> result-set name -> DataFrame, all for one period.
 
-    ``cuts`` are the click filters, ``listing`` the arguments of the lists, ``tops`` the lengths
-    of rankings by name (such as ``fixed_values.TOP``; whole without). The
+    ``cuts`` are the click filters, ``listing`` the arguments of all lists, ``limits`` the lengths of
+    the lists by name, ``tops`` those of rankings (such as ``fixed_values.TOP``; whole without). The
     DataFrames are lazy; a caller that shows whole screens should persist (or
     store) ``tables`` first, since many sets read the same one.
     """
     cuts, listing, tops = cuts or {}, listing or {}, tops or {}
     top = lambda name: {"most": tops.get(name)}
+    listed = lambda name: listing | ({"limit": limits[name]} if limits and name in limits else {})
     t = tables
     visible = {k: cuts[k] for k in ("device", "band") if k in cuts}
     grid = heatmap.heat_grid(t.clicks, cuts=cuts, **period)
@@ -52,19 +53,19 @@ def screens(tables, cuts=None, listing=None, tops=None, **period):
             "resumo": sales.orders_summary(t.orders, **period),
             "checkout": sales.checkout_summary(t.sessions, **period),
             "porDia": sales.sales_by_day(t.orders, **period),
-            "pedidos": sales.order_list(t.orders, t.visits, **listing, **period),
+            "pedidos": sales.order_list(t.orders, t.visits, **listed("orders"), **period),
             "abandonos": sales.rescue_list(t.sessions, **top("rescue_list"), **period),
             "porFaixa": sales.sales_by_band(t.sessions, **period),
             "porOrigem": sales.sales_by_source(t.sessions, **top("sales_by_source"), **period),
         },
         "sessions": {
             "total": visits.session_count(t.sessions, **period),
-            "sessoes": visits.session_list(t.sessions, **listing, **period),
+            "sessoes": visits.session_list(t.sessions, **listed("sessions"), **period),
         },
         "events": {
             "porTipo": log.events_by_type(t.events, **period),
             "total": log.event_count(t.events, **period),
-            "eventos": log.event_log(t.events, **listing, **period),
+            "eventos": log.event_log(t.events, **listed("events"), **period),
         },
     }
 
@@ -82,11 +83,18 @@ def as_documents(sets):
     return reduce(lambda a, b: a.unionByName(b), documents)
 
 
-def result_sizes(tables, **args):
-    """Rows of every result set of every screen."""
+def _content(df):
+    """A number that any change of a row's values changes: a digest of each row, summed."""
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(df.columns)))
+    digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.sum(digest), F.lit(0))
+
+
+def result_contents(tables, **args):
+    """Rows and a digest of the contents of every result set of every screen."""
     parts = [
         df.agg(F.lit(screen).alias("tela"), F.lit(name).alias("bloco"),
-               F.count(F.lit(1)).cast("int").alias("linhas"))
+               F.count(F.lit(1)).cast("int").alias("linhas"), _content(df).alias("conteudo"))
         for screen, sets in screens(tables, **args).items() for name, df in sets.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

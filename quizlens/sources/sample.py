@@ -319,3 +319,22 @@ def pointer(spark, folder):
         "(k % 9) * 500 AS document_height", "k * 5 AS block_top", "(k % 8) * 60 AS block_height",
         "k * 33 AS scroll_y",
     )
+
+
+@dataclass(frozen=True)
+class Shown:
+    """What screens read: stored sessions and orders, and the logs."""
+
+    events: object
+    clicks: object
+    sessions: object
+    orders: object
+
+    @property
+    def visits(self):
+        return self.sessions
+
+
+def shown(spark, folder):
+    logs, keyed = tables(spark, folder), stored(spark, folder)
+    return Shown(logs.events, logs.clicks, keyed.sessions(), keyed.orders())

@@ -65,10 +65,17 @@ def _third_clicks(rows, last):
     return flags[2:] & flags[1:-1] & ~flags[:-2], state
 
 
-CLICK = "ts_ms long, seq long, client_x int, client_y int, section string"
+CLICK = "ts_ms long, seq long, client_x int, client_y int, section string, label string"
 HELD = [field.split()[0] for field in CLICK.split(", ")]
 NO_CLICK = (0, 0, -RAGE_MS, False, False)
-FOUND = ["session_id", "ts_ms", "section"]
+FOUND = ["session_id", "ts_ms", "section", "label"]
+
+
+def _plain(frame):
+    """Rows of a frame of clicks as the list state takes them."""
+    return [
+        (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section, r.label) for r in frame.itertuples()
+    ]
 
 
 class RageWatch(StatefulProcessor):
@@ -93,9 +100,7 @@ class RageWatch(StatefulProcessor):
         earliest = None
         for frame in rows:
             if len(frame):
-                self.waiting.appendList([
-                    (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section) for r in frame.itertuples()
-                ])
+                self.waiting.appendList(_plain(frame))
                 first = int(frame["ts_ms"].min())
                 earliest = first if earliest is None else min(first, earliest)
         if earliest is not None and not any(t <= earliest + 1 for t in self.handle.listTimers()):
@@ -111,12 +116,10 @@ class RageWatch(StatefulProcessor):
         found = []
         if len(done):
             third, last = _third_clicks(done, last)
-            found = [(key[0], int(r.ts_ms), r.section) for r in done[third].itertuples()]
+            found = [(key[0], int(r.ts_ms), r.section, r.label) for r in done[third].itertuples()]
         self.waiting.clear()
         if len(rows):
-            self.waiting.put([
-                (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section) for r in rows.itertuples()
-            ])
+            self.waiting.put(_plain(rows))
         if not len(rows) and last[2] + 3 * RAGE_MS < mark:
             self.last.clear()
         else:
@@ -132,12 +135,12 @@ def stream_rage_clicks(clicks, delay=DELAY):
     """Rage clicks, each given out once the watermark has passed it.
 
     Clicks may arrive in any order within ``delay``; later ones are dropped. Takes a stream of
-    ``session_id, seq, ts_ms, client_x, client_y, section``. The state needs the RocksDB provider
+    ``session_id, seq, ts_ms, client_x, client_y, section, label``. The state needs the RocksDB provider
     (``run.keeping_lists``). One visit's waiting clicks are sorted in memory; ``delay`` bounds them.
     """
     timed = clicks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
     return timed.groupBy("session_id").transformWithStateInPandas(
-        RageWatch(), "session_id string, ts_ms long, section string", "append", "eventTime"
+        RageWatch(), "session_id string, ts_ms long, section string, label string", "append", "eventTime"
     )
 
 
