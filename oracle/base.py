@@ -1,5 +1,7 @@
 """Shared common table expressions: the derived inputs and the clean tables."""
 
+from quizlens.fixed_values import FUNNEL_STEPS
+
 PERIOD_FROM, PERIOD_TO = "2024-01-05", "2024-01-25"
 
 
@@ -10,10 +12,9 @@ def period(column):
 
 KEYED = "keyed AS (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)"
 
-NAMES = ("visit quiz_start quiz_half quiz_finish capture_view result_view offer_view cta_click "
-         "checkout_click quiz_answer quiz_answer quiz_answer capture_submit capture_skip "
-         "section_view scroll_25 scroll_50 scroll_75 scroll_90 faq_open exit not_allowed").split()
-STEPS = NAMES[:9]
+NAMES = ([name for name, _ in FUNNEL_STEPS] + ["quiz_answer"] * 3 + "capture_submit capture_skip section_view scroll_25 "
+         "scroll_50 scroll_75 scroll_90 faq_open exit not_allowed".split())
+STEPS = [name for name, _ in FUNNEL_STEPS]
 BLOCKS = ["topo", "preco", "faq", "final"]
 
 

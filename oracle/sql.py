@@ -5,6 +5,8 @@ from oracle.base import (
     case, distinct, mean1, money, n, pct1, period, status,
 )
 
+from quizlens.fixed_values import FUNNEL_STEPS
+
 ORACLE_SQL = {}
 
 
@@ -47,9 +49,7 @@ add("overview_by_source", VISITS, BY_SOURCE)
 
 # -------------------------------------------------------------------- funnel
 TOPS = f"{EVENTS}, tops AS (SELECT session_id, max(step_index) AS topo {E} GROUP BY 1)"
-LABELS = ["Abriu o quiz", "Respondeu a 1ª pergunta", "Chegou na 5ª", "Respondeu as 10",
-          "Viu a tela de contato", "Viu o resultado (a oferta)", "Rolou até o preço",
-          "Clicou no botão de compra", "Foi pro checkout"]
+LABELS = [label for _, label in FUNNEL_STEPS]
 STEP_ROWS = ", ".join(f"({i}, '{k}', '{l}')" for i, (k, l) in enumerate(zip(STEPS, LABELS)))
 FUNNEL = f"""{TOPS}, steps(step, key, label) AS (VALUES {STEP_ROWS}),
 reached AS (
@@ -236,6 +236,23 @@ ORDER BY ts DESC, id DESC LIMIT 200 OFFSET 100""")
 add("event_log_after", EVENTS, f"""{LOG} {E} AND ts < TIMESTAMP '2024-01-20 12:00:00'
 ORDER BY ts DESC, id DESC LIMIT 150""")
 
+
+
+def paged(rows, order, limit, offset):
+    """A page of rows with their number and whether more follow."""
+    return (f"SELECT * EXCLUDE (place), total > {offset + limit} AS tem_mais FROM (SELECT *, "
+            f"cast(count(*) OVER () AS INTEGER) AS total, row_number() OVER ({order}) AS place FROM ({rows})) "
+            f"WHERE place > {offset} AND place <= {offset + limit}")
+
+
+LISTED = ("session_id, first_ts, device, max_q, score, band, contact, reached_result, max_scroll, last_section, "
+          "duration_sec, cta_clicks, reached_checkout, utm_source, utm_campaign, country, referrer, purchased, purchase_cents")
+add("event_page", EVENTS, paged(f"SELECT * {E}", "ORDER BY ts DESC, id DESC", 200, 400))
+add("session_page", SESSIONS, paged(f"SELECT {LISTED} {S} AND device = 'mobile'", "ORDER BY first_ts DESC, session_id", 50, 100))
+add("order_page", LINKED, paged(
+    f"{JOINED} WHERE {period('o.created_at')} AND o.{PROBLEM}", "ORDER BY created_at DESC, order_id", 60, 60))
+
+
 # ------------------------------------------------------------ ingest, folds
 add("append_events", EVENTS, "SELECT * FROM ev")
 add("append_clicks", CLICKS, "SELECT * FROM cl")

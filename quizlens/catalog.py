@@ -7,7 +7,7 @@ from quizlens.functions import browser, sales
 from quizlens.functions import values as v
 from quizlens.functions.period import period_filter
 from quizlens.operators import folds, ingest, interactions, payload, quota, retention
-from quizlens.plans import bundle, funnel, heatmap, log, overview, quiz, visits
+from quizlens.plans import bundle, funnel, heatmap, log, overview, paging, quiz, visits
 from quizlens.plans import sales as sales_plans
 from quizlens.session import work_folder
 from quizlens.sources import files, sample
@@ -201,7 +201,7 @@ def order_filter(spark, folder):
 @query
 def session_filter(spark, folder):
     """How many visits each behaviour filter keeps."""
-    conditions = [v.count_where(F.expr(c)).alias(n.replace("-", "_"))
+    conditions = [v.count_where(c()).alias(n.replace("-", "_"))
                   for n, c in visits.SESSION_FILTERS.items()]
     return sample.tables(spark, folder).sessions.agg(*conditions)
 
@@ -533,6 +533,27 @@ def event_log_store(spark, folder):
     return period_filter(stored, "ts", **PERIOD).drop("dt")
 
 
+@query
+def event_page(spark, folder):
+    """The third page of the stored event log, with the total."""
+    path = work_folder(spark, "events")
+    files.append_events(sample.batches(spark, folder), path)
+    stored = files.read_log(spark, path, "events", "timestamp_ntz")
+    return paging.event_page(stored, limit=200, offset=400, **PERIOD).with_numbers()
+
+
+@query
+def session_page(spark, folder):
+    sessions = sample.stored(spark, folder).sessions()
+    return paging.session_page(sessions, device="mobile", limit=50, offset=100, **PERIOD).with_numbers()
+
+
+@query
+def order_page(spark, folder):
+    stored = sample.stored(spark, folder)
+    return paging.order_page(stored.orders(), stored.sessions(), "problema", limit=60, offset=60, **PERIOD).with_numbers()
+
+
 @query
 def stream_ingest(spark, folder):
     path = work_folder(spark, "stream-events")

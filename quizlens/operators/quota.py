@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import ordered
 from quizlens.functions.values import micros
+from quizlens.session import work_folder
+
+BUSY = 1_000_000        # calls of one stretch that a task reads in order; longer ones are decided window by window
 
 
 def window_micros(hours):
@@ -38,7 +41,7 @@ def trailing_calls(calls, hours=1.0):
 
 
 def _quiet_stretches(calls, width):
-    """Add ``stretch``: calls of a key that may influence each other share one.
+    """Add ``stretch``: calls of a key that may influence each other share one; and ``busy``, whether it is long.
 
     After a gap of a whole window nothing counts any more, so what follows is
     independent. Inside one window-long piece gaps are shorter than that, so
@@ -48,13 +51,16 @@ def _quiet_stretches(calls, width):
         "piece", ordered.piece_of(F.col("us"), width)
     )
     across = Window.partitionBy("key").orderBy("piece")
-    ends = at.groupBy("key", "piece").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    ends = at.groupBy("key", "piece").agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n")
+    )
     apart = F.col("first") - F.lag("last").over(across) >= width
     fresh = F.coalesce(apart, F.lit(True))
     stretches = (
         ends.withColumn("_start", F.when(fresh, F.col("first")))
         .withColumn("stretch", F.last("_start", ignorenulls=True).over(across))
-        .select("key", "piece", "stretch")
+        .withColumn("busy", F.sum("n").over(Window.partitionBy("key", "stretch")) > BUSY)
+        .select("key", "piece", "stretch", "busy")
     )
     return at.join(stretches, ["key", "piece"])
 
@@ -117,14 +123,123 @@ def rate_admission(calls, limit=300, hours=1.0):
     A verdict depends on the earlier verdicts of the key, so each stretch of
     calls is read in time order. Stretches are independent and spread over the
     cluster; a task streams its sorted rows and holds at most ``limit`` moments.
+    A stretch of more than ``BUSY`` calls is not read by one task: see ``_busy_admission``.
 
     Takes ``key, seq, ts``; returns ``key, ts, allow, count``.
     """
     width = window_micros(hours)
     kind = calls.schema["ts"].dataType.simpleString()
-    ready = _quiet_stretches(calls, width).select("key", "stretch", "us", "seq", "ts")
-    return (
-        ready.repartition("key", "stretch")
+    ready = _quiet_stretches(calls, width).select("key", "stretch", "busy", "us", "seq", "ts")
+    verdicts = (
+        ready.where(~F.col("busy")).drop("busy").repartition("key", "stretch")
         .sortWithinPartitions("key", "stretch", "us", "seq")
         .mapInPandas(_decide(limit, width), f"key string, ts {kind}, allow boolean, count long")
     )
+    busy = ready.where("busy").drop("busy")
+    return verdicts if busy.isEmpty() else verdicts.unionByName(_busy_admission(busy, limit, width))
+
+
+def _small(df, most=1_000_000):
+    """``df``, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+SLAB = ["key", "stretch", "slab"]
+
+
+def _placed(calls, width):
+    """Busy calls with their ``slab``, a window's length of their stretch, and their number in it, ``idx``.
+
+    Returns them as a written table by slab, and the number of calls before each minute of a slab.
+    """
+    at = calls.withColumn("slab", F.expr(f"(us - stretch) div {width}")).withColumn(
+        "minute", ordered.piece_of(F.col("us"))
+    )
+    minutes = at.groupBy(*SLAB, "minute").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*SLAB).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*SLAB, "minute").orderBy("us", "seq")
+    numbered = at.withColumn("_r", F.row_number().over(inside)).join(minutes, [*SLAB, "minute"])
+    path = work_folder(calls.sparkSession, "busy")
+    numbered.select(*SLAB, "minute", "us", "ts", (F.col("base") + F.col("_r") - 1).alias("idx")).write.partitionBy(
+        "slab"
+    ).parquet(f"{path}/calls")
+    minutes.write.partitionBy("slab").parquet(f"{path}/minutes")
+    read = calls.sparkSession.read
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+    schema = f"key {kinds['key']}, stretch long, minute long, us long, ts {kinds['ts']}, idx long, slab long"
+    counts = f"key {kinds['key']}, stretch long, minute long, n long, base long, slab long"
+    return path, read.schema(schema).parquet(f"{path}/calls"), read.schema(counts).parquet(f"{path}/minutes")
+
+
+def _next_admitted(limit, kind):
+    """Of one slab of a stretch: the numbers of the admitted calls, from the moments at which places become free."""
+    def rows(key, taken):
+        n = len(taken)
+        return pd.DataFrame({
+            "key": pd.Series([key[0]] * n, dtype=object), "stretch": np.full(n, key[1], np.int64), "idx": taken.astype(np.int64),
+        })
+
+    def decide(key, minutes: pd.DataFrame, freed: pd.DataFrame) -> pd.DataFrame:
+        if minutes.empty:       # the stretch is over
+            return rows(key, np.zeros(0, np.int64))
+        minutes = minutes.sort_values("minute")
+        starts, before = minutes["minute"].to_numpy(), np.append(minutes["base"].to_numpy(), minutes["n"].sum())
+        # calls before a moment: those of earlier minutes, and those before it in its own
+        freed = freed.sort_values("free")
+        counts = before[np.searchsorted(starts, freed["minute"].to_numpy())] + freed["same_minute"].to_numpy()
+        counts = np.concatenate([np.zeros(limit - len(counts), np.int64), counts])  # places that nobody holds
+        place = np.arange(limit)
+        taken = np.maximum.accumulate(counts - place) + place
+        return rows(key, taken[taken < before[-1]])
+
+    return decide, f"key {kind}, stretch long, idx long"
+
+
+def _busy_admission(calls, limit, width):
+    """The verdicts of long stretches, a window's length of all of them at a time.
+
+    A call admitted in one slab gives its place free in the next, never in its own. So the calls that
+    take the places of a slab follow from the admitted calls of the slab before: a place that becomes
+    free at some moment goes to the first call from then on, or to the one after the last admitted one
+    if that is taken. A round counts the calls before those at most ``limit`` moments, over many tasks, by
+    minutes; only moments and counts meet for a stretch. Each call is read for its own slab's round.
+    """
+    spark, kind = calls.sparkSession, calls.schema["key"].dataType.simpleString()
+    path, placed, minutes = _placed(calls, width)
+    slabs = (placed.agg(F.max("slab")).first()[0] + 1) if limit > 0 else 0
+    schema, admitted = f"key {kind}, stretch long, slab long, us long, idx long", None
+    for slab in range(slabs):
+        here, counts = placed.where(F.col("slab") == slab), minutes.where(F.col("slab") == slab)
+        if admitted is None:
+            freed = spark.createDataFrame([], f"key {kind}, stretch long, free long, minute long, same_minute long")
+        else:
+            free = F.col("us") + width
+            moments = admitted.select("key", "stretch", free.alias("free"), ordered.piece_of(free).alias("minute"))
+            near = here.join(_small(moments.distinct()), ["key", "stretch", "minute"]).where("us < free")
+            inside = near.groupBy("key", "stretch", "free").agg(F.count("*").alias("_n"))
+            freed = moments.join(_small(inside), ["key", "stretch", "free"], "left").select(
+                "key", "stretch", "free", "minute", F.coalesce("_n", F.lit(0)).alias("same_minute")
+            )
+        decide, found = _next_admitted(limit, kind)
+        taken = counts.groupBy("key", "stretch").cogroup(freed.groupBy("key", "stretch")).applyInPandas(decide, found)
+        taken.write.parquet(f"{path}/taken/{slab}")
+        taken = spark.read.parquet(f"{path}/taken/{slab}")
+        here.join(_small(taken), ["key", "stretch", "idx"]).select(
+            "key", "stretch", "us", "idx"
+        ).write.parquet(f"{path}/admitted/slab={slab}")
+        admitted = spark.read.schema(schema).parquet(f"{path}/admitted/slab={slab}")
+    if not slabs:
+        every = spark.createDataFrame([], schema)
+    else:
+        every = spark.read.schema(schema).parquet(f"{path}/admitted")
+    # at most ``limit`` rows a window meet here, however many calls there were
+    order = Window.partitionBy("key", "stretch").orderBy("us")
+    gone = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, -width))
+    number = F.row_number().over(Window.partitionBy("key", "stretch").orderBy("slab", "idx"))
+    standing = every.select(*SLAB, "idx", (number - gone).alias("_standing"))
+    judged = placed.join(_small(standing), [*SLAB, "idx"], "left")
+    return judged.select(
+        "key", "ts", F.col("_standing").isNotNull().alias("allow"),
+        F.coalesce("_standing", F.lit(limit)).cast("long").alias("count"),
+    )

@@ -13,23 +13,27 @@ SESSION_LIST = [
     "utm_source", "utm_campaign", "country", "referrer", "purchased", "purchase_cents",
 ]
 
-# behaviour filters of the list: name -> condition
+def _c(name):
+    return F.col(name)
+
+
+# behaviour filters of the list: name -> condition, made when a session is there
 SESSION_FILTERS = {
-    "comprou": "purchased",
-    "nao-comprou": "reached_checkout AND NOT purchased",
-    "checkout": "reached_checkout",
-    "cta": "cta_clicks > 0 AND NOT reached_checkout",
-    "oferta": "reached_result AND cta_clicks = 0",
-    "largou": "max_q > 0 AND max_q < 10",
-    "na-cara": "max_q = 0",
-    "contato": "contact",
+    "comprou": lambda: _c("purchased"),
+    "nao-comprou": lambda: _c("reached_checkout") & ~_c("purchased"),
+    "checkout": lambda: _c("reached_checkout"),
+    "cta": lambda: (_c("cta_clicks") > 0) & ~_c("reached_checkout"),
+    "oferta": lambda: _c("reached_result") & (_c("cta_clicks") == 0),
+    "largou": lambda: _c("max_q").between(1, 9),
+    "na-cara": lambda: _c("max_q") == 0,
+    "contato": lambda: _c("contact"),
 }
 
 
 def session_filter(sessions, filtro=None, device=None):
     """One behaviour filter, unknown names keeping all, and an optional device."""
     if filtro in SESSION_FILTERS:
-        sessions = sessions.filter(SESSION_FILTERS[filtro])
+        sessions = sessions.filter(SESSION_FILTERS[filtro]())
     if device in DEVICES:
         sessions = sessions.filter(F.col("device") == device)
     return sessions

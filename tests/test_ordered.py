@@ -55,6 +55,28 @@ def test_admission_matches_a_loop(spark, limit, hours):
     assert sorted(map(tuple, got.collect())) == expected_admissions(rows, limit, minutes)
 
 
+@pytest.mark.parametrize("limit,hours", [(2, 2), (9, 1), (0, 4)])
+def test_busy_stretches_match_a_loop(spark, monkeypatch, limit, hours):
+    """A key that never pauses, with bursts, ties and thin hours, is decided window by window."""
+    monkeypatch.setattr(quota, "BUSY", 60)
+    rng = random.Random(limit)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([0, 0, 1, 5, 20]) if i // 75 % 2 else rng.choice([30, 60, 200])
+        rows.append(("hot" if i % 3 else f"k{i % 4}", i, T0 + dt.timedelta(seconds=at)))
+    got = quota.rate_admission(calls_frame(spark, rows), limit, hours)
+    minutes = max(1, round(hours * 60))
+    assert sorted(map(tuple, got.collect())) == expected_admissions(rows, limit, minutes)
+
+
+def test_places_that_collide(spark, monkeypatch):
+    """Two places free before a pause: the first call after it takes one, the next call the other."""
+    monkeypatch.setattr(quota, "BUSY", 3)
+    rows = [("a", i, T0 + dt.timedelta(minutes=m)) for i, m in enumerate([0, 9, 10, 10.1, 10.2, 19.5, 19.6, 20, 21])]
+    got = quota.rate_admission(calls_frame(spark, rows), 2, 1 / 6)
+    assert sorted(map(tuple, got.collect())) == expected_admissions(rows, 2, 10)
+
+
 def test_trailing_calls_match_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, i, T0 + dt.timedelta(seconds=rng.randrange(0, 20000, 60)))
