@@ -97,7 +97,7 @@ def expected_rage(rows):
             near = last and abs(x - last[0]) < 30 and abs(y - last[1]) < 30 and t - last[2] < 1000
             run = run + 1 if near else 1
             if run == 3:
-                out.append((key, t, section))
+                out.append((key, t, section, f"b{seq}"))
             last = (x, y, t)
     return sorted(out)
 
@@ -111,16 +111,20 @@ def clicks(n=3000, seed=5):
             for i, k in enumerate(skewed_keys(n, seed))]
 
 
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, CLICKS).selectExpr("*", "concat('b', seq) AS label")
+
+
 def test_rage_clicks_match_a_loop(spark):
     rows = clicks()
-    got = interactions.rage_clicks(spark.createDataFrame(rows, CLICKS).repartition(5))
+    got = interactions.rage_clicks(labelled(spark, rows).repartition(5))
     assert sorted(map(tuple, got.collect())) == expected_rage(rows) != []
 
 
 def test_rage_clicks_across_a_minute(spark):
     times = [58_000, 58_900, 59_800, 60_700, 61_600, 70_000, 119_999, 120_000, 120_001]
     rows = [("a", i, t, 5, 5, None) for i, t in enumerate(times)]
-    got = interactions.rage_clicks(spark.createDataFrame(rows, CLICKS))
+    got = interactions.rage_clicks(labelled(spark, rows))
     assert sorted(r.ts_ms for r in got.collect()) == [59_800, 120_001]
 
 

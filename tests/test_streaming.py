@@ -87,9 +87,9 @@ def test_rage_clicks_in_any_order_of_arrival(spark, tmp_path):
     for seq in range(400):      # one visit holds a third of the clicks
         clock += rng.choice([20, 60, 150, 600])
         visit = "hot" if seq % 3 == 0 else f"v{seq % 7}"
-        rows.append((visit, seq, clock, rng.choice([10, 20, 60]), 5, rng.choice(["a", None])))
-    schema = "session_id string, seq long, ts_ms long, client_x int, client_y int, section string"
-    rows.append(("last", 400, clock + 3_600_000, 0, 0, None))     # moves the watermark past all
+        rows.append((visit, seq, clock, rng.choice([10, 20, 60]), 5, rng.choice(["a", None]), f"b{seq}"))
+    schema = "session_id string, seq long, ts_ms long, client_x int, client_y int, section string, label string"
+    rows.append(("last", 400, clock + 3_600_000, 0, 0, None, None))     # moves the watermark past all
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(4):          # every file has clicks of the whole time, so three of four come late
