@@ -2,6 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of ``docs``.
+
+In every stage rows with a null ``doc_id`` and rows that repeat one are rows like others, further
+columns go along whatever their names, long texts are taken whole, and an empty table gives an empty one.
 """
 
 import public_tokenizers
@@ -20,7 +23,11 @@ ORACLE_SQL = None
 
 
 def known_language(spark, docs, sf_dir):
-    """Drops texts without a letter and texts of no clear language. Without labels, letters are enough."""
+    """Drops null, empty and other texts without a letter, and texts of no clear language.
+
+    Without any labelled row to learn from, letters are enough. Of equally likely languages the first by
+    name counts; such a text has a low score.
+    """
     learned = docs.where(F.coalesce(residue(F.col("doc_id"), 4) != 2, F.lit(False)))
     model = langid.train(learned, docs, PIECES)
     if not model.languages:
@@ -29,22 +36,29 @@ def known_language(spark, docs, sf_dir):
 
 
 def good_quality(spark, docs, sf_dir):
-    """Drops texts that fail a quality rule."""
+    """Drops texts that fail a quality rule: null, empty and short ones, and those past a threshold. A text
+    that lies exactly on a threshold stays."""
     return quality.keep(docs)
 
 
 def one_of_each(spark, docs, sf_dir):
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: that of the smallest id.
+
+    Of equal rows one stays. Different texts under one id are told apart. Texts without words, and rows
+    with a null id, all stay.
+    """
     return dedup.keep_one(docs)
 
 
 def no_secrets(spark, docs, sf_dir):
-    """Replaces every span of a secret; keeps all rows."""
+    """Replaces every span of a secret; keeps all rows. Null and empty texts have none; overlapping spans are
+    replaced as one."""
     return secrets.redact(docs, secrets.learn(docs))
 
 
 def packed(spark, docs, sf_dir):
-    """Pieces of sequences."""
+    """Pieces of sequences. A null or empty text is its end id alone; a text longer than a sequence is cut;
+    equal rows are packed each."""
     return packing.pack_texts(docs, WORDS)
 
 
