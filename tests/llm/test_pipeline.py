@@ -1,5 +1,7 @@
 """The stages of the corpus pipeline, each against its operator's own verdicts."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -49,3 +51,32 @@ def test_all_tokens_are_packed(steps):
             assert start == at
             at += length
         assert at == parts[0][2]
+
+
+def test_stages_take_odd_tables(spark, data, frame):
+    """Nulls, empty and very long texts, repeated rows and ids, and clashing columns go through every stage."""
+    from tests.llm.conftest import LONG, ODD
+
+    prose = " ".join(["the house and the garden of my father were old, and we went there to see it"] * 3)
+    docs = frame(ODD + [(20 + i, f"{prose} {i} " + " ".join(f"word{i * 50 + k}" for k in range(60))) for i in range(6)])
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        have, had = (Counter((r["doc_id"], r["n_chars"]) for r in d.collect()) for d in (out, docs))
+        assert not have - had, name
+        if name == "secret scan":
+            assert have == had
+        if name == "near duplicates":
+            assert have[11, None] == 1 and have[11, 25] == 1
+        if name == "quality rules":
+            assert (None, 29) not in have and sum(have.values()) >= 1
+    assert LONG in {r["text"] for r in corpus_pipeline.STAGES[2][1](spark, docs, data).collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, data).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_stages_take_empty_tables(spark, data, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, data)
+        assert out.count() == 0, name
