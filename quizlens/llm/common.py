@@ -149,13 +149,20 @@ def in_process(kind, key, make):
     """``make()``, kept in this Python worker for later tasks that ask for the same ``kind`` and ``key``.
 
     Spark reuses its workers, so what a task has looked up need not be looked up again. A worker
-    keeps one object at a time, and its owner bounds its size.
+    keeps one object at a time, and its owner bounds its size. What the one before it held goes back to
+    the system, where the C library can do that; otherwise a worker would hold the memory of both.
     """
+    import ctypes
+    import gc
     import sys
     import types
 
     box = sys.modules.setdefault("_quizlens_kept", types.ModuleType("_quizlens_kept"))
     if getattr(box, "name", None) != (kind, key):
         box.kept = None     # before the new one is made
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
         box.kept, box.name = make(), (kind, key)
     return box.kept
