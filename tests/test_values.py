@@ -105,6 +105,12 @@ def test_rounding(column):
     # exact ties go up: 0.25 -> 0.3, 12.5 % -> 12.5, 1/16 -> 6.3 %
     assert column(v.mean1, [(1, 4), (5, 2), (0, 0), (7, 3)], "s long, n long") == [0.3, 2.5, 0.0, 2.3]
     assert column(v.pct1, [(1, 8), (1, 16), (2, 3), (0, 0)], "a long, b long") == [12.5, 6.3, 66.7, 0.0]
+
+
+def test_shares_of_counts_that_fill_an_int(column):
+    most = 2**31 - 1
+    cases = [(1_073_742, 2_147_483), (most, most), (1, most), (0, 0), (None, 5)]
+    assert column(v.pct1, cases, "a int, b int") == [50.0, 100.0, 0.0, 0.0, None]
     assert column(v.round_ratio, [(5, 2), (7, 3), (0, 0)], "a long, b long") == [3, 2, 0]
 
 
