@@ -29,6 +29,18 @@ def test_empty_period(spark, tables):
     assert [r.pct for r in heatmap.scroll_curve(tables.visits, **nothing).collect()] == [0.0] * 10
 
 
+def test_shares_of_more_than_a_million_visits(spark):
+    visits_ = spark.range(1_100_000).selectExpr(
+        "cast(id AS string) AS session_id", "timestamp_ntz '2024-01-10' AS ts", "timestamp_ntz '2024-01-10' AS first_ts",
+        "cast(8 - id % 2 * 4 AS int) AS step_index", "true AS reached_result", "cast(50 + id % 2 * 50 AS int) AS max_scroll",
+    )
+    steps = funnel.funnel_steps(visits_, **PERIOD).collect()
+    assert [s.pct_do_topo for s in steps] == [100.0] * 5 + [50.0] * 4
+    drops = funnel.funnel_drop(visits_, **PERIOD).collect()
+    assert [(d.perdeu, d.pct_do_anterior) for d in drops][4:6] == [(0, 100.0), (550_000, 50.0)]
+    assert [r.pct for r in heatmap.scroll_curve(visits_, **PERIOD).collect()] == [100.0] * 5 + [50.0] * 5
+
+
 def test_conservation(spark, tables):
     steps = [r.sessoes for r in funnel.funnel_steps(tables.events, **PERIOD).collect()]
     assert steps == sorted(steps, reverse=True)
