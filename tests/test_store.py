@@ -154,6 +154,29 @@ def test_an_empty_delivery_makes_an_empty_table(store):
     holds(store, [message("a", 1, 5)])
 
 
+def test_a_first_delivery_is_written_once(store, monkeypatch):
+    monkeypatch.setattr(KeyedStore, "commit", lambda *_: None)
+    put(store, [message(f"k{i}", i, 5 + i % 3) for i in range(9)])
+    assert len(store.folder.names("rows/v=*")) == 1 and not store.folder.names("fresh/v=*")
+
+
+def test_a_delivery_of_many_keys_shuffles_its_cells_once(store, monkeypatch):
+    monkeypatch.setattr("quizlens.sources.store.FEW_KEYS", 5)
+    whole, written = [], KeyedStore._write_rows
+    monkeypatch.setattr(KeyedStore, "_write_rows", lambda self, rows, write: whole.append(rows) or written(self, rows, write))
+    first = [message(f"k{i}", i, 5 + i % 4, f"n{i}", i) for i in range(40)]
+    put(store, first)
+    many = [message(f"k{i}", 100 + i, 3 + i % 5, "late", 50 + i) for i in range(30, 50)]
+    put(store, many)
+    holds(store, first + many)
+    plan = whole[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Join" not in plan
+    few = [message("k1", 200, 2, "x"), message("k45", 201, 1, "y")]
+    put(store, few)
+    holds(store, first + many + few)
+    assert "Join" in whole[-1]._jdf.queryExecution().optimizedPlan().toString()
+
+
 # history of runs
 
 def test_runs_grow_with_the_logarithm():
