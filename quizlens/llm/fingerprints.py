@@ -21,6 +21,7 @@ with a null ``doc_id`` come last.
 """
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ LETTER_EDGES = ".,;:!?\"'()[]{}<>|*#$%&"
 
 def terms(text):
     """Lower-case words without punctuation at their ends."""
-    return {w.strip(LETTER_EDGES) for w in text.lower().split()} - {""}
+    return {w.strip(LETTER_EDGES) for w in set(text.lower().split())} - {""}
 
 
 def _counted(documents: DataFrame, only=None, share=None) -> DataFrame:
@@ -126,19 +127,24 @@ class Printer:
         """One hash per subset; 0 for an empty one."""
         import xxhash
 
-        known = sorted(i for i in map(self.place.get, terms(text)) if i is not None)   # lexicon order is sorted
-        out = np.zeros(LEVELS * PER_LEVEL, np.uint32)
-        if known:
-            keys, flags = self.keys[known], self.flags[known]
-            for s in np.flatnonzero(flags.any(0)):
-                out[s] = (xxhash.xxh3_64_intdigest(keys[flags[:, s]].tobytes()) & 0xFFFFFFFF) or 1
-        return out
+        found = terms(text)
+        known = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
+        known = np.sort(known[known >= 0])      # lexicon order is sorted
+        if not len(known):
+            return np.zeros(LEVELS * PER_LEVEL, np.uint32)
+        # subset after subset; one-dimensional, which numpy looks through faster
+        subsets, chosen = np.divmod(np.flatnonzero(self.flags[known].T.ravel()).astype(np.int32), np.int32(len(known)))
+        ends = np.cumsum(np.bincount(subsets, minlength=LEVELS * PER_LEVEL) * 8).tolist()
+        raw, digest = self.keys[known[chosen]].tobytes(), xxhash.xxh3_64_intdigest
+        return np.array([
+            (digest(raw[start:end]) & 0xFFFFFFFF) or 1 if end > start else 0 for start, end in zip([0, *ends], ends)
+        ], np.uint32)
 
     def fingerprint(self, text, marks):
         import xxhash
 
         if marks.any():
-            return ",".join("-" if m == 0 else format(m, "x") for m in marks.tolist())
+            return ",".join(["-" if m == 0 else f"{m:x}" for m in marks.tolist()])
         return "-" + xxhash.xxh3_128_hexdigest(text)
 
 
@@ -209,24 +215,26 @@ def fingerprints(documents: DataFrame, words) -> DataFrame:
 
     def work():
         printer = in_process("imatch", shared.value[1], lambda: Printer(shared.value[0]))
-        last = [None, None]
+        last = [None, None, None]
 
         def marks(text):
+            """Marks and fingerprint; the next row's text is that of the row after, so it is looked at once."""
             if last[0] != text:
-                last[:] = text, printer.marks(text)
-            return last[1]
+                own = printer.marks(text)
+                last[:] = text, own, printer.fingerprint(text, own)
+            return last[1:]
 
         def step(rows):
             out = {n: [] for n in ("n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
             for text, after in zip(rows["text"], rows["next_text"]):
-                own = marks(text)
+                own, a = marks(text)
                 changed = edited(text, after)
                 new = printer.marks(changed)
-                following = marks(after)    # the next row's own
-                a, b = printer.fingerprint(text, own), printer.fingerprint(changed, new)
+                b = printer.fingerprint(changed, new)
+                following, c = marks(after)    # the next row's own
                 values = (
                     len(text), changed, a, b, 1.0 if a == b else likeness(own, new),
-                    1.0 if a == printer.fingerprint(after, following) else likeness(own, following),
+                    1.0 if a == c else likeness(own, following),
                 )
                 for name, value in zip(out, values):
                     out[name].append(value)
