@@ -90,11 +90,19 @@ def _content(df):
     return F.coalesce(F.sum(digest), F.lit(0))
 
 
-def result_contents(tables, **args):
-    """Rows and a digest of the contents of every result set of every screen."""
-    parts = [
-        df.agg(F.lit(screen).alias("tela"), F.lit(name).alias("bloco"),
-               F.count(F.lit(1)).cast("int").alias("linhas"), _content(df).alias("conteudo"))
-        for screen, sets in screens(tables, **args).items() for name, df in sets.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def result_contents(tables, path, **args):
+    """Rows and a digest of the contents of every result set of every screen.
+
+    Screens are counted one after the other, and their rows (one a set) kept below ``path``: the plans of all sets
+    at once take more of the driver than it may have.
+    """
+    kept = []
+    for screen, sets in screens(tables, **args).items():
+        parts = [
+            df.agg(F.lit(screen).alias("tela"), F.lit(name).alias("bloco"),
+                   F.count(F.lit(1)).cast("int").alias("linhas"), _content(df).alias("conteudo"))
+            for name, df in sets.items()
+        ]
+        kept.append(f"{path}/{screen}")
+        reduce(lambda a, b: a.unionByName(b), parts).write.parquet(kept[-1])
+    return tables.events.sparkSession.read.parquet(*kept)

@@ -154,3 +154,18 @@ def test_lists_are_whole_unless_a_limit_is_given(tables):
     assert log.event_log(tables.events, **period).count() == tables.events.count() > 150
     assert sales.order_list(tables.orders, tables.visits, **period).count() == tables.orders.count() > 100
     assert log.event_log(tables.events, limit="20", **period).count() == 20
+
+
+def test_screens_are_counted_one_by_one_over_stored_logs(spark, data, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown, derived = sample.shown(spark, data), sample.tables(spark, data)
+    for name in ("events", "clicks"):
+        stored, whole = getattr(shown, name), getattr(derived, name)
+        assert "Generate" not in plan(stored)
+        assert stored.select(whole.columns).exceptAll(whole).isEmpty()
+        assert whole.exceptAll(stored.select(whole.columns)).isEmpty()
+    counted = bundle.result_contents(shown, str(tmp_path), **PERIOD)
+    assert "Aggregate" not in plan(counted)     # the driver holds no plan of a set any more
+    for screen, sets in bundle.screens(shown, **PERIOD).items():
+        rows = spark.read.parquet(f"{tmp_path}/{screen}").select("tela", "bloco").collect()
+        assert sorted(map(tuple, rows)) == sorted((screen, name) for name in sets)
