@@ -107,6 +107,29 @@ def sliced(batches, rows=1000):
             yield batch.slice(at, rows)
 
 
+def give_back():
+    """Return freed memory to the system, where the libraries can do that: Arrow's, and the C library's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """``run``, a map of Arrow batches, that gives its memory back when a task ends.
+
+    Spark keeps idle workers. Those would hold the room of their last batches, twice what they need
+    themselves, while later stages want it for the JVM.
+    """
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def by_batch(df: DataFrame, work, schema: str) -> DataFrame:
     """Map Arrow batches. ``work()`` is called once per task and gives the function for a batch.
 
@@ -129,7 +152,7 @@ def by_batch(df: DataFrame, work, schema: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return df.mapInArrow(tidied(run), target)
 
 
 def sent(spark, thing):
@@ -152,7 +175,6 @@ def in_process(kind, key, make):
     keeps one object at a time, and its owner bounds its size. What the one before it held goes back to
     the system, where the C library can do that; otherwise a worker would hold the memory of both.
     """
-    import ctypes
     import gc
     import sys
     import types
@@ -161,8 +183,6 @@ def in_process(kind, key, make):
     if getattr(box, "name", None) != (kind, key):
         box.kept = None     # before the new one is made
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
         box.kept, box.name = make(), (kind, key)
     return box.kept

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import by_batch, cut_lineage, few_enough, in_process
+from quizlens.llm.common import by_batch, cut_lineage, few_enough, in_process, sliced, tidied
 from quizlens.llm.graph import components
 
 SHINGLE, M, WIDTH = 5, 12, 2
 PERCENT = 75
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
-KEEP = 300_000
+KEEP = 100_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -193,7 +193,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
         "id", "grp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "shingles"
     )
     dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "block", "id")
-    return dealt.mapInArrow(_compare, "a long, b long")
+    return dealt.mapInArrow(tidied(_compare), "a long, b long")
 
 
 def _compare(batches):
@@ -213,7 +213,7 @@ def _compare(batches):
         )
 
     current, rows, out = None, [], []
-    for batch in batches:
+    for batch in sliced(batches):
         columns = batch.to_pydict()
         for row in zip(columns["grp"], columns["x"], columns["y"], columns["id"], columns["block"], columns["shingles"]):
             if row[:3] != current:

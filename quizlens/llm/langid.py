@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, opened, sent, sliced, texts_of
+from quizlens.llm.common import Numbering, bounded_sample, by_batch, cut_lineage, in_process, opened, sent, sliced, texts_of, tidied
 
 RUN = 48            # letters; longer words are scored in runs of this many
 SCALE = 30.0        # per letter, the same for all languages; keeps products of many factors away from zero
@@ -266,4 +266,4 @@ def keep(documents: DataFrame, model: Model, least: float) -> DataFrame:
             mask = [language != "und" and score >= least for language, score in judge(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quizlens.llm.common import in_process
+from quizlens.llm.common import in_process, tidied
 
 POOL = 2048         # pieces that wait in a task, so at most POOL * tokens ids
 KEEP = 300_000      # tokenised words that a worker remembers, at least; twice as many at most
@@ -200,7 +200,7 @@ def _stream(df, work, schema):
                 yield pa.RecordBatch.from_pydict(rows, schema=arrow)
         yield pa.RecordBatch.from_pydict(step(None), schema=arrow)
 
-    return df.mapInArrow(run, target)
+    return df.mapInArrow(tidied(run), target)
 
 
 def _collector(limits, with_ids):

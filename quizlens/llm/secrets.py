@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import bounded_sample, by_batch, cut_lineage, sliced, texts_of
+from quizlens.llm.common import bounded_sample, by_batch, cut_lineage, sliced, texts_of, tidied
 
 # fixed values: the base patterns of the contract, in the order in which kinds are listed
 KINDS = ("assign", "access", "hex")
@@ -277,5 +277,5 @@ def redact(documents: DataFrame, models, mark="[SECRET]") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)
 
