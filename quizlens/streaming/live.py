@@ -1,9 +1,7 @@
 """Operators that carry state between micro-batches."""
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quizlens.functions.values import micros
@@ -48,100 +46,37 @@ def stream_rate_admission(calls, limit=300, hours=1.0, delay=DELAY):
     )
 
 
-def _third_clicks(rows, last):
-    """Flags of third clicks in time order; ``last`` is the click before and the two flags before it.
+HELD = ["ts_ms", "seq", "client_x", "client_y", "section", "label"]
+PIECE_MS, REACH_MS = 60_000, 3 * RAGE_MS
 
-    Returns the flags and the new ``last``.
-    """
-    x, y, t, on1, on2 = last
-    px, py, pt = (np.concatenate([[v], rows[c].to_numpy()[:-1]]) for v, c in zip((x, y, t), ("client_x", "client_y", "ts_ms")))
-    on = (
-        (np.abs(rows["client_x"].to_numpy() - px) < RAGE_PX) & (np.abs(rows["client_y"].to_numpy() - py) < RAGE_PX)
-        & (rows["ts_ms"].to_numpy() - pt < RAGE_MS)
-    )
-    flags = np.concatenate([[on2, on1], on]).astype(bool)
-    end = rows.iloc[-1]
-    state = (int(end["client_x"]), int(end["client_y"]), int(end["ts_ms"]), bool(flags[-1]), bool(flags[-2]))
-    return flags[2:] & flags[1:-1] & ~flags[:-2], state
-
-
-CLICK = "ts_ms long, seq long, client_x int, client_y int, section string, label string"
-HELD = [field.split()[0] for field in CLICK.split(", ")]
-NO_CLICK = (0, 0, -RAGE_MS, False, False)
-FOUND = ["session_id", "ts_ms", "section", "label"]
-
-
-def _plain(frame):
-    """Rows of a frame of clicks as the list state takes them."""
-    return [
-        (int(r.ts_ms), int(r.seq), int(r.client_x), int(r.client_y), r.section, r.label) for r in frame.itertuples()
-    ]
-
-
-class RageWatch(StatefulProcessor):
-    """Per visit: the clicks that the watermark has not passed, as a list, and the last decided click.
-
-    The visit's one timer stands just behind its earliest waiting click, so clicks are decided in time
-    order as soon as none before them can come. Once none waits, the timer closes the visit when
-    nothing can continue its last run any more.
-    """
 
-    def init(self, handle: StatefulProcessorHandle):
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", CLICK)
-        self.last = handle.getValueState("last", "x int, y int, t long, on1 boolean, on2 boolean")
-
-    def _set_timer(self, moment):
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(int(moment))
-
-    def handleInputRows(self, key, rows, timerValues):
-        earliest = None
-        for frame in rows:
-            if len(frame):
-                self.waiting.appendList(_plain(frame))
-                first = int(frame["ts_ms"].min())
-                earliest = first if earliest is None else min(first, earliest)
-        if earliest is not None and not any(t <= earliest + 1 for t in self.handle.listTimers()):
-            self._set_timer(earliest + 1)
-        yield pd.DataFrame([], columns=FOUND)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=HELD).sort_values(["ts_ms", "seq"])
-        last = tuple(self.last.get()) if self.last.exists() else NO_CLICK
-        ready = rows["ts_ms"].to_numpy() < mark
-        done, rows = rows[ready], rows[~ready]
-        found = []
-        if len(done):
-            third, last = _third_clicks(done, last)
-            found = [(key[0], int(r.ts_ms), r.section, r.label) for r in done[third].itertuples()]
-        self.waiting.clear()
-        if len(rows):
-            self.waiting.put(_plain(rows))
-        if not len(rows) and last[2] + 3 * RAGE_MS < mark:
-            self.last.clear()
-        else:
-            self.last.update(last)
-            self._set_timer(int(rows["ts_ms"].min()) + 1 if len(rows) else last[2] + 3 * RAGE_MS)
-        yield pd.DataFrame(found, columns=FOUND)
-
-    def close(self):
-        pass
+def _goes_on(click, previous):
+    """Whether a click continues the run of the one before it; without one it does not."""
+    far = lambda c: F.abs(click[c].cast("long") - previous[c]) >= RAGE_PX
+    late = click["ts_ms"] - previous["ts_ms"] >= RAGE_MS
+    return F.coalesce(~(far("client_x") | far("client_y") | late), F.lit(False))
 
 
 def stream_rage_clicks(clicks, delay=DELAY):
-    """Rage clicks, each given out once the watermark has passed it.
+    """Rage clicks, each given out once the watermark has passed its minute.
 
-    Clicks may arrive in any order within ``delay``; later ones are dropped. Takes a stream of
-    ``session_id, seq, ts_ms, client_x, client_y, section, label``. The state needs the RocksDB provider
-    (``run.keeping_lists``). One visit's waiting clicks are sorted in memory; ``delay`` bounds them.
+    Clicks may arrive in any order within ``delay``; later ones, whose minute is closed, are dropped.
+    Takes a stream of ``session_id, seq, ts_ms, client_x, client_y, section, label``; a click without a
+    time is in no minute. The state is one list of clicks per visit and minute, with the 3 s before that
+    minute, which is as far back as a third click looks; the watermark closes it. A list is sorted in
+    memory. The lists are best kept in RocksDB (``run.keeping_lists``).
     """
     timed = clicks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
-    return timed.groupBy("session_id").transformWithStateInPandas(
-        RageWatch(), "session_id string, ts_ms long, section string, label string", "append", "eventTime"
+    lengths = [f"{ms} milliseconds" for ms in (PIECE_MS + REACH_MS, PIECE_MS, PIECE_MS - REACH_MS)]
+    pieces = timed.groupBy("session_id", F.window("at", *lengths)).agg(
+        F.sort_array(F.collect_list(F.struct(*HELD))).alias("clicks")
     )
+    runs = pieces.withColumn("on", F.transform("clicks", lambda c, i: _goes_on(c, F.get("clicks", i - 1))))
+    before = lambda i, n: F.coalesce(F.get("on", i - n), F.lit(False))
+    own = F.unix_millis("window.start") + REACH_MS
+    third = lambda c, i: before(i, 0) & before(i, 1) & ~before(i, 2) & (c["ts_ms"] >= own)
+    found = runs.select("session_id", F.inline(F.filter("clicks", third)))
+    return found.select("session_id", "ts_ms", "section", "label")
 
 
 def stream_dedup_sections(views, delay="1 day"):

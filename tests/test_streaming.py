@@ -108,6 +108,56 @@ def test_rage_clicks_in_any_order_of_arrival(spark, tmp_path):
     same(got, expected)
 
 
+CLICKS = "session_id string, seq long, ts_ms long, client_x int, client_y int, section string, label string"
+
+
+def test_rage_clicks_of_odd_rows(spark, tmp_path):
+    """Clicks without a place, a time, a number or a visit, clicks that come twice, runs across a minute."""
+    rng, rows = random.Random(6), []
+    for visit in ("a", "b", None):
+        clock = 1_000_000_000 - rng.randrange(60_000)
+        for seq in range(300):
+            clock += rng.choice([0, 300, 600, 999, 1000, 15_000])
+            row = [visit, seq, clock, rng.choice([10, 20, 20, 60]), 5, rng.choice(["a", None]), f"b{seq}"]
+            odd = rng.randrange(60)
+            if odd in (1, 2, 3, 4, 5, 6):
+                row[odd] = None
+            rows += [tuple(row)] * (2 if odd == 7 else 1)
+    minute = 1_000_020_000      # a minute's start: the third clicks are its last and its first ones
+    for visit, first in (("c", minute - 601), ("d", minute - 600), ("e", minute - 1)):
+        rows += [(visit, i, first + 300 * i, 10, 5, "a", f"{visit}{i}") for i in range(5)]
+    rows.append(("last", 0, 2_000_000_000, 0, 0, None, None))       # moves the watermark past all
+    spark.createDataFrame(rows, CLICKS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CLICKS).parquet(str(tmp_path / "in"))
+    with keeping_lists(spark):
+        got = collected(spark, live.stream_rage_clicks(stream), "rage")
+    expected = interactions.rage_clicks(spark.createDataFrame(rows, CLICKS))
+    assert {r["session_id"] for r in expected.collect()} == {"a", "b", "c", "d", "e", None}
+    same(got, expected)
+
+
+def test_rage_clicks_call_no_python_per_visit(spark, tmp_path):
+    """Visits are many: with calls of Python for each of them, 6 million clicks took more than 400 s."""
+    stream = spark.readStream.schema(CLICKS).parquet(str(tmp_path))
+    plan = live.stream_rage_clicks(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan and "PySpark" not in plan
+
+
+def test_rage_clicks_leave_no_closed_minute_in_the_state(spark, tmp_path):
+    """One visit of an hour: what is kept is its open minutes, not its history."""
+    for i in range(3):          # twenty minutes of clicks a file
+        rows = [("hot", n, n * 400 + 600_000, 10, 5, "a", f"b{n}") for n in range(3000 * i, 3000 * i + 3000)]
+        spark.createDataFrame(rows, CLICKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CLICKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with keeping_lists(spark):
+        found = live.stream_rage_clicks(stream, delay="1 minute")
+        writer = found.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    assert [r["label"] for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()] == ["b2"]
+
+
 def test_a_late_call_keeps_the_gate_in_order():
     gate = quota.Gate(3, 100)
     assert gate.verdicts(np.array([0, 50]))[0].all() and gate.verdicts(np.array([20]))[0].all()
